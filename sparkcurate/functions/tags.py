@@ -145,8 +145,10 @@ def heal_answer(c: Column, opened: Column, closed: Column, think_closed: Column)
     # The answer may be open-ended; it then runs to the end of the text.
     open_ended = "(?isd)<answer>.*?(?:</answer>|$)"
     content = F.regexp_extract(c, "(?isd)<answer>(.*?)(?:</answer>|$)", 1)
-    replaced = F.array_join(
-        F.split(c, open_ended), F.concat(F.lit("<answer>\n"), boxed, F.lit("\n</answer>"))
+    # By name, because the separator is a Column here.
+    replaced = F.call_function(
+        "array_join", F.split(c, open_ended),
+        F.concat(F.lit("<answer>\n"), boxed, F.lit("\n</answer>")),
     )
     filled = F.coalesce(F.length(strip(block(c, "answer"))) > 0, F.lit(False))
     has_box = F.coalesce(F.length(boxed) > 0, F.lit(False))

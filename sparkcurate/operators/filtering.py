@@ -8,39 +8,37 @@ from pyspark.sql import functions as F
 from sparkcurate.config import Rules
 from sparkcurate.functions import tags as T
 from sparkcurate.functions.validation import latex_issues, quality_issues
-
-ANNOTATIONS = ("healed", "heal_methods", "heal_tried", "tag_issues", "latex_issues", "quality_issues")
-
+from sparkcurate.operators.rows import settled
 
 def heal_samples(df: DataFrame, output_col: str = "output") -> DataFrame:
     """Repair outputs whose tags are not valid.
 
     Replaces ``output_col`` and adds ``heal_tried``, ``healed`` and ``heal_methods``. The
-    repairs run in two projections, think tags before answer tags, and only for rows that
-    need them.
+    repairs run in two steps, think tags before answer tags, and only for rows that need them.
     """
-    tags = F.col("_tags")
-    scanned = df.withColumn(output_col, F.coalesce(F.col(output_col), F.lit(""))).withColumn(
-        "_tags", T.skeleton(F.col(output_col))
-    )
-    tried = scanned.withColumn("heal_tried", ~T.tags_valid(tags))
-    think = tried.withColumn(
-        "_think", F.when(F.col("heal_tried"), T.heal_think(F.col(output_col), tags))
+    tags, output = F.col("_tags"), F.col(output_col)
+    scanned = settled(
+        df.withColumn(output_col, F.coalesce(output, F.lit(""))), {"_tags": T.skeleton(output)}
+    ).withColumn("heal_tried", ~T.tags_valid(tags))
+    think = settled(
+        scanned, {"_think": F.when(F.col("heal_tried"), T.heal_think(output, tags))}
     )
     text, method = F.col("_think.text"), F.col("_think.method")
     # Which tags the text holds after the first repair follows from its method.
     think_closed = F.array_contains(tags, "</think>") | F.coalesce(
         method.startswith("add_close"), F.lit(False)
     )
-    answer = think.withColumn(
-        "_answer",
-        F.when(
-            F.col("heal_tried"),
-            T.heal_answer(
-                text, F.array_contains(tags, "<answer>"), F.array_contains(tags, "</answer>"),
-                think_closed,
-            ),
-        ),
+    answer = settled(
+        think,
+        {
+            "_answer": F.when(
+                F.col("heal_tried"),
+                T.heal_answer(
+                    text, F.array_contains(tags, "<answer>"),
+                    F.array_contains(tags, "</answer>"), think_closed,
+                ),
+            )
+        },
     )
     methods = F.array_compact(
         F.array(
@@ -54,7 +52,7 @@ def heal_samples(df: DataFrame, output_col: str = "output") -> DataFrame:
     plain = [c for c in df.columns if c != output_col]
     return answer.select(
         *[F.col(f"`{c}`") for c in plain],
-        F.coalesce(F.col("_answer.text"), F.col(output_col)).alias(output_col),
+        F.coalesce(F.col("_answer.text"), output).alias(output_col),
         "heal_tried",
         healed.alias("healed"),
         F.when(healed, methods).otherwise(F.array().cast("array<string>")).alias("heal_methods"),
@@ -77,13 +75,14 @@ def judge_samples(
     latex = none
     if rules.check_latex_consistency:
         latex = latex_issues(output, rules.plain_text_patterns, rules.texts)
-    return (
-        rows.withColumn("_tags", T.skeleton(output))
-        .withColumn("tag_issues", T.tag_issues(F.col("_tags")))
-        .drop("_tags")
-        .withColumn("latex_issues", latex)
-        .withColumn("quality_issues", quality_issues(output, rules))
-    )
+    return settled(
+        settled(rows, {"_tags": T.skeleton(output)}),
+        {
+            "tag_issues": T.tag_issues(F.col("_tags")),
+            "latex_issues": latex,
+            "quality_issues": quality_issues(output, rules),
+        },
+    ).drop("_tags")
 
 
 def with_decision(judged: DataFrame, strict: bool = True, malformed: str | None = None) -> DataFrame:
