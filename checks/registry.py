@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from checks import papers as _papers
 from checks import samples as _samples
 
-_GROUPS = (_samples,)
+_GROUPS = (_samples, _papers)
 
 QUERIES = {}
 ORACLE = {}

@@ -38,7 +38,8 @@ def chunk_texts(
             (state["seen"] + 1).alias("seen"),
         )
 
-    paragraphs = df.withColumn("_p", F.split(F.col(text), separator))
+    # Quoted, because split takes a regular expression.
+    paragraphs = df.withColumn("_p", F.split(F.col(text), rf"\Q{separator}\E"))
     starts = paragraphs.withColumn(
         "_s", F.aggregate(F.transform("_p", F.length), start_state, add)["starts"]
     )

@@ -10,6 +10,7 @@ from sparkcurate.functions.scoring import dataset_node_size, paper_node_size
 from sparkcurate.functions.text import keyword_tokens
 from sparkcurate.operators.catalogue import qa_counts
 from sparkcurate.operators.ranking import top_per_key, with_position
+from sparkcurate.operators.rows import settled
 
 # Colours of clusters in turn, the colour of papers without a dataset, and caps
 # of the drawn graph (pairs shown in all / per paper / per dataset, papers compared).
@@ -47,7 +48,7 @@ def top_keywords(df: DataFrame, text: Column, k: int = 10, name: str = "keywords
     and the next run's start gives the count. No shuffle, whatever the text lengths are.
     """
     tokens = F.transform(keyword_tokens(text), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    ordered = df.withColumn("_a", F.sort_array(tokens))
+    ordered = settled(df, {"_a": F.sort_array(tokens)})
     # The index of every element that opens a run, or null.
     opens = F.transform(
         F.col("_a"),
@@ -55,7 +56,7 @@ def top_keywords(df: DataFrame, text: Column, k: int = 10, name: str = "keywords
             (i == 0) | (s["t"] != F.try_element_at(F.col("_a"), i)["t"]), i
         ),
     )
-    runs = ordered.withColumn("_s", F.array_compact(opens))
+    runs = settled(ordered, {"_s": F.array_compact(opens)})
     counted = F.transform(
         F.col("_s"),
         lambda s, j: F.struct(
@@ -65,7 +66,7 @@ def top_keywords(df: DataFrame, text: Column, k: int = 10, name: str = "keywords
         ),
     )
     best = F.transform(F.slice(F.sort_array(counted), 1, k), lambda r: r["t"])
-    return runs.withColumn(name, best).select(*df.columns, name)
+    return settled(runs, {name: best}).select(*df.columns, name)
 
 
 def paper_text() -> Column:
