@@ -263,8 +263,8 @@ FUNNEL = """SELECT count(*) AS total, count(*) FILTER (keep AND NOT healed) AS p
  count(*) FILTER (len(lat_i) > 0) AS failed_latex, count(*) FILTER (len(qua_i) > 0) AS failed_quality,
  count(*) FILTER (tried) AS heal_attempts, count(*) FILTER (healed) AS heal_success,
  count(*) FILTER (NOT keep) AS rejected,
- round_even(100.0 * count(*) FILTER (keep) / greatest(1, count(*)), 1)::DOUBLE AS pass_pct,
- round_even(100.0 * count(*) FILTER (healed) / greatest(1, count(*) FILTER (tried)), 1)::DOUBLE AS heal_pct FROM d"""
+ printf('%.1f', (100.0 * count(*) FILTER (keep) / greatest(1, count(*)))::DOUBLE)::DOUBLE AS pass_pct,
+ printf('%.1f', (100.0 * count(*) FILTER (healed) / greatest(1, count(*) FILTER (tried)))::DOUBLE)::DOUBLE AS heal_pct FROM d"""
 
 
 # --- filtering -------------------------------------------------------------------------------
@@ -507,7 +507,7 @@ def _(spark, sf):
  (sum(length(output)) // count(*))::BIGINT AS avg_output_len,
  (sum(length({block('output', 'think')})) // count({block('output', 'think')}))::BIGINT AS avg_think_len,
  (sum(length({block('output', 'answer')})) // count({block('output', 'answer')}))::BIGINT AS avg_answer_len,
- round_even(100.0 * count(*) FILTER (regexp_matches(output, '(?s)\\$[^$]+\\$|\\\\\\[.*?\\\\\\]')) / count(*), 1)::DOUBLE AS has_latex_pct,
+ printf('%.1f', (100.0 * count(*) FILTER (regexp_matches(output, '(?s)\\$[^$]+\\$|\\\\\\[.*?\\\\\\]')) / count(*))::DOUBLE)::DOUBLE AS has_latex_pct,
  0::BIGINT AS healed_count FROM samples""",
     ),
 )
@@ -520,8 +520,8 @@ def _(spark, sf):
     with_views(
         "sourced",
         body="""SELECT count(*) AS total, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid,
- count(*) FILTER (healed) AS healed, round_even(avg(length(instruction)), 1)::DOUBLE AS avg_instruction_len,
- round_even(avg(length(output)), 1)::DOUBLE AS avg_output_len FROM sourced""",
+ count(*) FILTER (healed) AS healed, printf('%.1f', (avg(length(instruction)))::DOUBLE)::DOUBLE AS avg_instruction_len,
+ printf('%.1f', (avg(length(output)))::DOUBLE)::DOUBLE AS avg_output_len FROM sourced""",
     ),
 )
 def _(spark, sf):

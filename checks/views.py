@@ -78,7 +78,7 @@ FROM {documents}
 CATALOGUE_DATASETS = """
 SELECT CAST(floor(doc_id / 100) AS BIGINT) + 1 AS id, min(doc_id) % 3 + 1 AS user_id,
  'set '||CAST(CAST(floor(min(doc_id) / 100) AS BIGINT) AS VARCHAR(20)) AS name,
- CASE WHEN floor(min(doc_id) / 100) % 4 = 3 THEN '' ELSE min(source) END AS topic,
+ CASE WHEN floor(min(doc_id) / 100) % 4 = 3 THEN '' ELSE min_by(source, (doc_id * 7919) % 1009) END AS topic,
  CASE WHEN floor(min(doc_id) / 100) % 5 = 4 THEN 'failed' ELSE 'completed' END AS status,
  CASE WHEN min(doc_id) % 200 = 0 THEN 'openai' ELSE CAST(NULL AS VARCHAR(20)) END AS provider,
  CAST(NULL AS VARCHAR(20)) AS model, CAST(sum(n_chars) AS BIGINT) AS completed_at, count(*) AS actual_size,

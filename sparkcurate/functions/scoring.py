@@ -122,9 +122,14 @@ def progress_message(step: Column, max_steps: Column, loss: Column, rate: Column
     )
 
 
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since the epoch, for time stamps with and without a zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     """Seconds from ``start`` to ``end`` with fractions; 0 when the start is unknown."""
-    micros = F.unix_micros(end) - F.unix_micros(start)
+    micros = epoch_micros(end) - epoch_micros(start)
     return F.when(start.isNull(), F.lit(0.0)).otherwise(micros / F.lit(1e6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.functions.scoring import progress_message, progress_percent
+from sparkcurate.functions.scoring import progress_message, progress_percent, seconds_between
 
 # States a job does not leave any more.
 TERMINAL = ("completed", "failed", "cancelled")
@@ -35,8 +35,6 @@ def job_status(events: DataFrame, seq: str = "event_id") -> DataFrame:
 
 def job_durations(events: DataFrame, ts: str = "ts", seq: str = "event_id") -> DataFrame:
     """Seconds from a job's first running event to its first terminal one; null while open."""
-    from sparkcurate.functions.scoring import seconds_between
-
     status = F.col("status")
     return (
         events.groupBy("job_id")

@@ -11,6 +11,7 @@ from sparkcurate.functions.text import keyword_tokens
 from sparkcurate.operators.catalogue import qa_counts
 from sparkcurate.operators.ranking import top_per_key, with_position
 from sparkcurate.operators.rows import settled
+from sparkcurate.session import materialise
 
 # Colours of clusters in turn, the colour of papers without a dataset, and caps
 # of the drawn graph (pairs shown in all / per paper / per dataset, papers compared).
@@ -99,8 +100,11 @@ def keyword_edges(
     )
 
 
-def clusters(datasets: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clusters, papers with ``cluster`` and ``color``): a cluster per dataset in id order.
+def clusters(
+    datasets: DataFrame, papers: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, papers with ``cluster`` and ``color``, datasets with the same): a cluster per
+    dataset in id order.
 
     Papers of no listed dataset form one more cluster, when there are any.
     """
@@ -136,7 +140,8 @@ def clusters(datasets: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFra
             F.lit(ORPHAN_COLOR).alias("color"), "paper_count",
         )
     )
-    return named.unionByName(orphans), placed
+    hubs = numbered.select(F.col("dataset_id").alias("id"), "cluster", "color")
+    return named.unionByName(orphans), placed, hubs
 
 
 def sampled_qa(papers: DataFrame, datasets: DataFrame, qa: DataFrame) -> DataFrame:
@@ -194,18 +199,14 @@ def knowledge_graph(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, links, clusters) of one owner's completed datasets, papers and pairs."""
     completed = datasets.filter(F.col("status") == "completed")
-    cluster_rows, placed = clusters(completed, papers)
-    hubs = cluster_rows.select(F.col("id").alias("cluster"), "color")
+    cluster_rows, placed, hubs = clusters(completed, papers)
     sized_sets = qa_counts(completed, qa, "dataset_id")
     per_set = papers.groupBy(F.col("dataset_id").alias("id")).agg(
         F.count(F.lit(1)).alias("paper_count")
     )
-    numbered = with_position(completed.select("id"), ["id"]).select(
-        "id", (F.col("position") - 1).alias("cluster")
-    )
     text = lambda c, d: F.coalesce(F.col(c), F.lit(d))
     dataset_nodes = (
-        sized_sets.join(per_set, "id", "left").join(numbered, "id").join(hubs, "cluster")
+        sized_sets.join(per_set, "id", "left").join(hubs, "id")
         .select(
             F.concat(F.lit("dataset-"), F.col("id").cast("string")).alias("id"),
             F.lit("dataset").alias("type"),
@@ -229,13 +230,14 @@ def knowledge_graph(
         F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "url",
         "qa_pair_count",
     )
-    shown = sampled_qa(papers, completed, qa).withColumn(
+    # Some 150 rows that both nodes and links are made from.
+    shown = materialise(sampled_qa(papers, completed, qa), "shown").withColumn(
         "node", F.concat(F.lit("qa-"), F.col("id").cast("string"))
     )
     parents = placed.select(
         F.lit("paper").alias("parent_kind"), F.col("id").alias("parent"), "color", "cluster"
     ).unionByName(
-        numbered.join(hubs, "cluster").select(
+        hubs.select(
             F.lit("dataset").alias("parent_kind"), F.col("id").alias("parent"), "color", "cluster"
         )
     )

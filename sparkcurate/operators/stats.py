@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcurate.functions.scoring import epoch_micros
 from sparkcurate.functions.text import WHITESPACE, block, strip, truncated
 
 
@@ -182,9 +183,7 @@ def energy(
     neighbouring stretches, so that a device with a third of all samples is spread over as
     many tasks as it has stretches. Samples at the same instant are ordered by their watts.
     """
-    from pyspark.sql import Window
-
-    micros = F.unix_micros(F.col(ts))
+    micros = epoch_micros(F.col(ts))
     rows = df.select(
         F.col(by), micros.alias("m"), F.col(watts).alias("w"),
         F.floor(micros / F.lit(bucket_seconds * 1_000_000)).alias("b"),
