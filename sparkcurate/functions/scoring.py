@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkcurate.functions.numbers import rounded
 from sparkcurate.functions.text import strip
 
 # Score dimensions of a judge response and their weights in the overall score.
@@ -90,20 +91,20 @@ def metric_bucket(value: Column) -> Column:
 def metric_text(value: Column) -> Column:
     """Percent text of a 0..1 metric with one decimal."""
     return F.coalesce(
-        F.concat(F.format_string("%.1f", value * 100), F.lit("%")), F.lit("\u2014")
+        F.concat(F.format_string("%.1f", rounded(value * 100, ties_up=True)), F.lit("%")), F.lit("\u2014")
     )
 
 
 def dataset_node_size(qa_count: Column) -> Column:
-    return F.bround(F.least(F.lit(20.0), 12 + F.log2(qa_count + 1) * 1.5), 1)
+    return rounded(F.least(F.lit(20.0), 12 + F.log2(qa_count + 1) * 1.5))
 
 
 def paper_node_size(qa_count: Column, citations: Column) -> Column:
-    return F.bround(4 + F.log2(qa_count + 1) * 2 + F.log2(citations + 1) * 2, 1)
+    return rounded(4 + F.log2(qa_count + 1) * 2 + F.log2(citations + 1) * 2)
 
 
 def progress_percent(step: Column, max_steps: Column) -> Column:
-    return F.when(max_steps > 0, F.bround(step / max_steps * 100, 1)).otherwise(F.lit(0.0))
+    return F.when(max_steps > 0, rounded(step / max_steps * 100)).otherwise(F.lit(0.0))
 
 
 def progress_message(step: Column, max_steps: Column, loss: Column, rate: Column) -> Column:
@@ -117,7 +118,7 @@ def progress_message(step: Column, max_steps: Column, loss: Column, rate: Column
     return F.concat_ws(
         " | ",
         head,
-        F.when(loss.isNotNull(), F.concat(F.lit("loss="), F.format_string("%.4f", loss))),
+        F.when(loss.isNotNull(), F.concat(F.lit("loss="), F.format_string("%.4f", rounded(loss, 4)))),
         F.when(rate.isNotNull(), F.concat(F.lit("lr="), F.format_string("%.2e", rate))),
     )
 

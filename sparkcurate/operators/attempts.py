@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkcurate.functions.numbers import rounded
 from sparkcurate.functions.scoring import should_retry
 from sparkcurate.operators.ranking import running_totals
 
@@ -56,7 +57,7 @@ def generation_summary(attempts: DataFrame, key: str) -> DataFrame:
         (done - good).alias("invalid_kept"),
         F.count_if(F.col("given") == 0).alias("skipped"),
         F.sum(used - 1).cast("bigint").alias("total_retries"),
-        F.when(done > 0, F.bround(100.0 * good / done, 1)).otherwise(F.lit(0.0)).alias("valid_pct"),
+        F.when(done > 0, rounded(100 * good / done)).otherwise(F.lit(0.0)).alias("valid_pct"),
     )
 
 
@@ -82,7 +83,7 @@ def progress(best: DataFrame, key: str, every: int = 25) -> DataFrame:
     )
     return totals.filter(F.col("processed") % every == 0).select(
         "processed", "valid_so_far",
-        F.bround(100.0 * F.col("valid_so_far") / F.col("processed"), 1).alias("valid_pct"),
+        rounded(100 * F.col("valid_so_far") / F.col("processed")).alias("valid_pct"),
     )
 
 

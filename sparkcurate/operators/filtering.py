@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.config import Rules
 from sparkcurate.functions import tags as T
+from sparkcurate.functions.numbers import rounded
 from sparkcurate.functions.validation import latex_issues, quality_issues
 from sparkcurate.operators.rows import settled
 
@@ -110,7 +111,7 @@ def funnel(decided: DataFrame, malformed: str | None = None) -> DataFrame:
     success = F.count_if(read & F.col("healed"))
 
     def percent(part, whole):
-        return F.bround(100.0 * part / F.greatest(F.lit(1), whole), 1)
+        return rounded(100 * part / F.greatest(F.lit(1), whole))
 
     return decided.agg(
         n.alias("total"),

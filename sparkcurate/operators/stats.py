@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcurate.functions.numbers import rounded
 from sparkcurate.functions.scoring import epoch_micros
 from sparkcurate.functions.text import WHITESPACE, block, strip, truncated
 
@@ -23,7 +24,7 @@ def _flag(df: DataFrame, names: Sequence[str], default: bool) -> Column:
 
 def _share(part: Column, whole: Column) -> Column:
     """Percent with one decimal, 0 for an empty table."""
-    return F.when(whole > 0, F.bround(100.0 * part / whole, 1)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, rounded(100 * part / whole)).otherwise(F.lit(0.0))
 
 
 def _whole_average(total: Column, n: Column) -> Column:
@@ -84,7 +85,7 @@ def service_stats(df: DataFrame) -> DataFrame:
     valid = F.count_if(_flag(df, ["valid"], True))
 
     def average(name: str) -> Column:
-        return F.when(n > 0, F.bround(F.avg(F.length(_text(df, name))), 1)).otherwise(F.lit(0.0))
+        return F.when(n > 0, rounded(F.sum(F.length(_text(df, name))) / n)).otherwise(F.lit(0.0))
 
     return df.agg(
         n.alias("total"),
