@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkcurate.sources.readers import spread
+
 TABLES = ("documents", "conversations", "labels", "events", "benchmark", "embeddings", "pages")
 
 # One kind of tag damage per sample_id % 13.
@@ -177,7 +179,8 @@ VIEWS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkcurate.functions.binding import once
 from sparkcurate.functions.text import block, rstrip, strip
 
 # Answer phrases, tried in this order; group 1 is the answer.
@@ -48,6 +49,10 @@ def _count(tags: Column, tag: str) -> Column:
 
 def tags_valid(tags: Column) -> Column:
     """True when nothing would be reported by :func:`tag_issues`."""
+    return once(tags, _tags_valid)
+
+
+def _tags_valid(tags: Column) -> Column:
     ordered = (
         (F.array_position(tags, "<think>") < F.array_position(tags, "</think>"))
         & (F.array_position(tags, "</think>") < F.array_position(tags, "<answer>"))
@@ -62,6 +67,10 @@ def tags_valid(tags: Column) -> Column:
 
 def tag_issues(tags: Column) -> Column:
     """Missing and unbalanced tags; the order is judged only when there are none of those."""
+    return once(tags, _tag_issues)
+
+
+def _tag_issues(tags: Column) -> Column:
     missing = [
         F.when(~_has(tags, tag), F.lit(message)) for tag, message in MISSING_TEXTS.items()
     ]
@@ -76,7 +85,7 @@ def tag_issues(tags: Column) -> Column:
         )
     found = F.array_compact(F.array(*missing, *unbalanced))
     return (
-        F.when(tags_valid(tags), F.array().cast("array<string>"))
+        F.when(_tags_valid(tags), F.array().cast("array<string>"))
         .when(F.size(found) > 0, found)
         .otherwise(F.array(F.lit(ORDER_TEXT)))
     )
@@ -97,7 +106,7 @@ def final_answer(c: Column) -> Column:
         # Group 1 of these patterns is never empty on a match, so '' means "no match".
         raw = strip(F.regexp_extract(c, pattern, 1))
         cut = F.regexp_replace(raw, r"(?d)\s*[.,:;]?\s*$", "")
-        candidates.append(F.when(F.length(cut) > 3, cut))
+        candidates.append(once(cut, lambda c: F.when(F.length(c) > 3, c)))
     return F.coalesce(*candidates)
 
 
@@ -134,7 +143,12 @@ def heal_answer(c: Column, opened: Column, closed: Column, think_closed: Column)
     """
     close_tag = F.concat(rstrip(c), F.lit("\n</answer>"))
     after_tag = strip(F.split(c, "(?i)<answer>", 2)[1])
-    boxed, phrase = boxed_answer(c), final_answer(c)
+    boxed = F.nullif(boxed_answer(c), F.lit(""))
+    # A boxed result goes before an answer phrase, which is looked for only without one.
+    found = F.coalesce(
+        once(boxed, lambda b: F.when(b.isNotNull(), _heal_result(b, "boxed_extraction"))),
+        once(final_answer(c), lambda p: F.when(p.isNotNull(), _heal_result(p, "pattern_extraction"))),
+    )
 
     def insert(answer: Column) -> Column:
         around = F.split(c, "(?i)</think>", 2)
@@ -142,30 +156,34 @@ def heal_answer(c: Column, opened: Column, closed: Column, think_closed: Column)
             around[0], F.lit("</think>\n\n<answer>\n"), answer, F.lit("\n</answer>"), around[1]
         )
 
+    inserted = once(
+        F.when(~opened & think_closed, found),
+        lambda f: F.when(f.isNotNull(), _heal_result(insert(f["text"]), f["method"])),
+    )
+
     # The answer may be open-ended; it then runs to the end of the text.
     open_ended = "(?isd)<answer>.*?(?:</answer>|$)"
     content = F.regexp_extract(c, "(?isd)<answer>(.*?)(?:</answer>|$)", 1)
-    # By name, because the separator is a Column here.
-    replaced = F.call_function(
-        "array_join", F.split(c, open_ended),
-        F.concat(F.lit("<answer>\n"), boxed, F.lit("\n</answer>")),
+    replaced = once(
+        F.when(opened & (F.length(strip(content)) < 20), boxed),
+        lambda b: F.when(
+            b.isNotNull(),
+            _heal_result(
+                # By name, because the separator is a Column here.
+                F.call_function(
+                    "array_join", F.split(c, open_ended),
+                    F.concat(F.lit("<answer>\n"), b, F.lit("\n</answer>")),
+                ),
+                "answer_replacement",
+            ),
+        ),
     )
     filled = F.coalesce(F.length(strip(block(c, "answer"))) > 0, F.lit(False))
-    has_box = F.coalesce(F.length(boxed) > 0, F.lit(False))
+    fallback = F.when(opened & ~closed, _heal_result(close_tag, "close_tag_fallback"))
     return (
         F.when(opened & closed & filled, _heal_result(c, None))
         .when(opened & ~closed & (F.length(after_tag) > 20), _heal_result(close_tag, "close_tag"))
-        .when(~opened & think_closed & has_box, _heal_result(insert(boxed), "boxed_extraction"))
-        .when(
-            ~opened & think_closed & phrase.isNotNull(),
-            _heal_result(insert(phrase), "pattern_extraction"),
-        )
-        .when(
-            opened & (F.length(strip(content)) < 20) & has_box,
-            _heal_result(replaced, "answer_replacement"),
-        )
-        .when(opened & ~closed, _heal_result(close_tag, "close_tag_fallback"))
-        .otherwise(_heal_result(c, None))
+        .otherwise(F.coalesce(inserted, replaced, fallback, _heal_result(c, None)))
     )
 
 

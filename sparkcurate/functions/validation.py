@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkcurate.config import IssueTexts, Rules
+from sparkcurate.functions.binding import once
 from sparkcurate.functions.text import block, strip
 
 # What counts as LaTeX, and the step markers looked for in a reasoning.
@@ -53,16 +54,22 @@ def latex_issues(
     c: Column, plain_text_patterns: tuple[str, ...] = (), texts: IssueTexts = IssueTexts()
 ) -> Column:
     """Plain-text symbols outside math, absence of LaTeX, and unclosed dollar signs."""
-    checks = []
+    plain = _issues()
     if plain_text_patterns:
-        outside = strip_math(c)
-        checks = [
-            F.when(outside.rlike(f"(?U){p}"), F.lit(texts.plain_text + p))
-            for p in plain_text_patterns
-        ]
-    checks.append(F.when(~has_math(c), F.lit(texts.no_latex)))
-    checks.append(F.when(odd_dollars(c), F.lit("Unclosed LaTeX $ delimiter")))
-    return _issues(*checks)
+        plain = once(
+            strip_math(c),
+            lambda outside: _issues(
+                *[
+                    F.when(outside.rlike(f"(?U){p}"), F.lit(texts.plain_text + p))
+                    for p in plain_text_patterns
+                ]
+            ),
+        )
+    general = _issues(
+        F.when(~has_math(c), F.lit(texts.no_latex)),
+        F.when(odd_dollars(c), F.lit("Unclosed LaTeX $ delimiter")),
+    )
+    return F.concat(plain, general)
 
 
 def repeats_itself(c: Column) -> Column:
@@ -70,10 +77,14 @@ def repeats_itself(c: Column) -> Column:
 
     A start is the lower-cased first 30 characters of a part longer than 30.
     """
-    parts = F.split(c, r"\.")
-    long_parts = F.filter(F.transform(parts, strip), lambda s: F.length(s) > 30)
-    starts = F.array_distinct(F.transform(long_parts, lambda s: F.lower(F.substring(s, 1, 30))))
-    return (F.size(parts) > 5) & (F.size(starts) < F.size(parts) * F.lit(0.5))
+
+
+    def repetitive(parts: Column) -> Column:
+        long_parts = F.filter(F.transform(parts, strip), lambda s: F.length(s) > 30)
+        starts = F.array_distinct(F.transform(long_parts, lambda s: F.lower(F.substring(s, 1, 30))))
+        return (F.size(parts) > 5) & (F.size(starts) < F.size(parts) * F.lit(0.5))
+
+    return once(F.split(c, r"\."), repetitive)
 
 
 def quality_issues(c: Column, rules: Rules = Rules()) -> Column:
@@ -83,30 +94,39 @@ def quality_issues(c: Column, rules: Rules = Rules()) -> Column:
     """
     min_reasoning = 100 if rules.min_reasoning_length is None else rules.min_reasoning_length
     min_answer = 10 if rules.min_answer_length is None else rules.min_answer_length
-    think, answer = block(c, "think"), block(c, "answer")
-    return _issues(
-        F.when(
-            F.length(strip(think)) < min_reasoning,
-            F.lit(f"Reasoning too short (< {min_reasoning} chars)"),
+    reasoning = once(
+        block(c, "think"),
+        lambda think: _issues(
+            F.when(
+                F.length(strip(think)) < min_reasoning,
+                F.lit(f"Reasoning too short (< {min_reasoning} chars)"),
+            ),
+            F.when(~think.rlike(STEP_MARKERS), F.lit("No clear step-by-step structure detected")),
         ),
-        F.when(~think.rlike(STEP_MARKERS), F.lit("No clear step-by-step structure detected")),
-        F.when(F.length(strip(answer)) < min_answer, F.lit(rules.texts.short_answer)),
+    )
+    rest = _issues(
+        F.when(F.length(strip(block(c, "answer"))) < min_answer, F.lit(rules.texts.short_answer)),
         F.when(repeats_itself(c), F.lit(rules.texts.loop)),
     )
+    return F.concat(reasoning, rest)
 
 
 def rule_issues(c: Column, rules: Rules) -> Column:
     """Issues of an output under a task's rules, in the order the rules are stated."""
-    low = F.lower(c)
     flat = [tag for pair in rules.require_tags for tag in pair]
-    missing = [F.when(F.instr(low, t.lower()) == 0, F.lit(f"missing {t}")) for t in flat]
-    checks = list(missing)
+
+    def required(places: Column) -> Column:
+        """``places`` holds the first position of every required tag, 0 for an absent one."""
+        absent = [F.when(places[i] == 0, F.lit(f"missing {t}")) for i, t in enumerate(flat)]
+        disorder = (F.array_min(places) > 0) & (places != F.array_sort(places))
+        return _issues(*absent, F.when(disorder, F.lit("tags out of order")))
+
+    tags = _issues()
     if flat:
-        places = [F.instr(low, t.lower()) for t in flat]
-        present, ordered = places[0] > 0, F.lit(True)
-        for before, after in zip(places, places[1:]):
-            present, ordered = present & (after > 0), ordered & (before <= after)
-        checks.append(F.when(present & ~ordered, F.lit("tags out of order")))
+        tags = once(
+            once(F.lower(c), lambda low: F.array(*[F.instr(low, t.lower()) for t in flat])), required
+        )
+    checks = []
     if rules.require_latex:
         checks.append(F.when(~c.rlike(ANY_LATEX), F.lit("no LaTeX detected")))
     for tag, what, least in (
@@ -120,16 +140,21 @@ def rule_issues(c: Column, rules: Rules) -> Column:
                     F.lit(f"{what} too short (< {least} chars)"),
                 )
             )
-    return _issues(*checks)
+    return F.concat(tags, _issues(*checks))
 
 
 def rule_message(issues: Column) -> Column:
-    return F.when(F.size(issues) == 0, F.lit("valid")).otherwise(F.array_join(issues, ", "))
+    return once(
+        issues, lambda i: F.when(F.size(i) == 0, F.lit("valid")).otherwise(F.array_join(i, ", "))
+    )
 
 
 def detailed_flags(c: Column, rules: Rules) -> Column:
     """Struct of the trial-mode checks of one output."""
-    low = F.lower(c)
+    return once(F.lower(c), lambda low: _detailed_flags(c, low, rules))
+
+
+def _detailed_flags(c: Column, low: Column, rules: Rules) -> Column:
     tags = {
         "has_think_open": F.contains(low, F.lit("<think>")),
         "has_think_close": F.contains(low, F.lit("</think>")),

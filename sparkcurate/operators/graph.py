@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcurate.functions.binding import once
 from sparkcurate.functions.scoring import dataset_node_size, paper_node_size
 from sparkcurate.functions.text import keyword_tokens
 from sparkcurate.operators.catalogue import qa_counts
@@ -44,30 +45,57 @@ def _shaped(df: DataFrame, ddl: str) -> DataFrame:
 def top_keywords(df: DataFrame, text: Column, k: int = 10, name: str = "keywords") -> DataFrame:
     """Add the ``k`` most frequent keywords of a text, earlier ones first on ties.
 
-    Everything happens inside the row: tokens are sorted with their positions, so each
-    distinct token is one run of the sorted array; its first element holds the first position
-    and the next run's start gives the count. No shuffle, whatever the text lengths are.
+    Everything happens inside the row, without a shuffle, whatever the text lengths are: the
+    sorted tokens form runs of equal words, one regular expression cuts the runs apart, and a
+    run's length gives the count. Positions are looked up only for words at least as frequent
+    as the ``k``-th, which are few in a long text.
     """
-    tokens = F.transform(keyword_tokens(text), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    ordered = settled(df, {"_a": F.sort_array(tokens)})
-    # The index of every element that opens a run, or null.
-    opens = F.transform(
-        F.col("_a"),
-        lambda s, i: F.when(
-            (i == 0) | (s["t"] != F.try_element_at(F.col("_a"), i)["t"]), i
-        ),
+    words = settled(df, {"_w": keyword_tokens(text)})
+    runs = settled(
+        words,
+        {
+            "_runs": F.regexp_extract_all(
+                F.array_join(F.sort_array("_w"), " "), F.lit(r"\b([a-z]+)(?: \1\b)*"), F.lit(0)
+            ),
+            "_line": F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")),
+        },
     )
-    runs = settled(ordered, {"_s": F.array_compact(opens)})
-    counted = F.transform(
-        F.col("_s"),
-        lambda s, j: F.struct(
-            (s - F.coalesce(F.try_element_at(F.col("_s"), j + 2), F.size("_a"))).alias("less"),
-            F.element_at(F.col("_a"), s + 1)["i"].alias("i"),
-            F.element_at(F.col("_a"), s + 1)["t"].alias("t"),
-        ),
+    counted = settled(
+        runs,
+        {
+            "_c": F.transform(
+                "_runs",
+                lambda r: once(
+                    F.substring_index(r, " ", 1),
+                    lambda w: F.struct(
+                        ((F.length(r) + 1) / (F.length(w) + 1)).cast("int").alias("n"), w.alias("w")
+                    ),
+                ),
+            )
+        },
+    )
+    # The count of the k-th most frequent word; every word counts when there are fewer.
+    least = F.coalesce(
+        F.try_element_at(F.sort_array(F.transform("_c", lambda c: c["n"]), asc=False), F.lit(k)),
+        F.lit(1),
+    )
+    frequent = settled(settled(counted, {"_least": least}), {
+        "_f": F.filter("_c", lambda c: c["n"] >= F.col("_least"))
+    })
+    ranked = F.sort_array(
+        F.transform(
+            "_f",
+            lambda c: F.struct(
+                (-c["n"]).alias("less"),
+                F.call_function(
+                    "instr", F.col("_line"), F.concat(F.lit(" "), c["w"], F.lit(" "))
+                ).alias("at"),
+                c["w"].alias("w"),
+            ),
+        )
     )
-    best = F.transform(F.slice(F.sort_array(counted), 1, k), lambda r: r["t"])
-    return settled(runs, {name: best}).select(*df.columns, name)
+    best = F.transform(F.slice(ranked, 1, k), lambda r: r["w"])
+    return settled(frequent, {name: best}).select(*df.columns, name)
 
 
 def paper_text() -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate.config import Task
+from sparkcurate.functions.binding import once
 from sparkcurate.functions.papers import candidate_urls, has_full_text, title_key
 from sparkcurate.functions.prompts import CHUNK_SIZE, LONG_CONTENT, author_line, pair_hint, render
 from sparkcurate.functions.scoring import pipeline_sizes
@@ -38,9 +39,13 @@ def english_only(papers: DataFrame) -> DataFrame:
 
 
 def distinct_papers(papers: DataFrame) -> DataFrame:
-    """English papers, each paper id and each title once, earlier sources first."""
+    """English papers, each paper id and each title once, earlier sources first.
+
+    Titles are compared by their md5, which keeps long ones out of the shuffles.
+    """
     return greedy_dedup(
-        english_only(papers), ["source_rank", "pos"], [F.col("paper_id"), title_key(F.col("title"))]
+        english_only(papers), ["source_rank", "pos"],
+        [F.col("paper_id"), F.md5(title_key(F.col("title")))],
     )
 
 
@@ -155,11 +160,11 @@ def parse_pairs(df: DataFrame, completion: str = "output") -> DataFrame:
     """One row per pair of a completion: ``pair``, ``instruction`` and the canonical ``output``."""
     carried = [c for c in df.columns if c != completion]
     b = F.col("_b")
-    think = F.coalesce(strip(block(b, "think")), F.lit(""))
-    output = F.concat(
-        F.when(think != "", F.concat(F.lit("<think>"), think, F.lit("</think>\n"))).otherwise(""),
-        F.lit("<answer>"), strip(block(b, "answer")), F.lit("</answer>"),
+    lead = once(
+        strip(block(b, "think")),
+        lambda t: F.when(t != "", F.concat(F.lit("<think>"), t, F.lit("</think>\n"))).otherwise(""),
     )
+    output = F.concat(lead, F.lit("<answer>"), strip(block(b, "answer")), F.lit("</answer>"))
     return (
         df.select(*carried, F.posexplode(_qa_blocks(F.col(completion))).alias("pair", "_b"))
         .withColumn("instruction", strip(block(b, "question")))
@@ -250,7 +255,7 @@ def topic_papers(topics: DataFrame, papers: DataFrame) -> DataFrame:
     key = lambda c: F.struct(F.col("topic"), c)
     kept = greedy_dedup(
         english_only(papers), ["topic", "source_rank", "pos"],
-        [key(F.col("paper_id")), key(title_key(F.col("title")))],
+        [key(F.col("paper_id")), key(F.md5(title_key(F.col("title"))))],
     )
     order = [F.col("citation_count").desc(), F.col("source_rank"), F.col("pos")]
     ranked = top_per_key(kept, "topic", order, most, "rank")

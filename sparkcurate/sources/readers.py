@@ -23,6 +23,20 @@ PAPER_SCHEMA = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores; a large one is returned as it is.
+
+    One small file is one task however many cores there are, which matters when every row is
+    costly. Whether the input is small is judged by its size on disk, so a table with enough
+    splits of its own is never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < cores * split else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA) -> DataFrame:
     """Strict JSON lines: a malformed line fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
