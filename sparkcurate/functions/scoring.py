@@ -90,9 +90,9 @@ def metric_bucket(value: Column) -> Column:
 
 def metric_text(value: Column) -> Column:
     """Percent text of a 0..1 metric with one decimal."""
-    return F.coalesce(
-        F.concat(F.format_string("%.1f", rounded(value * 100, ties_up=True)), F.lit("%")), F.lit("\u2014")
-    )
+    percent = F.format_string("%.1f", rounded(value * 100, ties_up=True))
+    # format_string prints something for null, so null is taken care of first.
+    return F.when(value.isNull(), F.lit("\u2014")).otherwise(F.concat(percent, F.lit("%")))
 
 
 def dataset_node_size(qa_count: Column) -> Column:

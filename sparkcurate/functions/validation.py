@@ -17,7 +17,7 @@ LATEX_OPERATORS = (
     "sigma", "psi", "phi", "omega", "alpha", "beta", "gamma", "delta", "epsilon", "hbar", "nabla",
     "partial", "frac", "sqrt", "sum", "prod", "int", "ket", "bra", "langle", "rangle",
 )
-STEP_MARKERS = r"(?i)step 1|first,|1\.|1\)|let us|we begin|starting with"
+STEP_MARKERS = ("step 1", "first,", "1.", "1)", "let us", "we begin", "starting with")
 MATH_ENVIRONMENTS = "equation|align|gather|multline"
 
 EMPTY_ISSUES = "array<string>"
@@ -87,6 +87,18 @@ def repeats_itself(c: Column) -> Column:
     return once(F.split(c, r"\."), repetitive)
 
 
+def has_steps(reasoning: Column) -> Column:
+    """True when the text holds one of the step markers, in any case."""
+
+    def any_marker(low: Column) -> Column:
+        found = F.lit(False)
+        for marker in STEP_MARKERS:
+            found = found | F.contains(low, F.lit(marker))
+        return found
+
+    return once(F.lower(reasoning), any_marker)
+
+
 def quality_issues(c: Column, rules: Rules = Rules()) -> Column:
     """Short reasoning, no visible steps, short answer, repetition.
 
@@ -101,7 +113,7 @@ def quality_issues(c: Column, rules: Rules = Rules()) -> Column:
                 F.length(strip(think)) < min_reasoning,
                 F.lit(f"Reasoning too short (< {min_reasoning} chars)"),
             ),
-            F.when(~think.rlike(STEP_MARKERS), F.lit("No clear step-by-step structure detected")),
+            F.when(~has_steps(think), F.lit("No clear step-by-step structure detected")),
         ),
     )
     rest = _issues(

@@ -11,8 +11,15 @@ from sparkcurate.session import materialise
 
 
 def greedy_dedup(df: DataFrame, order: Sequence[str], keys: Sequence[Column]) -> DataFrame:
+    """The rows of ``df`` that :func:`greedy_order` keeps."""
+    return df.join(greedy_order(df, order, keys), list(order), "left_semi")
+
+
+def greedy_order(df: DataFrame, order: Sequence[str], keys: Sequence[Column]) -> DataFrame:
     """Walk the rows in ``order``; keep a row unless a *kept* earlier row shares one of its keys.
 
+    Returns the ``order`` columns of the kept rows.
+
     Only kept rows use up keys, so this is not the same as dropping duplicates key by key.
     The order must be total. The walk is done in rounds on the whole table: a row that is the
     first undecided one of all its keys is kept, every row sharing a key with it is dropped,
@@ -41,5 +48,5 @@ def greedy_dedup(df: DataFrame, order: Sequence[str], keys: Sequence[Column]) ->
             rest = rest.join(won.select(name), name, "left_anti")
         undecided = materialise(rest, "dedup-rest")
     if kept is None:
-        return df.limit(0)
-    return df.join(kept.select("_rank.*"), list(order), "left_semi")
+        return df.select(*order).limit(0)
+    return kept.select("_rank.*")

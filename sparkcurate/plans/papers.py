@@ -16,7 +16,7 @@ from sparkcurate.functions.scoring import pipeline_sizes
 from sparkcurate.functions.text import block, is_english, strip
 from sparkcurate.operators.chunking import chunk_texts
 from sparkcurate.operators.completion import CompleteFn, complete_with_retry
-from sparkcurate.operators.dedup import greedy_dedup
+from sparkcurate.operators.dedup import greedy_order
 from sparkcurate.operators.ranking import first_per_key, top_per_key
 
 UNLIMITED = 2**31 - 1
@@ -43,10 +43,10 @@ def distinct_papers(papers: DataFrame) -> DataFrame:
 
     Titles are compared by their md5, which keeps long ones out of the shuffles.
     """
-    return greedy_dedup(
-        english_only(papers), ["source_rank", "pos"],
-        [F.col("paper_id"), F.md5(title_key(F.col("title")))],
-    )
+    order = ["source_rank", "pos"]
+    keys = [F.col("paper_id"), F.md5(title_key(F.col("title")))]
+    # Joined to all papers: those kept are English already, so the test is not made again.
+    return papers.join(greedy_order(english_only(papers), order, keys), order, "left_semi")
 
 
 def collect_papers(frames: Sequence[DataFrame], max_results: int = 20) -> DataFrame:
@@ -253,10 +253,9 @@ def topic_papers(topics: DataFrame, papers: DataFrame) -> DataFrame:
     sizes = topics.select("topic", pipeline_sizes(F.col("target")).alias("_s")).select("topic", "_s.*")
     most = sizes.agg(F.max("max_papers")).first()[0] or 0
     key = lambda c: F.struct(F.col("topic"), c)
-    kept = greedy_dedup(
-        english_only(papers), ["topic", "source_rank", "pos"],
-        [key(F.col("paper_id")), key(F.md5(title_key(F.col("title"))))],
-    )
+    place = ["topic", "source_rank", "pos"]
+    keys = [key(F.col("paper_id")), key(F.md5(title_key(F.col("title"))))]
+    kept = papers.join(greedy_order(english_only(papers), place, keys), place, "left_semi")
     order = [F.col("citation_count").desc(), F.col("source_rank"), F.col("pos")]
     ranked = top_per_key(kept, "topic", order, most, "rank")
     return (

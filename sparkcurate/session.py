@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders of local-mode applications that name none themselves.
+_own_folders: dict[str, str] = {}
+
+
 def local_session(cores: str = "8", app: str = "sparkcurate") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster use the session you are given."""
     return (
@@ -35,11 +39,12 @@ def scratch_dir(spark: SparkSession) -> str:
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="sparkcurate-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="sparkcurate-")
+    return _own_folders[context.applicationId]
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions.papers import INDEX_RECORD, arxiv_id, paper_id
 from sparkcurate.functions.text import strip
+from sparkcurate.operators.rows import settled
 
 # Schemas of the records passed between the steps.
 SAMPLE_SCHEMA = "instruction string, output string, valid boolean, healed boolean, heal_methods array<string>"
@@ -34,7 +35,10 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if size < cores * split else df
+    if size >= cores * split:
+        return df
+    # Settled, because filters would otherwise move below the exchange, back into one task.
+    return settled(df.repartition(cores), {c: F.col(f"`{c}`") for c in df.columns})
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA) -> DataFrame:
@@ -109,24 +113,38 @@ def read_hub_dataset(
     return spark.read.format(fmt).load(splits[choose_split(list(splits), wanted)])
 
 
+def _one_slash(path):
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
     """Files of a folder by name: path, size, non-blank lines, modification time.
 
-    Names and sizes come from a listing whose content column is never read, so empty files
-    are there too.
+    Lines are counted by a job; names and sizes come from the file system's own listing,
+    because a scan leaves empty files out.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(
-        "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")
+    context = spark.sparkContext
+    glob = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = glob.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(glob)
+    listing = spark.createDataFrame(
+        [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found or []],
+        "path string, size_bytes bigint, modified bigint",
+    ).withColumns(
+        {
+            # Both sides as file:/a/b, however many slashes the listing or the scan writes.
+            "_path": _one_slash(F.col("path")),
+            "modified": F.timestamp_millis("modified"),
+        }
     )
     counts = (
         spark.read.option("pathGlobFilter", pattern).text(folder)
         .filter(F.length(strip(F.col("value"))) > 0)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .groupBy(_one_slash(F.col("_metadata.file_path")).alias("_path"))
         .agg(F.count(F.lit(1)).alias("line_count"))
     )
     file_name = F.element_at(F.split("path", "/"), -1)
     return (
-        listing.join(counts, "path", "left")
+        listing.join(counts, "_path", "left")
         .select(
             F.regexp_replace(file_name, r"\.[^.]*$", "").alias("name"), "path", "size_bytes",
             F.coalesce("line_count", F.lit(0)).alias("line_count"), "modified",
