@@ -204,6 +204,32 @@ def _(spark, sf):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+@check(
+    "delete_users",
+    with_views(
+        "cat_datasets", "cat_papers", "qa",
+        body="""+ g AS (SELECT id FROM cat_datasets WHERE user_id = 2)
+SELECT 'datasets' AS t, id FROM cat_datasets WHERE user_id <> 2
+UNION ALL SELECT 'papers', id FROM cat_papers WHERE dataset_id IS NULL OR dataset_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'qa', id FROM qa WHERE dataset_id NOT IN (SELECT id FROM g) AND (paper_id IS NULL OR paper_id NOT IN (SELECT id FROM cat_papers WHERE dataset_id IN (SELECT id FROM g)))""",
+    ),
+)
+def _(spark, sf):
+    sets, papers, qa = (view(spark, sf, n) for n in ("cat_datasets", "cat_papers", "qa"))
+    left = C.delete_users(sets, papers, qa, sets.filter("user_id = 2").select(F.col("user_id").alias("id")).distinct())
+    named = [d.select(F.lit(n).alias("t"), "id") for n, d in zip(("datasets", "papers", "qa"), left)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@check(
+    "training_source",
+    with_views("cat_datasets", body="SELECT id, output_path FROM cat_datasets d WHERE status = 'completed' AND output_path = (SELECT arg_max(output_path, (completed_at, id)) FROM cat_datasets c WHERE c.status = 'completed' AND c.user_id = 1)"),
+)
+def _(spark, sf):
+    sets = view(spark, sf, "cat_datasets")
+    return sets.filter(F.col("output_path") == D.training_source(sets, 1)).select("id", "output_path")
+
+
 @check(
     "delete_papers",
     with_views(

@@ -416,3 +416,57 @@ def _(spark, sf):
         "doc_id", R.author_line(a).alias("five"), R.author_line_et_al(a).alias("three"),
         R.author_line_et_al(F.slice(a, 1, 2)).alias("two"),
     )
+
+
+# --- whole datasets --------------------------------------------------------------------------
+
+
+def tagged_pairs(systems, users):
+    """A stand-in completion with a valid pair, except that some answers are too short."""
+    return [
+        f"<qa><question>Q {len(u)}?</question><think>Step 1. {u}</think><answer>"
+        + ("short" if len(u) % 4 == 0 else u) + "</answer></qa>"
+        for u in users
+    ]
+
+
+TOPIC_FETCH = """SELECT 'arxiv:'||CAST(doc_id AS VARCHAR(20)) AS paper_id, doc_id AS pos, 0 AS source_rank, lang AS topic,
+ split_part(text, chr(10), 1)||' '||CAST(doc_id AS VARCHAR(20)) AS title, text AS abstract, (doc_id * 7919) % 1000 AS citation_count, source FROM {documents}"""
+
+
+@check(
+    "build_dataset",
+    f"""WITH p AS ({TOPIC_FETCH.format(documents='documents')}),
+t AS (SELECT lang AS topic, greatest(10, ceil(count(*) / 3))::BIGINT AS m FROM documents GROUP BY lang),
+r AS (SELECT p.*, row_number() OVER (PARTITION BY topic ORDER BY citation_count DESC, pos) AS rank FROM p WHERE {english("(title||' '||abstract)")}),
+f AS (SELECT r.*, {strip('abstract')} AS full_text FROM r JOIN t USING (topic) WHERE rank <= m AND rank <= greatest(5, m // 4) AND length({strip('abstract')}) > 100),
+"""
+    + chunked("f", "pos", "full_text", 10000, "chr(10)", 12000)
+    + f""",
+u AS (SELECT f.paper_id, a.idx, 'T: '||f.title||chr(10)||CASE WHEN b.plain IS NULL THEN '' ELSE {last_sentences('b.plain')}||chr(10)||chr(10) END||a.plain AS u
+ FROM ch a LEFT JOIN ch b ON b.k = a.k AND b.idx = a.idx - 1 JOIN f ON f.pos = a.k),
+o AS (SELECT paper_id, idx, u, '<think>Step 1. '||u||'</think>'||chr(10)||'<answer>'||CASE WHEN length(u) % 4 = 0 THEN 'short' ELSE {strip('u')} END||'</answer>' AS output FROM u)
+SELECT paper_id AS source_paper, count(*) AS samples, count(*) FILTER (length(u) % 4 <> 0 AND length({strip('u')}) >= 10
+  AND length({strip("'Step 1. '||u")}) >= 100
+  AND NOT (len(string_split(output, '.')) > 5 AND len(list_distinct(list_transform(list_filter(list_transform(string_split(output, '.'), lambda s: {strip('s')}), lambda s: length(s) > 30), lambda s: lower(left(s, 30))))) < len(string_split(output, '.')) * 0.5)) AS kept
+FROM o GROUP BY 1""",
+)
+def _(spark, sf):
+    from sparkcurate.config import Rules
+    from sparkcurate.plans.datasets import build_dataset
+
+    docs = table(spark, sf, "documents")
+    none = F.lit(None).cast("string")
+    papers = spark.sql(TOPIC_FETCH, documents=docs).withColumns(
+        {"authors": F.array("source"), "year": F.lit(2024), "doi": none, "url": none, "pdf_url": none, "full_text": none}
+    )
+    fetched = docs.select(
+        F.concat(F.lit("https://arxiv.org/pdf/"), F.col("doc_id").cast("string")).alias("url"), "text",
+        none.alias("pdf_path"),
+    )
+    topics = docs.groupBy(F.col("lang").alias("topic")).agg(F.count(F.lit(1)).alias("target"))
+    task = Task("s", "T: {title}\n{content}", Rules(check_latex_consistency=False))
+    built = build_dataset(topics, papers, fetched, tagged_pairs, task, "\n")
+    return built.filtered.decided.groupBy("source_paper").agg(
+        F.count(F.lit(1)).alias("samples"), F.count_if("keep").alias("kept")
+    )

@@ -128,6 +128,14 @@ def delete_dataset(
     )
 
 
+def delete_users(
+    datasets: DataFrame, papers: DataFrame, qa: DataFrame, gone: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New versions of the tables without the datasets of the users in ``gone`` (id)."""
+    owned = datasets.join(gone.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    return delete_dataset(datasets, papers, qa, owned)
+
+
 def delete_papers(papers: DataFrame, qa: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New versions of the tables without the papers in ``gone`` (id) and their pairs."""
     gone = gone.select("id")

@@ -342,10 +342,10 @@ def expand_paper(
             F.lit("qa-exp-"), (F.row_number().over(Window.orderBy("id")) - 1).cast("string")
         ),
     )
-    hub = nodes.filter(F.col("id") == node_id).select(
-        F.lit(paper).cast("bigint").alias("paper_id"), "color", "cluster"
-    )
-    rows = numbered.withColumn("paper_id", F.col("paper_id").cast("bigint")).join(hub, "paper_id")
+    hub = nodes.filter(F.col("id") == node_id).select("color", "cluster").first()
+    if hub is None:
+        return nodes, links
+    rows = numbered.withColumns({"color": F.lit(hub["color"]), "cluster": F.lit(hub["cluster"])})
     answer = F.coalesce(F.nullif("answer_text", F.lit("")), F.col("output"), F.lit(""))
     new_links = _shaped(
         rows.select(
