@@ -314,7 +314,7 @@ def _(spark, sf):
 def _(spark, sf):
     own = view(spark, sf, "cat_papers").filter("user_id = 1")
     total = own.count()
-    return page(own, [F.col("id").desc()], 2, 50).select("id", "title", F.lit(total).alias("total"))
+    return page(own, [F.col("id").desc()], 2, 50).select("id", "title", F.lit(total).cast("bigint").alias("total"))
 
 
 @check("page_after", with_views("qa", body="SELECT id, instruction FROM qa WHERE id > 500 ORDER BY id LIMIT 20"))
@@ -535,7 +535,7 @@ best AS (SELECT f.item_id, a.attempt, a.output, fv IS NOT NULL AS valid, coalesc
 """
 
 
-@check("best_attempt", with_views("attempts", body=BEST + "SELECT * FROM best"))
+@check("best_attempt", with_views("attempts", body=BEST + "SELECT item_id, attempt::INT AS attempt, output, valid, attempts_used FROM best"))
 def _(spark, sf):
     return A.best_attempt(view(spark, sf, "attempts"), "item_id")
 
@@ -583,21 +583,25 @@ def _(spark, sf):
 
 @check(
     "resume_by_position",
-    with_views("attempts", body="SELECT doc_id FROM documents WHERE doc_id + 1 > (SELECT count(DISTINCT item_id) FROM attempts)"),
+    "SELECT doc_id FROM documents WHERE doc_id + 1 > (SELECT count(*) FROM labels)",
 )
 def _(spark, sf):
-    done = view(spark, sf, "attempts").select("item_id").distinct().count()
+    done = table(spark, sf, "labels").count()
     items = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") + 1).alias("position"))
     return A.missing_items_by_position(items, done, "position").select("doc_id")
 
 
-def echo_answer(systems, users):
+def echo_answer():
     """A stand-in completion: tagged for most prompts, nothing for some."""
-    return [
-        None if len(u) % 5 == 0
-        else f"<think>{u}</think><answer>{u}</answer>" if len(u) % 3 else f"<answer>{u}"
-        for u in users
-    ]
+
+    def call(systems, users):
+        return [
+            None if len(u) % 5 == 0
+            else f"<think>{u}</think><answer>{u}</answer>" if len(u) % 3 else f"<answer>{u}"
+            for u in users
+        ]
+
+    return call
 
 
 ECHO_TASK = Task(
@@ -617,7 +621,7 @@ def _(spark, sf):
     items = view(spark, sf, "sourced").select(
         "line_no", F.col("instruction").alias("question"), F.col("source_title").alias("answer")
     )
-    return P.generate(items, echo_answer, ECHO_TASK, "line_no").select(
+    return P.generate(items, echo_answer(), ECHO_TASK, "line_no").select(
         "line_no", "attempt", "valid", F.col("output").isNotNull().alias("given")
     )
 
@@ -630,5 +634,5 @@ def _(spark, sf):
     items = view(spark, sf, "sourced").select(
         "line_no", F.col("instruction").alias("question"), F.col("source_title").alias("answer")
     )
-    attempts = P.generate(items, echo_answer, ECHO_TASK, "line_no")
+    attempts = P.generate(items, echo_answer(), ECHO_TASK, "line_no")
     return P.generated_samples(attempts, items, "line_no")

@@ -92,8 +92,8 @@ def _(spark, sf):
     return E.select_corrections(flat, 40.0, "overall_accuracy", "score").select("idx")
 
 
-# Evaluation attempts: many per user, some failed, some all zero.
-EVAL_ATTEMPTS = """SELECT user_id AS question_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt,
+# Evaluation attempts, four per question: some failed, some all zero.
+EVAL_ATTEMPTS = """SELECT CAST(floor(event_id / 4) AS BIGINT) AS question_id, event_id % 4 + 1 AS attempt,
  event_type IN ('error', 'view', 'click') AS skipped,
  CASE event_type WHEN 'error' THEN 'Judge model failed' WHEN 'view' THEN 'No response' WHEN 'click' THEN 'No Semantic Scholar Articles found' END AS reason,
  CASE WHEN event_id % 2 = 0 THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS points, event_id FROM {events}"""
@@ -104,7 +104,7 @@ EVAL_ATTEMPTS = """SELECT user_id AS question_id, row_number() OVER (PARTITION B
     f"""WITH e AS ({EVAL_ATTEMPTS.format(events='events')}),
 a AS (SELECT *, NOT skipped AND points > 0 AS good FROM e WHERE attempt <= 3),
 w AS (SELECT question_id, coalesce(min(attempt) FILTER (good), max(attempt)) AS attempt FROM a GROUP BY 1)
-SELECT question_id, attempt, skipped, reason, points, event_id FROM a JOIN w USING (question_id, attempt)""",
+SELECT question_id, attempt::INT AS attempt, skipped, reason, points, event_id FROM a JOIN w USING (question_id, attempt)""",
 )
 def _(spark, sf):
     rows = spark.sql(EVAL_ATTEMPTS, events=table(spark, sf, "events"))
@@ -212,13 +212,17 @@ def _(spark, sf):
     )
 
 
-def length_judge(systems, users):
+def length_judge():
     """A stand-in judge: scores from the length of the prompt, nothing for some prompts."""
-    return [
-        None if len(u) % 7 == 0
-        else f"FACTUAL_ACCURACY: {len(u) % 101}\nCOMPLETENESS: {len(u) % 83}\nTECHNICAL_PRECISION: 40\nJUSTIFICATION: ok"
-        for u in users
-    ]
+
+    def call(systems, users):
+        return [
+            None if len(u) % 7 == 0
+            else f"FACTUAL_ACCURACY: {len(u) % 101}\nCOMPLETENESS: {len(u) % 83}\nTECHNICAL_PRECISION: 40\nJUSTIFICATION: ok"
+            for u in users
+        ]
+
+    return call
 
 
 _TEMPLATE_CHARS = len(R.JUDGE_TEMPLATE.format(question="", answer="", reference="", context=""))
@@ -233,7 +237,7 @@ _EVALUATED = GROUNDED + f""", ev AS MATERIALIZED (SELECT id AS question_id, CASE
     with_views("qa", "library", body=_EVALUATED + "SELECT question_id, reason, reason IS NOT NULL AS skipped, CASE WHEN reason IS NULL THEN round(overall, 6) END AS overall FROM ev"),
 )
 def _(spark, sf):
-    done = P.evaluate(questions(spark, sf), full_library(spark, sf), length_judge, "question_id")
+    done = P.evaluate(questions(spark, sf), full_library(spark, sf), length_judge(), "question_id")
     return done.results.select(
         "question_id", "reason", "skipped", F.round("overall_score", 6).alias("overall")
     )
@@ -247,7 +251,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    done = P.evaluate(questions(spark, sf), full_library(spark, sf), length_judge, "question_id")
+    done = P.evaluate(questions(spark, sf), full_library(spark, sf), length_judge(), "question_id")
     return done.summary.select(
         F.round("overall_accuracy", 6).alias("overall_accuracy"), "samples_scored",
         "samples_skipped", "samples_failed",
@@ -342,12 +346,16 @@ def _(spark, sf):
     return P.append_corrections(training, replies(spark, sf).select("correction.*"))
 
 
-def rewrite(systems, users):
+def rewrite():
     """A stand-in editor: a JSON answer holding the length of the prompt, broken for some."""
-    return [
-        "no json" if len(u) % 4 == 0 else f'```json\n{{"instruction": "i", "output": "{len(u)}"}}\n```'
-        for u in users
-    ]
+
+    def call(systems, users):
+        return [
+            "no json" if len(u) % 4 == 0 else f'```json\n{{"instruction": "i", "output": "{len(u)}"}}\n```'
+            for u in users
+        ]
+
+    return call
 
 
 _CORRECTION_CHARS = len(
@@ -368,9 +376,9 @@ def _(spark, sf):
         {"question": F.concat(F.lit("q"), F.col("idx").cast("string")),
          "answer": F.col("judge_response"), "reference": F.col("judge_response")}
     )
-    done = P.apply_corrections(results, None, rewrite)
+    done = P.apply_corrections(results, None, rewrite())
     failing = done.summary.first()["total_failing"]
-    return done.corrected.withColumn("failing", F.lit(failing))
+    return done.corrected.withColumn("failing", F.lit(failing).cast("bigint"))
 
 
 @check(

@@ -189,7 +189,7 @@ def _(spark, sf):
 
 @check(
     "jsonl_counted",
-    with_views("lines", body="SELECT count(*) AS lines, count(*) FILTER (doc_id % 5 IN (1, 2)) AS malformed, sum(doc_id) AS ids, count(*) AS distinct_lines FROM lines"),
+    with_views("lines", body="SELECT count(*) AS lines, count(*) FILTER (doc_id % 5 IN (1, 2)) AS malformed, sum(doc_id)::BIGINT AS ids, count(*) AS distinct_lines FROM lines"),
 )
 def _(spark, sf):
     folder = new_folder(spark, "counted")
@@ -203,7 +203,7 @@ def _(spark, sf):
     )
     ids = view(spark, sf, "lines").agg(F.sum("doc_id").alias("ids")).first()[0]
     return per_file.agg(
-        F.sum("n").alias("lines"), F.sum("bad").alias("malformed"), F.lit(ids).alias("ids"),
+        F.sum("n").alias("lines"), F.sum("bad").alias("malformed"), F.lit(ids).cast("bigint").alias("ids"),
         # Numbered 1..n in every file: as many different numbers as lines, none beyond.
         F.sum(F.when((F.col("low") == 1) & (F.col("high") == F.col("n")), F.col("numbers"))).alias("distinct_lines"),
     )
@@ -281,7 +281,7 @@ def _(spark, sf):
     O.write_report(rows.agg(F.count(F.lit(1)).alias("attempted")), {"results": rows}, folder)
     header = spark.read.json(f"{folder}/header").first()
     return spark.read.json(f"{folder}/results").select(
-        "idx", "judge_response", F.lit(header["attempted"]).alias("attempted")
+        "idx", "judge_response", F.lit(header["attempted"]).cast("bigint").alias("attempted")
     )
 
 

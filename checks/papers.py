@@ -10,7 +10,7 @@ from sparkcurate.config import Task
 from sparkcurate.functions import papers as C
 from sparkcurate.functions import prompts as R
 from sparkcurate.functions import text as X
-from sparkcurate.functions.scoring import pipeline_sizes
+from sparkcurate.functions.scoring import paper_targets
 from sparkcurate.operators.chunking import chunk_texts
 from sparkcurate.operators.completion import complete_with_retry
 from sparkcurate.operators.graph import paper_text, top_keywords
@@ -169,13 +169,13 @@ def _(spark, sf):
 
 
 @check(
-    "pipeline_sizes",
+    "paper_targets",
     """SELECT doc_id, greatest(10, ceil(n_chars / 3.0))::BIGINT AS max_papers,
  greatest(5, greatest(10, ceil(n_chars / 3.0))::BIGINT // 4)::BIGINT AS top_n FROM documents""",
 )
 def _(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", pipeline_sizes(F.col("n_chars")).alias("s")
+        "doc_id", paper_targets(F.col("n_chars")).alias("s")
     ).select("doc_id", "s.*")
 
 
@@ -280,13 +280,17 @@ def _(spark, sf):
     )
 
 
-def echo_pairs(systems, users):
+def echo_pairs():
     """A stand-in completion: a pair for long prompts, nothing usable for short ones."""
-    return [
-        {"text": f"<qa><question>Q {len(u)}?</question><answer>{u}</answer></qa>", "total_tokens": len(u)}
-        if len(u) >= 600 else "no pairs here"
-        for u in users
-    ]
+
+    def call(systems, users):
+        return [
+            {"text": f"<qa><question>Q {len(u)}?</question><answer>{u}</answer></qa>", "total_tokens": len(u)}
+            if len(u) >= 600 else "no pairs here"
+            for u in users
+        ]
+
+    return call
 
 
 _ECHO = chunked("library", "pos", "full_text", 10000, "chr(10)", 12000) + ", prompts AS (" + PROMPT_SQL.replace("{{by}}", "{by}") + ")"
@@ -298,7 +302,7 @@ _ECHO = chunked("library", "pos", "full_text", 10000, "chr(10)", 12000) + ", pro
 )
 def _(spark, sf):
     papers = library(spark, sf).withColumn("doi", F.lit(None).cast("string"))
-    samples, _attempts = P.papers_to_qa(papers, echo_pairs, TASK, "\n")
+    samples, _attempts = P.papers_to_qa(papers, echo_pairs(), TASK, "\n")
     return samples.select("source_paper", "section", "instruction", "output")
 
 
@@ -309,7 +313,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     prompts = P.paper_prompts(library(spark, sf), TASK, "\n")
-    return complete_with_retry(prompts, echo_pairs, P.has_pairs, 2).select(
+    return complete_with_retry(prompts, echo_pairs(), P.has_pairs, 2).select(
         "paper_id", "section", "attempt", "valid"
     )
 
@@ -347,7 +351,7 @@ def _(spark, sf):
     total = cited.agg(F.count(F.lit(1)).alias("total_papers")).first()[0]
     return cited.select(
         "paper_id", "title", "year", "abstract", "citation_count", "line_no",
-        F.lit(total).alias("total_papers"),
+        F.lit(total).cast("bigint").alias("total_papers"),
     )
 
 
@@ -421,13 +425,17 @@ def _(spark, sf):
 # --- whole datasets --------------------------------------------------------------------------
 
 
-def tagged_pairs(systems, users):
+def tagged_pairs():
     """A stand-in completion with a valid pair, except that some answers are too short."""
-    return [
-        f"<qa><question>Q {len(u)}?</question><think>Step 1. {u}</think><answer>"
-        + ("short" if len(u) % 4 == 0 else u) + "</answer></qa>"
-        for u in users
-    ]
+
+    def call(systems, users):
+        return [
+            f"<qa><question>Q {len(u)}?</question><think>Step 1. {u}</think><answer>"
+            + ("short" if len(u) % 4 == 0 else u) + "</answer></qa>"
+            for u in users
+        ]
+
+    return call
 
 
 TOPIC_FETCH = """SELECT 'arxiv:'||CAST(doc_id AS VARCHAR(20)) AS paper_id, doc_id AS pos, 0 AS source_rank, lang AS topic,
@@ -466,7 +474,7 @@ def _(spark, sf):
     )
     topics = docs.groupBy(F.col("lang").alias("topic")).agg(F.count(F.lit(1)).alias("target"))
     task = Task("s", "T: {title}\n{content}", Rules(check_latex_consistency=False))
-    built = build_dataset(topics, papers, fetched, tagged_pairs, task, "\n")
+    built = build_dataset(topics, papers, fetched, tagged_pairs(), task, "\n")
     return built.filtered.decided.groupBy("source_paper").agg(
         F.count(F.lit(1)).alias("samples"), F.count_if("keep").alias("kept")
     )

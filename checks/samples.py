@@ -616,8 +616,8 @@ _TH, _AN = strip(block("output", "think")), strip(block("output", "answer"))
     "preview",
     with_views(
         "samples",
-        body=f"""SELECT sample_id, length(instruction) AS instruction_chars, {cut('instruction', 500)} AS instruction_preview,
- length({_TH}) AS think_chars, {cut(_TH, 500)} AS think_preview, length({_AN}) AS answer_chars, left({_AN}, 300) AS answer_preview FROM samples""",
+        body=f"""SELECT sample_id, length(instruction)::INT AS instruction_chars, {cut('instruction', 500)} AS instruction_preview,
+ length({_TH})::INT AS think_chars, {cut(_TH, 500)} AS think_preview, length({_AN})::INT AS answer_chars, left({_AN}, 300) AS answer_preview FROM samples""",
     ),
 )
 def _(spark, sf):

@@ -106,11 +106,11 @@ SELECT event_id, user_id AS job_id, ts, CASE event_type WHEN 'view' THEN 'pendin
 FROM {events}
 """
 
-# Generation attempts; a null output is a failed call.
+# Generation attempts, five per item; a null output is a failed call.
 ATTEMPTS = """
-SELECT user_id AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt,
- CASE WHEN event_type = 'error' THEN NULL ELSE event_type||CAST(event_id AS VARCHAR(20)) END AS output,
- event_type = 'purchase' AND CAST(floor(value) AS BIGINT) % 7 = 0 AS valid,
+SELECT CAST(floor(event_id / 5) AS BIGINT) AS item_id, event_id % 5 + 1 AS attempt,
+ CASE WHEN event_type IN ('error', 'view') THEN NULL ELSE event_type||CAST(event_id AS VARCHAR(20)) END AS output,
+ event_type = 'purchase' AS valid,
  CAST(floor(value) AS BIGINT) AS prompt_tokens, CAST(floor(value / 2) AS BIGINT) AS completion_tokens,
  CAST(floor(value) AS BIGINT) + CAST(floor(value / 2) AS BIGINT) AS total_tokens
 FROM {events}

@@ -134,7 +134,7 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.when(start.isNull(), F.lit(0.0)).otherwise(micros / F.lit(1e6))
 
 
-def pipeline_sizes(target: Column) -> Column:
+def paper_targets(target: Column) -> Column:
     """Struct(max_papers, top_n) for a wanted number of pairs."""
     papers = F.greatest(F.lit(10), F.ceil(target / 3)).cast("bigint")
     return F.struct(

@@ -17,6 +17,8 @@ from sparkcurate.config import SplitRatios
 from sparkcurate.session import materialise
 
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
+_GROUP_LIMIT = 1000  # Spark's own limit for cutting a window group before the shuffle
+_SALTS = 64
 _PREFIX = 4  # hex digits counted per step: at most 65,536 groups
 _SMALL = 10_000  # a group this small is ordered directly
 
@@ -43,8 +45,19 @@ def first_per_key(
 
 
 def top_per_key(df: DataFrame, key: str, order: Sequence[Column], k: int, rank: str) -> DataFrame:
-    """The first ``k`` rows of every key. Spark limits each task to ``k`` rows per key before
-    the shuffle because the rank is filtered right away."""
+    """The first ``k`` rows of every key; ``order`` should be total.
+
+    Spark limits each task to ``k`` rows per key before the shuffle, because the rank is
+    filtered right away, as long as ``k`` is small. For a larger ``k`` a key is first cut to
+    its first ``k`` rows in each of several parts, so that a frequent key is not sorted by one
+    task; whatever the parts are, they hold the first ``k`` of all.
+    """
+    if k >= _GROUP_LIMIT:
+        parts = df.withColumn("_salt", F.spark_partition_id() % _SALTS)
+        within = Window.partitionBy(key, "_salt").orderBy(*order)
+        df = parts.withColumn(rank, F.row_number().over(within)).filter(F.col(rank) <= k).drop(
+            "_salt", rank
+        )
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
@@ -104,20 +117,28 @@ def random_order(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def cut_value(df: DataFrame, order: Column, n: int) -> str:
+def _prefix_counts(hashes: DataFrame, prefix: str = "") -> list[tuple[str, int]]:
+    """Rows per next hash digits among those that start with ``prefix``, in hash order."""
+    size = len(prefix) + _PREFIX
+    if size > 32:
+        raise ValueError("the key of a random order must be unique")
+    within = hashes.filter(F.startswith(F.col("h"), F.lit(prefix))) if prefix else hashes
+    groups = within.groupBy(F.substring("h", 1, size).alias("g")).count()
+    return [(g, n) for g, n in sorted(groups.collect())]
+
+
+def cut_value(
+    df: DataFrame, order: Column, n: int, counts: list[tuple[str, int]] | None = None
+) -> str:
     """Hex text ``t`` such that exactly ``n`` rows have ``order < t`` (for distinct values).
 
     Descends through hash prefixes: every step counts at most 65,536 groups, only the group
     that holds the cut is looked at further, and no step sorts more than a few thousand rows.
+    ``counts`` are those of the first step, when they are known already.
     """
     hashes, prefix, rest = df.select(order.alias("h")), "", n
     while True:
-        size = len(prefix) + _PREFIX
-        if size > 32:
-            raise ValueError("the key of a random order must be unique")
-        group = F.substring("h", 1, size)
-        within = hashes.filter(F.startswith(F.col("h"), F.lit(prefix))) if prefix else hashes
-        counts = within.groupBy(group.alias("g")).count().orderBy("g").collect()
+        counts = _prefix_counts(hashes, prefix) if counts is None else counts
         for g, count in counts:
             if rest < count:
                 break
@@ -126,7 +147,7 @@ def cut_value(df: DataFrame, order: Column, n: int) -> str:
             return "g"  # above every hex digit: all rows are below the cut
         if rest == 0:
             return g
-        prefix = g
+        prefix, counts = g, None
         if count <= _SMALL:
             rows = (
                 hashes.filter(F.startswith(F.col("h"), F.lit(prefix)))
@@ -160,14 +181,15 @@ def split(df: DataFrame, key: str, ratios: SplitRatios | None, name: str = "spli
     """
     if ratios is None:
         return df.withColumn(name, F.lit("train"))
-    _, val, test = split_sizes(df.count(), ratios)
     order = random_order(key, ratios.seed)
+    counts = _prefix_counts(df.select(order.alias("h")))
+    _, val, test = split_sizes(sum(n for _, n in counts), ratios)
     label = F.lit("train")
     if val + test:
-        held_cut = cut_value(df, order, val + test)
+        held_cut = cut_value(df, order, val + test, counts)
         label = F.when(order < held_cut, "validation").otherwise(label)
     if test:
-        label = F.when(order < cut_value(df, order, test), "test").otherwise(label)
+        label = F.when(order < cut_value(df, order, test, counts), "test").otherwise(label)
     return df.withColumn(name, label)
 
 

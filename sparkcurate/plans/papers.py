@@ -12,7 +12,7 @@ from sparkcurate.config import Task
 from sparkcurate.functions.binding import once
 from sparkcurate.functions.papers import candidate_urls, has_full_text, title_key
 from sparkcurate.functions.prompts import CHUNK_SIZE, LONG_CONTENT, author_line, pair_hint, render
-from sparkcurate.functions.scoring import pipeline_sizes
+from sparkcurate.functions.scoring import paper_targets
 from sparkcurate.functions.text import block, is_english, strip
 from sparkcurate.operators.chunking import chunk_texts
 from sparkcurate.operators.completion import CompleteFn, complete_with_retry
@@ -20,6 +20,7 @@ from sparkcurate.operators.dedup import greedy_order
 from sparkcurate.operators.ranking import first_per_key, top_per_key
 
 UNLIMITED = 2**31 - 1
+MAX_URLS = 4  # addresses that can be tried for one paper
 PAPER_FIELDS = (
     "source_paper", "source_title", "authors", "year", "abstract", "url", "doi", "source",
     "citation_count", "pdf_path",
@@ -82,17 +83,16 @@ def resolve_full_text(papers: DataFrame, fetched: DataFrame) -> DataFrame:
         .agg(
             F.min(F.when(good, F.col("at"))).alias("won"),
             F.min_by(F.when(good, strip(F.col("text"))), F.when(good, F.col("at"))).alias("_text"),
-            # At most four addresses per paper.
-            F.sort_array(
-                F.collect_list(F.when(F.col("path").isNotNull(), F.struct("at", "path")))
-            ).alias("paths"),
+            *[F.max(F.when(F.col("at") == i, F.col("path"))).alias(f"_p{i}") for i in range(MAX_URLS)],
         )
         .select(
             "paper_id", "_text",
-            F.try_element_at(
-                F.filter("paths", lambda p: F.col("won").isNull() | (p["at"] <= F.col("won"))),
-                F.lit(-1),
-            )["path"].alias("_path"),
+            F.coalesce(
+                *[
+                    F.when(F.col("won").isNull() | (F.col("won") >= i), F.col(f"_p{i}"))
+                    for i in reversed(range(MAX_URLS))
+                ]
+            ).alias("_path"),
         )
     )
     return (
@@ -250,7 +250,7 @@ def topic_papers(topics: DataFrame, papers: DataFrame) -> DataFrame:
     ``topics`` is (topic, target); ``papers`` carries ``topic``, ``source_rank`` and ``pos``.
     Adds ``rank`` and ``fetch``, true for the papers whose full text is wanted.
     """
-    sizes = topics.select("topic", pipeline_sizes(F.col("target")).alias("_s")).select("topic", "_s.*")
+    sizes = topics.select("topic", paper_targets(F.col("target")).alias("_s")).select("topic", "_s.*")
     most = sizes.agg(F.max("max_papers")).first()[0] or 0
     key = lambda c: F.struct(F.col("topic"), c)
     place = ["topic", "source_rank", "pos"]

@@ -180,6 +180,20 @@ def test_retrieval_against_all_pairs(spark):
         assert [ranks[i + 1] for i in range(len(best))] == best
 
 
+@pytest.mark.parametrize("k", [3, 1500])
+def test_top_per_key(spark, k):
+    # One key holds half of the rows.
+    df = spark.range(8000).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5).alias("k"), ((F.col("id") * 7919) % 8009).alias("v")
+    ).repartition(9)
+    got = {}
+    for r in K.top_per_key(df, "k", [F.col("v")], k, "r").collect():
+        got.setdefault(r["k"], []).append((r["r"], r["v"]))
+    for key, rows in got.items():
+        values = sorted(r.v for r in df.filter(F.col("k") == key).collect())[:k]
+        assert sorted(rows) == list(enumerate(values, 1))
+
+
 def test_best_attempt(spark):
     rows = [(1, 1, "a", False), (1, 2, "b", True), (1, 3, "c", True), (2, 1, "x", False), (2, 2, None, False), (3, 1, None, False), (4, 1, "", True)]
     df = spark.createDataFrame(rows, "k int, attempt int, output string, valid boolean")
