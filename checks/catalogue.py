@@ -535,7 +535,7 @@ best AS (SELECT f.item_id, a.attempt, a.output, fv IS NOT NULL AS valid, coalesc
 """
 
 
-@check("best_attempt", with_views("attempts", body=BEST + "SELECT item_id, attempt::INT AS attempt, output, valid, attempts_used FROM best"))
+@check("best_attempt", with_views("attempts", body=BEST + "SELECT item_id, attempt, output, valid, attempts_used FROM best"))
 def _(spark, sf):
     return A.best_attempt(view(spark, sf, "attempts"), "item_id")
 
