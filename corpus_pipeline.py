@@ -1,12 +1,67 @@
-"""The corpus pipeline; its stages are operators of ``sparkcurate.llm``."""
+"""The corpus pipeline: five operators of ``sparkcurate.llm`` from raw documents to token ids.
+
+Every stage takes all that its predecessor kept, and all but the last return the columns of
+documents. None needs a text, a key or a language: rows without one pass through what needs it, but
+for texts without a letter, which have no language.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkcurate.llm import bpe, language, leaks, lines, near
 from sparkcurate.session import materialise
 
-STAGES: list = []
+#: A document stays if the probability of its language is at least this.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; texts without letters and undecided ones go."""
+    found = language.predict(docs, language.train(docs))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated runs of lines; those of which nothing is left go."""
+    left = lines.dedup_lines(docs)
+    changed = F.col("removed_chars") > 0
+    nothing = changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_chars = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.filter(~F.coalesce(nothing, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the least doc_id."""
+    found = near.near_duplicates(docs, settings=near.Settings(shingle=5))
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = leaks.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(F.size("leaked_items") == 0).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids of every document, and the bytes that they decode to as a checksum."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode_ids(bpe.encode_texts(docs, path, pattern), path, pattern)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("language", identify_language),
+    ("lines", dedup_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("bpe", encode),
+]
 
 #: SQL cannot express the stages; ``tests/llm`` holds them against brute force.
 ORACLE_SQL = None
