@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def crc_mod(key: str | Column, divisor: int) -> Column:
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about SLICE_CHARS bytes of text each, a longer text being one part."""
-    sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes + 1)
     start = 0
     while start < batch.num_rows:

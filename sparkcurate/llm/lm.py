@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -243,7 +244,7 @@ def score_texts(
         for row in asked.to_pylist():
             block, counts = Block(row, settings.order), []
             for k, grams in enumerate(block.grams, 1):
-                mine = answered.filter(pa.compute.equal(answered.column("k"), k)).sort_by("bucket")
+                mine = answered.filter(pc.equal(answered.column("k"), k)).sort_by("bucket")
                 found = np.concatenate([unpack(t.as_py(), False) for t in mine.column("totals")])
                 counts.append(found[np.unique(grams, return_inverse=True)[1]].astype(np.float64))
             columns = walk(block, counts, n, v, n_docs, settings.strength)
