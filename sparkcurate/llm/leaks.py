@@ -179,11 +179,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
  split AS (SELECT side, r, list_filter(regexp_split_to_array(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM words),
  tokens AS (SELECT side, r, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM split),
- same AS (SELECT a.r, b.r AS item, a.i - b.i AS at, b.i AS q, least(b.n, {Settings.stretch}) AS size
+ same AS (SELECT a.r, b.r AS item, a.i - b.i AS shift, b.i AS q, least(b.n, {Settings.stretch}) AS size
    FROM tokens a JOIN tokens b ON a.side = 'd' AND b.side = 'b' AND a.t = b.t AND b.n >= {Settings.min_words}),
  hits AS (SELECT DISTINCT r, item FROM (SELECT *, max(size) OVER w AS s,
-    count(*) OVER (PARTITION BY r, item, at ORDER BY q RANGE BETWEEN CURRENT ROW AND {Settings.stretch - 1} FOLLOWING) AS c FROM same
-    WINDOW w AS (PARTITION BY r, item, at)) WHERE 100 * c >= {Settings.percent} * size)
+    count(*) OVER (PARTITION BY r, item, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND {Settings.stretch - 1} FOLLOWING) AS c FROM same
+    WINDOW w AS (PARTITION BY r, item, shift)) WHERE 100 * c >= {Settings.percent} * size)
 SELECT doc_id, count(item) > 0 AS contaminated, count(item) AS n_items,
  coalesce(string_agg(item::VARCHAR, ',' ORDER BY item), '') AS items
 FROM d LEFT JOIN hits USING (r) GROUP BY r, doc_id
