@@ -7,11 +7,18 @@ coordinate is filled, which is certain after 2 t and usual after ln t / n of the
 time in proportion to the set and not to its t-fold; coordinates agree with the concentration
 of t independent ones. Bands of coordinates are the buckets in which documents meet.
 
-Documents with equal sets are one node from the start. Links are confirmed on whole sets.
-Only links between nodes that are not yet connected can change the result, so a bucket tests a few
-leaders against its other members, drops the leaders, twice as many in each round, and is done when
-all its members are connected or tested. A bucket of copies, however large, is done after the
-first.
+Documents with equal sets are one node from the start. Links are confirmed on whole sets. Only links
+between nodes that are not yet connected can change the result:
+
+1. Every bucket tests its leader against its other members. Leaders are the nodes of which the
+   least part is theirs alone: in a family of copies those nearest to the original, with which every
+   copy is most similar. This connects most of what is connected, by fewer tests than members.
+2. Buckets that still hold several components compare the members outside their main component
+   with all others, blocks of members with blocks of members, each pair in its first common bucket
+   only. Blocks are bounded and spread over all tasks; no pair is a row.
+
+A node with u of its n shingles in no other candidate shares at most m = min(n - u, n' - u') with
+another one, so pairs with m / (n + n' - m) below the threshold are not tested, without loss.
 """
 
 from __future__ import annotations
@@ -22,12 +29,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate.llm.common import arrow_type, chain, lower_words, map_texts, mix
 from sparkcurate.session import materialise
 
+#: Members of a bucket that a task compares with as many others.
+BLOCK = 128
+
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -174,7 +184,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """node, n and members (sorted 64-bit hashes) of the wanted (key, node), one row per node."""
+    """node, n, members (sorted 64-bit hashes) and bands of the wanted (key, node), one row per node."""
     kind = arrow_type(docs, "key")
 
     def make():
@@ -182,22 +192,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
             known: dict[bytes, int] = {}
             sets = [shingles_of(lower_words(x), settings.shingle, known) for x in batch.column("text").to_pylist()]
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
+            full = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
+            bands = bands_of(sketch(full, settings.bands * settings.rows), settings)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([n - (n >> 63 << 64) for n in nodes], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), batch.column("key"),
+                    pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
+                    pa.array([x.astype("<u8").tobytes() for x in bands], pa.binary()), batch.column("key"),
                 ],
-                ["node", "n", "members", "key"],
+                ["node", "n", "members", "bands", "key"],
             )
 
         return work
 
     texts = docs.join(wanted.select("key").distinct(), "key", "left_semi")
-    made = map_texts(texts.select("key", "text"), make, f"node long, n long, members binary, key {kind}")
+    made = map_texts(texts.select("key", "text"), make, f"node long, n long, members binary, bands binary, key {kind}")
     # A key that stands for several texts may bring a text that was not asked for, or one twice.
     made = made.join(wanted, ["key", "node"], "left_semi")
-    return made.select("node", "n", "members")
+    return made.drop("key")
 
 
 def near_duplicates(
@@ -217,11 +230,8 @@ def near_duplicates(
     buckets = alive.join(nodes, ["node", "key"], "left_semi").select("node", F.explode("bands").alias("bucket"))
     buckets = materialise(buckets.distinct(), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Members of shared buckets, in an order that is the same in all buckets.
     members = materialise(
-        buckets.join(shared.select("bucket"), "bucket", "left_semi")
-        .select("bucket", "node", F.xxhash64("node", F.lit("turn")).alias("turn"), F.col("node").alias("label")),
-        "members",
+        buckets.join(shared.select("bucket"), "bucket", "left_semi").withColumn("label", F.col("node")), "members"
     )
     links = _links(slim, nodes, members, settings) if not members.isEmpty() else None
     if links is None:
@@ -242,47 +252,112 @@ def near_duplicates(
     )
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """node, n and u, the number of its shingles that no other of the sets has."""
+
+    def run(batches):
+        for batch in batches:
+            for node, members in zip(batch.column("node").to_pylist(), batch.column("members")):
+                found = np.frombuffer(members.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found), pa.array(np.full(len(found), node, np.int64))], ["shingle", "node"]
+                )
+
+    rows = sets.select("node", "members").mapInArrow(run, "shingle long, node long")
+    once = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    u = once.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    return sets.select("node", "n").join(u, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
+
+
 def _links(docs: DataFrame, nodes: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
-    """Links that connect whatever is connected, found in rounds; see the head of the module."""
+    """Links that connect whatever is connected; see the head of the module."""
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     sets = materialise(_sets(docs, wanted, settings).dropDuplicates(["node"]), "sets")
-    links, leaders = None, 1
-    while True:
-        pairs = materialise(_pairs(members, leaders), "pairs")
-        good = materialise(verified(pairs, sets, settings.percent), "links")
-        links = good if links is None else materialise(links.unionByName(good).distinct(), "links")
-        members = _rest(members, links, leaders)
-        if members.isEmpty():
-            return links
-        leaders *= 2
-
+    alone = materialise(_alone(sets), "alone")
+    members = materialise(_open(members.join(alone, "node"), settings), "members")
+    leaders = materialise(
+        members.groupBy("bucket").agg(F.min(F.struct(F.col("u") / F.col("n"), F.xxhash64("node"), "node", "n", "u")).alias("l"))
+        .select("bucket", F.col("l.node").alias("a"), F.col("l.n").alias("na"), (F.col("l.n") - F.col("l.u")).alias("ma")),
+        "leaders",
+    )
+    pairs = members.join(leaders, "bucket").filter(f"node <> a AND {_possible('least(n - u, ma)', settings)}")
+    pairs = pairs.select("a", F.col("node").alias("b")).distinct()
+    links = materialise(verified(pairs, sets, settings.percent), "links")
+    roots = components(links)
+    rest = members.join(leaders.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").drop("label")
+    rest = rest.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    rest = materialise(_open(rest, settings), "rest")
+    return links.unionByName(materialise(_by_blocks(rest, sets, settings), "links"))
 
-def _leaders(members: DataFrame, n: int) -> DataFrame:
-    """The first n members of every bucket; a task passes on no more than n of each."""
-    order = Window.partitionBy("bucket").orderBy("turn", "node")
-    return members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).drop("place")
 
+def _possible(most: str, settings: Settings) -> str:
+    """Whether a pair with at most ``most`` common shingles can be similar enough; sizes n and na."""
+    return f"100 * {most} >= {settings.percent} * (n + na - {most})"
 
-def _pairs(members: DataFrame, n: int) -> DataFrame:
-    """Distinct pairs of a bucket's first n members with members after them of another component."""
-    lead = _leaders(members, n).select(
-        "bucket", F.col("turn").alias("t"), F.col("node").alias("a"), F.col("label").alias("la")
-    )
-    pairs = members.join(lead, "bucket").filter("struct(turn, node) > struct(t, a) AND label <> la")
-    return pairs.select("a", F.col("node").alias("b")).distinct()
 
+def _open(members: DataFrame, settings: Settings) -> DataFrame:
+    """Members that may still have a link to another component, in buckets of several components.
 
-def _rest(members: DataFrame, links: DataFrame, n: int) -> DataFrame:
-    """Members without the leaders just tested, of buckets that still hold several components."""
-    roots = components(links)
-    plain = members.drop("label")
-    left = plain.join(_leaders(plain, n).select("bucket", "node"), ["bucket", "node"], "left_anti")
-    labelled = materialise(
-        left.join(roots, "node", "left").select("bucket", "node", "turn", F.coalesce("root", "node").alias("label")),
-        "members",
+    A bucket has no other node with fewer than ``least`` shingles.
+    """
+    lows = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    hopeful = members.join(lows, "bucket").filter(
+        f"100 * (n - u) >= {settings.percent} * (u + greatest(least, n - u))"
+    ).drop("least")
+    mixed = hopeful.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+    return hopeful.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def _by_blocks(members: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between components, from comparing blocks of about BLOCK members of a bucket."""
+    per = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    shape = per.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main")).select(
+        "bucket", F.col("main.label").alias("main"), F.expr(f"(size + {BLOCK - 1}) DIV {BLOCK}").alias("n_all"),
+        F.expr(f"(size - main.c + {BLOCK - 1}) DIV {BLOCK}").alias("n_minor"),
     )
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    return materialise(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "members")
+    rows = members.join(shape, "bucket").withColumn("minor", F.col("label") != F.col("main"))
+    slim = "bucket", "node", "label", "minor", "n", "u"
+    every = rows.select(
+        *slim, F.lit(False).alias("asks"), F.pmod(F.xxhash64("node"), "n_all").alias("y"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_minor") - 1)).alias("x"),
+    )
+    asks = rows.filter("minor").select(
+        *slim, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("y"),
+        F.pmod(F.xxhash64("node", F.lit("x")), "n_minor").alias("x"),
+    )
+    blocks = every.unionByName(asks).join(sets.select("node", "members", "bands"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        asking = np.array(table.column("asks"))
+        left, right = table.filter(pa.array(asking)), table.filter(pa.array(~asking))
+        bucket = np.int64(table.column("bucket")[0].as_py())
+        found = []
+        if left.num_rows and right.num_rows:
+            nodes, labels = np.array(right.column("node")), np.array(right.column("label"))
+            n, minor = np.array(right.column("n")), np.array(right.column("minor"))
+            most = n - np.array(right.column("u"))
+            bands = np.stack([np.frombuffer(x.as_buffer(), "<i8") for x in right.column("bands")])
+            members = [np.frombuffer(x.as_buffer(), "<u8") for x in right.column("members")]
+            for row in left.to_pylist():
+                mine, bound = np.frombuffer(row["bands"], "<i8"), np.minimum(most, row["n"] - row["u"])
+                same = bands == mine
+                good = (labels != row["label"]) & (mine[same.argmax(axis=1)] == bucket) & ~(minor & (nodes < row["node"]))
+                good &= 100 * bound >= settings.percent * (n + row["n"] - bound)
+                where = np.flatnonzero(good)
+                if not len(where):
+                    continue
+                own = np.frombuffer(row["members"], "<u8")
+                others = np.concatenate([members[i] for i in where])
+                hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+                starts = np.concatenate([[0], np.cumsum(n[where])[:-1]])
+                shared = np.add.reduceat(hit.astype(np.int64), starts)
+                linked = 100 * shared >= settings.percent * (n[where] + len(own) - shared)
+                found += [(row["node"], int(nodes[i])) for i in where[linked]]
+        return pa.table(
+            {"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())}
+        )
+
+    return blocks.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def op4_near(spark, sf_dir: str) -> DataFrame:
