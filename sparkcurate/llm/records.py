@@ -130,7 +130,8 @@ def read_records(spark, folder: str, wanted: DataFrame | None = None, with_ids:
     """
     name = F.element_at(F.split("path", "/"), -1).alias("file")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(name, "content")
-    if wanted is not None:
+    picked = wanted is not None
+    if picked:
         places = wanted.groupBy("file").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
         files = files.join(places, "file")
     schema = "file string, offset long, length long, key long, n_tokens long, before long, ids_crc32 long"
@@ -141,7 +142,7 @@ def read_records(spark, folder: str, wanted: DataFrame | None = None, with_ids:
             for i in range(batch.num_rows):
                 data = batch.column("content")[i].as_buffer()
                 data = b"" if data is None else data.to_pybytes()
-                places = batch.column("offsets")[i].as_py() if wanted is not None else None
+                places = batch.column("offsets")[i].as_py() if picked else None
                 yield from _tables(batch.column("file")[i].as_py(), data, places)
 
     def _tables(file: str, data: bytes, places: list[int] | None):
