@@ -403,7 +403,7 @@ def _(spark, sf):
 def graph(spark, sf):
     sets, qa = view(spark, sf, "cat_datasets"), view(spark, sf, "qa")
     papers = view(spark, sf, "cat_papers").withColumn("authors", F.array("source"))
-    return G.knowledge_graph(sets, papers, qa)
+    return G.knowledge_graph(sets, papers, qa, G.DRAWN)
 
 
 GRAPH = f"""+
@@ -455,12 +455,37 @@ def _(spark, sf):
 @check("sampled_qa", with_views(*_GV, body=GRAPH + "SELECT CASE kind WHEN 0 THEN 'paper' ELSE 'dataset' END AS parent_kind, parent, id FROM sq"))
 def _(spark, sf):
     sets, papers, qa = (view(spark, sf, n) for n in _GV)
-    return G.sampled_qa(papers, sets.filter("status = 'completed'"), qa).select("parent_kind", "parent", "id")
+    sets = sets.filter("status = 'completed'")
+    return G.sampled_qa(papers, sets, qa, G.DRAWN).select("parent_kind", "parent", "id")
 
 
 @check("keyword_edges", with_views(*_GV, body=GRAPH + "SELECT a, b, shared, shared / 10 AS weight FROM ed"))
 def _(spark, sf):
-    return G.keyword_edges(view(spark, sf, "cat_papers"))
+    return G.keyword_edges(view(spark, sf, "cat_papers").orderBy("id").limit(G.DRAWN.edge_papers))
+
+
+@check(
+    "paper_keywords_links",
+    with_views("cat_papers", body=f"""+ {keyword_rows("cat_papers", "id", "(title||chr(32)||abstract)")}
+SELECT 'paper-'||k AS source, 'keyword-'||w AS target, 0.1::DOUBLE AS weight, 'paper_keyword' AS type FROM kw"""),
+)
+def _(spark, sf):
+    """Links of the whole graph between papers and keywords, over all papers."""
+    sets, papers, qa = (view(spark, sf, n) for n in _GV)
+    links = G.knowledge_graph(sets, papers.withColumn("authors", F.array("source")), qa)[1]
+    return links.filter("type = 'paper_keyword'")
+
+
+@check(
+    "graph_all_pairs",
+    with_views(*_GV, body="""SELECT 'qa-'||id AS target, 'paper-'||paper_id AS source, 'paper_qa' AS type FROM qa WHERE paper_id IN (SELECT id FROM cat_papers)
+ UNION ALL SELECT 'qa-'||id, 'dataset-'||dataset_id, 'dataset_qa' FROM qa WHERE paper_id IS NULL AND dataset_id IN (SELECT id FROM cat_datasets WHERE status = 'completed')"""),
+)
+def _(spark, sf):
+    """Links of the whole graph to all pairs."""
+    sets, papers, qa = (view(spark, sf, n) for n in _GV)
+    links = G.knowledge_graph(sets, papers.withColumn("authors", F.array("source")), qa)[1]
+    return links.filter("type LIKE '%_qa'").select("target", "source", "type")
 
 
 @check(
@@ -506,7 +531,7 @@ UNION ALL SELECT 'link', 'paper-2', 'qa-exp-'||i FROM q""",
 )
 def _(spark, sf):
     nodes, links, _clusters = graph(spark, sf)
-    n, l = G.expand_paper(nodes, links, view(spark, sf, "qa"), 2)
+    n, l = G.expand_paper(nodes, links, view(spark, sf, "qa"), 2, shown=30)
     return n.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b")).unionByName(
         l.select(F.lit("link").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"))
     )

@@ -18,7 +18,7 @@ from sparkcurate.operators import events as V
 from sparkcurate.operators import stats
 from sparkcurate.plans import datasets as D
 from sparkcurate.plans import samples as P
-from sparkcurate.session import scratch_dir
+from sparkcurate.session import application_folder
 from sparkcurate.sources import readers as I
 from sparkcurate.sources import writers as O
 from sparkcurate.streaming import jobs as J
@@ -37,7 +37,7 @@ def check(name, sql=None):
 
 
 def new_folder(spark, label):
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 # --- energy and events -----------------------------------------------------------------------

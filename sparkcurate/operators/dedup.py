@@ -20,6 +20,8 @@ def greedy_order(df: DataFrame, order: Sequence[str], keys: Sequence[Column]) ->
 
     Returns the ``order`` columns of the kept rows.
 
+    Rows without a key share the null key, as rows with an equal one share theirs.
+
     Only kept rows use up keys, so this is not the same as dropping duplicates key by key.
     The order must be total. The walk is done in rounds on the whole table: a row that is the
     first undecided one of all its keys is kept, every row sharing a key with it is dropped,
@@ -33,7 +35,9 @@ def greedy_order(df: DataFrame, order: Sequence[str], keys: Sequence[Column]) ->
     """
     names = [f"_k{i}" for i in range(len(keys))]
     rank = F.struct(*order).alias("_rank")
-    slim = df.select(rank, *[k.alias(n) for n, k in zip(names, keys)])
+    # Null is a key like any other here, so every key becomes a text that is never null.
+    plain = [F.when(k.isNull(), "").otherwise(F.concat(F.lit("="), k.cast("string"))) for k in keys]
+    slim = df.select(rank, *[k.alias(n) for n, k in zip(names, plain)])
     undecided = materialise(slim.groupBy(*names).agg(F.min("_rank").alias("_rank")), "dedup")
     kept: DataFrame | None = None
     while not undecided.isEmpty():
@@ -42,6 +46,8 @@ def greedy_order(df: DataFrame, order: Sequence[str], keys: Sequence[Column]) ->
             first = undecided.groupBy(name).agg(F.min("_rank").alias("_rank"))
             winners = first if winners is None else winners.join(first, "_rank")
         won = materialise(winners, "dedup-won")
+        if won.isEmpty():
+            raise RuntimeError("a round without a first row: the order has null parts")
         kept = won.select("_rank") if kept is None else kept.unionByName(won.select("_rank"))
         rest = undecided
         for name in names:

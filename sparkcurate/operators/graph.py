@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,17 +13,32 @@ from sparkcurate.functions.text import keyword_tokens
 from sparkcurate.operators.catalogue import qa_counts
 from sparkcurate.operators.ranking import top_per_key, with_position
 from sparkcurate.operators.rows import settled
-from sparkcurate.session import materialise
 
-# Colours of clusters in turn, the colour of papers without a dataset, and caps
-# of the drawn graph (pairs shown in all / per paper / per dataset, papers compared).
+# Colours of clusters in turn, the colour of papers without a dataset.
 CLUSTER_COLORS = (
     "#7eb8ff", "#6ee7d8", "#ffd666", "#c084fc", "#ff7eb3",
     "#a3e635", "#fb923c", "#60a5fa", "#f472b6", "#34d399",
 )
 ORPHAN_COLOR = "#888888"
-MAX_QA_NODES, QA_PER_PAPER, QA_PER_DATASET, MAX_EDGE_PAPERS = 150, 2, 4, 200
-EXPANDED_QA = 30
+
+
+@dataclass(frozen=True)
+class GraphLimits:
+    """What a drawn graph leaves out; None is all.
+
+    Pairs shown in all, per paper and per dataset, and the papers compared with each other, by
+    id. Without ``edge_papers`` papers are linked to their keywords instead of to each other: a
+    fixed number of rows per paper, from which the overlap of any two follows.
+    """
+
+    qa_nodes: int | None = None
+    qa_per_paper: int | None = None
+    qa_per_dataset: int | None = None
+    edge_papers: int | None = None
+
+
+#: The numbers of the graph as it is drawn on a screen (fixed values).
+DRAWN = GraphLimits(qa_nodes=150, qa_per_paper=2, qa_per_dataset=4, edge_papers=200)
 
 NODE_COLUMNS = (
     "id string, type string, label string, size double, color string, cluster bigint, year int, "
@@ -104,27 +120,28 @@ def paper_text() -> Column:
     )
 
 
-def keyword_edges(
-    papers: DataFrame,
-    min_shared: int = 2,
-    max_papers: int = MAX_EDGE_PAPERS,
-    key: str = "id",
-    k: int = 10,
-) -> DataFrame:
-    """Pairs a < b among the first ``max_papers`` papers sharing ``min_shared`` top keywords.
+def paper_keywords(papers: DataFrame, key: str = "id", k: int = 10) -> DataFrame:
+    """(key, keyword, rank) for the ``k`` top keywords of every paper; row-local."""
+    return top_keywords(papers, paper_text(), k).select(
+        key, F.posexplode("keywords").alias("rank", "keyword")
+    ).select(key, "keyword", (F.col("rank") + 1).alias("rank"))
 
-    Returns (a, b, shared, weight). The drawn graph compares only the first papers by id; that
-    cap is part of the operator and bounds the join to ``max_papers`` x 10 rows a side.
+
+def keyword_edges(papers: DataFrame, min_shared: int = 2, key: str = "id", k: int = 10) -> DataFrame:
+    """Pairs a < b of the given papers that share ``min_shared`` top keywords: a, b, shared, weight.
+
+    The pairs of a keyword grow with the square of its papers, so this is for a set that is
+    chosen to be looked at; :func:`paper_keywords` says the same of any number of papers in
+    ``k`` rows each. The weight is the share of the ``k`` keywords.
     """
-    first = papers.orderBy(key).limit(max_papers)
-    words = top_keywords(first, paper_text(), k).select(key, F.explode("keywords").alias("w"))
-    a = words.select(F.col(key).alias("a"), "w")
-    b = words.select(F.col(key).alias("b"), "w")
+    words = paper_keywords(papers, key, k)
+    a = words.select(F.col(key).alias("a"), "keyword")
+    b = words.select(F.col(key).alias("b"), "keyword")
     return (
-        a.join(b, "w").filter(F.col("a") < F.col("b"))
+        a.join(b, "keyword").filter(F.col("a") < F.col("b"))
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
         .filter(F.col("shared") >= min_shared)
-        .withColumn("weight", F.col("shared") / F.lit(10))
+        .withColumn("weight", F.col("shared") / F.lit(k))
     )
 
 
@@ -172,12 +189,15 @@ def clusters(
     return named.unionByName(orphans), placed, hubs
 
 
-def sampled_qa(papers: DataFrame, datasets: DataFrame, qa: DataFrame) -> DataFrame:
-    """Pairs shown in the graph: two per paper, then four per dataset-only parent, by id.
+def sampled_qa(
+    papers: DataFrame, datasets: DataFrame, qa: DataFrame, limits: GraphLimits = GraphLimits()
+) -> DataFrame:
+    """Pairs shown in the graph, with ``parent_kind`` and ``parent``: a paper, or a dataset for pairs without one.
 
-    Parents are served in id order while fewer than 150 pairs are shown; the cap is looked at
-    between parents only. Adds ``parent_kind`` and ``parent``. Every parent shows at least one
-    pair, so the first 150 parents of each kind are all that can matter.
+    Each parent shows its first ``limits.qa_per_paper`` or ``qa_per_dataset`` pairs by id. Parents
+    are served in id order, papers first, while fewer than ``qa_nodes`` pairs are shown; that is
+    looked at between parents only. Every parent shows at least one pair, so the first ``qa_nodes``
+    parents of each kind are all that can matter.
     """
     by_paper = qa.join(
         papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi"
@@ -188,26 +208,31 @@ def sampled_qa(papers: DataFrame, datasets: DataFrame, qa: DataFrame) -> DataFra
         .withColumn("parent", F.col("dataset_id"))
     )
     picked = []
-    for kind, rows, limit in (("paper", by_paper, QA_PER_PAPER), ("dataset", by_dataset, QA_PER_DATASET)):
-        top = top_per_key(rows, "parent", [F.col("id")], limit, "_r")
-        picked.append(top.withColumn("parent_kind", F.lit(kind)))
+    for kind, rows, limit in (
+        ("paper", by_paper, limits.qa_per_paper), ("dataset", by_dataset, limits.qa_per_dataset)
+    ):
+        if limit is not None:
+            rows = top_per_key(rows, "parent", [F.col("id")], limit, "_r").drop("_r")
+        picked.append(rows.withColumn("parent_kind", F.lit(kind)))
     shown = picked[0].unionByName(picked[1])
+    if limits.qa_nodes is None:
+        return shown
     parents = [
         p.groupBy("parent_kind", "parent").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("parent").limit(MAX_QA_NODES)
+        .orderBy("parent").limit(limits.qa_nodes)
         for p in picked
     ]
-    # At most 300 rows: papers before datasets, each by id.
+    # At most twice ``qa_nodes`` rows: papers before datasets, each by id.
     before = Window.orderBy(F.col("parent_kind").desc(), "parent").rowsBetween(
         Window.unboundedPreceding, -1
     )
     served = (
         parents[0].unionByName(parents[1])
         .withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .filter(F.col("_before") < MAX_QA_NODES)
+        .filter(F.col("_before") < limits.qa_nodes)
         .select("parent_kind", "parent")
     )
-    return shown.join(served, ["parent_kind", "parent"], "left_semi").drop("_r")
+    return shown.join(served, ["parent_kind", "parent"], "left_semi")
 
 
 def _qa_nodes(rows: DataFrame, answer: Column) -> DataFrame:
@@ -223,9 +248,12 @@ def _qa_nodes(rows: DataFrame, answer: Column) -> DataFrame:
 
 
 def knowledge_graph(
-    datasets: DataFrame, papers: DataFrame, qa: DataFrame
+    datasets: DataFrame, papers: DataFrame, qa: DataFrame, limits: GraphLimits = GraphLimits()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, links, clusters) of one owner's completed datasets, papers and pairs."""
+    """(nodes, links, clusters) of one owner's completed datasets, papers and pairs.
+
+    Everything by default; ``limits=DRAWN`` gives the graph as it is drawn.
+    """
     completed = datasets.filter(F.col("status") == "completed")
     cluster_rows, placed, hubs = clusters(completed, papers)
     sized_sets = qa_counts(completed, qa, "dataset_id")
@@ -258,8 +286,7 @@ def knowledge_graph(
         F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "url",
         "qa_pair_count",
     )
-    # Some 150 rows that both nodes and links are made from.
-    shown = materialise(sampled_qa(papers, completed, qa), "shown").withColumn(
+    shown = sampled_qa(papers, completed, qa, limits).withColumn(
         "node", F.concat(F.lit("qa-"), F.col("id").cast("string"))
     )
     parents = placed.select(
@@ -292,10 +319,16 @@ def knowledge_graph(
         named("dataset", "dataset_id").alias("source"), named("paper", "id").alias("target"),
         F.lit(0.5).alias("weight"), F.lit("dataset_paper").alias("type"),
     )
-    word_links = keyword_edges(papers).select(
-        named("paper", "a").alias("source"), named("paper", "b").alias("target"), "weight",
-        F.lit("keyword").alias("type"),
-    )
+    if limits.edge_papers is None:
+        word_links = paper_keywords(papers).select(
+            named("paper", "id").alias("source"), F.concat(F.lit("keyword-"), "keyword").alias("target"),
+            F.lit(0.1).alias("weight"), F.lit("paper_keyword").alias("type"),
+        )
+    else:
+        word_links = keyword_edges(papers.orderBy("id").limit(limits.edge_papers)).select(
+            named("paper", "a").alias("source"), named("paper", "b").alias("target"), "weight",
+            F.lit("keyword").alias("type"),
+        )
     links = _shaped(qa_links.unionByName(set_links).unionByName(word_links), LINK_COLUMNS)
     return nodes, links, cluster_rows
 
@@ -327,15 +360,16 @@ def with_match(nodes: DataFrame, term: str) -> DataFrame:
 
 
 def expand_paper(
-    nodes: DataFrame, links: DataFrame, qa: DataFrame, paper: int, shown: int = EXPANDED_QA
+    nodes: DataFrame, links: DataFrame, qa: DataFrame, paper: int, shown: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Replace a paper's sampled pairs by its first ``shown`` real ones."""
+    """Replace a paper's sampled pairs by its first ``shown`` real ones, all by default."""
     node_id = f"paper-{paper}"
     sampled = links.filter((F.col("source") == node_id) & (F.col("type") == "paper_qa")).select(
         F.col("target").alias("id")
     )
-    first = qa.filter(F.col("paper_id") == paper).orderBy("id").limit(shown)
-    # At most ``shown`` rows, so one window over them is small.
+    first = qa.filter(F.col("paper_id") == paper)
+    first = first if shown is None else first.orderBy("id").limit(shown)
+    # The pairs of one paper, so one window over them is small.
     numbered = first.withColumn(
         "node",
         F.concat(

@@ -17,10 +17,8 @@ from sparkcurate.config import SplitRatios
 from sparkcurate.session import materialise
 
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
-_GROUP_LIMIT = 1000  # Spark's own limit for cutting a window group before the shuffle
 _SALTS = 64
 _PREFIX = 4  # hex digits counted per step: at most 65,536 groups
-_SMALL = 10_000  # a group this small is ordered directly
 
 
 def first_per_key(
@@ -47,19 +45,14 @@ def first_per_key(
 def top_per_key(df: DataFrame, key: str, order: Sequence[Column], k: int, rank: str) -> DataFrame:
     """The first ``k`` rows of every key; ``order`` should be total.
 
-    Spark limits each task to ``k`` rows per key before the shuffle, because the rank is
-    filtered right away, as long as ``k`` is small. For a larger ``k`` a key is first cut to
-    its first ``k`` rows in each of several parts, so that a frequent key is not sorted by one
-    task; whatever the parts are, they hold the first ``k`` of all.
+    A key is first cut to its first ``k`` rows in each of several parts, so that a frequent
+    key is not sorted by one task; whatever the parts are, they hold the first ``k`` of all.
     """
-    if k >= _GROUP_LIMIT:
-        parts = df.withColumn("_salt", F.spark_partition_id() % _SALTS)
-        within = Window.partitionBy(key, "_salt").orderBy(*order)
-        df = parts.withColumn(rank, F.row_number().over(within)).filter(F.col(rank) <= k).drop(
-            "_salt", rank
-        )
+    parts = df.withColumn("_salt", F.spark_partition_id() % _SALTS)
+    within = Window.partitionBy(key, "_salt").orderBy(*order)
+    cut = parts.withColumn(rank, F.row_number().over(within)).filter(F.col(rank) <= k).drop("_salt", rank)
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    return cut.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
 def _sorted_parts(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
@@ -112,9 +105,9 @@ def running_totals(
 
 
 def random_order(key: Column | str, seed: int) -> Column:
-    """A reproducible random order of unique keys: md5 of seed and key, as hex text."""
+    """A reproducible random order of unique keys, a null one included: md5 of seed and key, as hex text."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def _prefix_counts(hashes: DataFrame, prefix: str = "") -> list[tuple[str, int]]:
@@ -132,9 +125,9 @@ def cut_value(
 ) -> str:
     """Hex text ``t`` such that exactly ``n`` rows have ``order < t`` (for distinct values).
 
-    Descends through hash prefixes: every step counts at most 65,536 groups, only the group
-    that holds the cut is looked at further, and no step sorts more than a few thousand rows.
-    ``counts`` are those of the first step, when they are known already.
+    Descends through hash prefixes: every step counts at most 65,536 groups, and only the group
+    that holds the cut is looked at further. ``counts`` are those of the first step, when they
+    are known already.
     """
     hashes, prefix, rest = df.select(order.alias("h")), "", n
     while True:
@@ -148,12 +141,6 @@ def cut_value(
         if rest == 0:
             return g
         prefix, counts = g, None
-        if count <= _SMALL:
-            rows = (
-                hashes.filter(F.startswith(F.col("h"), F.lit(prefix)))
-                .orderBy("h").limit(rest + 1).collect()
-            )
-            return rows[rest][0]
 
 
 def sample_rows(

@@ -9,9 +9,6 @@ from sparkcurate.functions.text import query_keywords
 from sparkcurate.operators.ranking import top_per_key
 from sparkcurate.session import materialise
 
-# Words are short, so this many of them are a few megabytes at most.
-FEW_WORDS = 100_000
-
 
 def retrieve(
     questions: DataFrame,
@@ -29,9 +26,8 @@ def retrieve(
     The order of papers does not depend on the query, so the ``k`` best papers of every single
     keyword hold the ``k`` best of any set of keywords. Posting lists are therefore cut to
     ``k`` before the join, exactly, and a keyword shared by a third of all papers costs no
-    more than a rare one. The cut happens inside each task before any shuffle. When the
-    questions use few different words (counted, not guessed) those words are broadcast and
-    the postings of all others are dropped even before that.
+    more than a rare one. The cut happens inside each task before any shuffle. Postings of words
+    that no question has are dropped first; the stored words let Catalyst choose how.
     """
     queries = questions.select(query_text(question).alias("query")).filter("query <> ''").distinct()
     terms = materialise(
@@ -46,8 +42,7 @@ def retrieve(
     postings = papers.filter(F.col("abstract") != "").select(
         F.explode(words).alias("term"), paper_id, "citation_count"
     )
-    if wanted.count() <= FEW_WORDS:
-        postings = postings.join(F.broadcast(wanted), "term", "left_semi")
+    postings = postings.join(wanted, "term", "left_semi")
     order = [F.col("citation_count").desc(), F.col(paper_id)]
     best = top_per_key(postings, "term", order, k, "_r").drop("_r")
     matches = terms.join(best, "term").groupBy("query", paper_id).agg(

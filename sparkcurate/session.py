@@ -3,16 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Folders of local-mode applications that name none themselves.
-_own_folders: dict[str, str] = {}
-
-
 def local_session(cores: str = "8", app: str = "sparkcurate") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster use the session you are given."""
     return (
@@ -33,20 +28,26 @@ def local_session(cores: str = "8", app: str = "sparkcurate") -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: whatever ``spark.checkpoint.dir`` names.
 
-    Only a local-mode session may fall back to a folder of its own; on a cluster an unset
-    folder is an error, because no machine-local path is visible to every executor.
+    Where that is unset it lies in the session's warehouse, which every session has and which
+    all executors of a cluster share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured.rstrip("/")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+def application_folder(spark: SparkSession) -> str:
+    """The application's own part of :func:`scratch_dir`; it is deleted when the driver ends."""
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _own_folders:
-        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="sparkcurate-")
-    return _own_folders[context.applicationId]
+    folder = f"{scratch_dir(spark)}/{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
@@ -54,9 +55,9 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
 
     Cuts the lineage, survives lost executors, and gives Catalyst a real size for the
     result, so that later joins may choose a broadcast by themselves when it is small.
-    Tables of one application lie under ``<folder>/<application id>/``.
+    Tables of one application lie in one folder, which goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions.papers import INDEX_RECORD, arxiv_id, paper_id
 from sparkcurate.functions.text import strip
-from sparkcurate.operators.rows import settled
 
 # Schemas of the records passed between the steps.
 SAMPLE_SCHEMA = "instruction string, output string, valid boolean, healed boolean, heal_methods array<string>"
@@ -24,23 +23,6 @@ PAPER_SCHEMA = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores; a large one is returned as it is.
-
-    One small file is one task however many cores there are, which matters when every row is
-    costly. Whether the input is small is judged by its size on disk, so a table with enough
-    splits of its own is never shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if size >= cores * split:
-        return df
-    # Settled, because filters would otherwise move below the exchange, back into one task.
-    return settled(df.repartition(cores), {c: F.col(f"`{c}`") for c in df.columns})
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA) -> DataFrame:
     """Strict JSON lines: a malformed line fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -34,14 +34,18 @@ def stream_filter(
     strict: bool = True,
     heal: bool = True,
     available_now: bool = True,
+    schema: str = SAMPLE_SCHEMA,
 ) -> StreamingQuery:
     """Heal and check new files and append the kept samples to ``out`` as JSON lines.
 
+    ``schema`` names the fields of a sample, all of which are written: PAPER_SAMPLE_SCHEMA for
+    samples that name their paper.
     The checkpoint remembers which files were done, so a restart goes on where it stopped.
     """
-    samples = read_sample_stream(spark, folder).drop("healed", "heal_methods")
+    samples = read_sample_stream(spark, folder, schema).drop("healed", "heal_methods")
     decided = with_decision(judge_samples(samples, rules, heal), strict, "malformed")
-    kept = decided.filter("keep").select("instruction", "output", "valid", "healed", "heal_methods")
+    fields = [c for c in samples.columns if c != "malformed"]
+    kept = decided.filter("keep").select(*fields, "healed", "heal_methods")
     writer = (
         kept.writeStream.format("json").outputMode("append")
         .option("checkpointLocation", checkpoint).option("path", out)

@@ -96,3 +96,13 @@ def test_scratch_follows_the_session(spark):
     stored = session.materialise(spark.range(5).withColumn("x", F.lit("a")))
     assert stored.count() == 5
     assert all(folder.split(":")[-1] in f for f in stored.inputFiles())
+
+
+def test_stream_keeps_the_fields_of_a_sample(spark, tmp_path):
+    sample = GOOD | {"source_paper": "s2:1", "source_title": "T", "year": 2020, "abstract": "A", "authors": ["x"]}
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.jsonl", [json.dumps(sample), "{bad", json.dumps({**sample, "output": "no"})])
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    J.stream_filter(spark, str(tmp_path / "in"), out, mark, schema=I.PAPER_SAMPLE_SCHEMA).awaitTermination()
+    rows = spark.read.schema(I.PAPER_SAMPLE_SCHEMA + ", healed boolean").json(out).collect()
+    assert [(r.source_paper, r.source_title, r.year, r.abstract, r.authors) for r in rows] == [("s2:1", "T", 2020, "A", ["x"])]

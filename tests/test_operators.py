@@ -73,9 +73,7 @@ def test_split_sizes_are_exact(spark, n, ratios):
     assert sum(sizes) == n
 
 
-def test_cut_value_takes_exactly_n(spark, monkeypatch):
-    # Small groups off: the cut is found by prefixes alone.
-    monkeypatch.setattr(K, "_SMALL", 0)
+def test_cut_value_takes_exactly_n(spark):
     df = spark.range(500)
     order = K.random_order("id", 7)
     for n in (0, 1, 250, 499, 500):
@@ -148,6 +146,20 @@ def test_entropy(spark):
     assert stats.entropy(one).first()[0] == 0.0
 
 
+def test_greedy_dedup_with_null_keys(spark):
+    rows = [(0, None, "a"), (1, None, "b"), (2, None, "c"), (3, "x", None), (4, None, None), (5, "y", None), (6, "z", "q")]
+    df = spark.createDataFrame(rows, "pos int, pid string, title string")
+    got = greedy_dedup(df, ["pos"], [F.col("pid"), F.col("title")])
+    # The first null id uses up the null id, the first null title the null title.
+    assert sorted(r.pos for r in got.collect()) == [0, 3, 6]
+
+
+def test_random_order_takes_one_null_key(spark):
+    df = spark.range(50).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    assert K.sample_rows(df, 20, "k", seed=3).count() == 20
+    assert [r["count"] for r in K.split(df, "k", SplitRatios(0.6, 0.2, 0.2, 1)).groupBy("split").count().orderBy("split").collect()] == [10, 30, 10]
+
+
 def test_energy_is_the_same_for_any_stretch(spark):
     rng = random.Random(2)
     rows, t = [], 0
