@@ -252,8 +252,9 @@ def dedup_lines(
 def _without(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
     others = [c for c in docs.columns if c != "removed_chars"]
     left = docs.select(*[F.col(f"`{c}`") for c in others]).alias("d")
+    # As many texts may change as there are, so this side is never sent to all tasks.
     joined = left.join(
-        kept.alias("k"),
+        kept.hint("merge").alias("k"),
         (F.col(f"d.`{key}`") == F.col("k.key")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("k.mark")), "left",
     )
     old = F.col(f"d.`{text}`")
