@@ -206,7 +206,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
 
         return work
 
-    texts = docs.join(wanted.select("key").distinct(), "key", "left_semi")
+    # All nodes may be wanted, so this side is never sent to all tasks.
+    texts = docs.join(wanted.select("key").distinct().hint("merge"), "key", "left_semi")
     made = map_texts(texts.select("key", "text"), make, f"node long, n long, members binary, bands binary, key {kind}")
     # A key that stands for several texts may bring a text that was not asked for, or one twice.
     made = made.join(wanted, ["key", "node"], "left_semi")
