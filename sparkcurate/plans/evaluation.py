@@ -14,10 +14,8 @@ from sparkcurate.functions.prompts import (
     judge_prompt,
     parsed_correction,
 )
-from sparkcurate.functions.text import query_keywords
 from sparkcurate.operators.completion import CompleteFn, complete
 from sparkcurate.operators.evaluation import (
-    context_papers,
     correction_summary,
     parse_judge,
     select_corrections,
@@ -151,7 +149,7 @@ def evaluate(
         .drop("context", "query")
     )
     log = grounded.select(
-        F.col(key).alias("question_index"), F.substring("question", 1, 500).alias("question"),
+        F.col(key).alias("question_index"), "question",
         F.col("query").alias("search_keywords"), "papers_retrieved",
     )
     return Evaluation(results, summarise_eval(results), log)
@@ -166,19 +164,28 @@ class Corrections:
     summary: DataFrame
 
 
-def paper_context(log: DataFrame) -> str:
-    """The context shared by all correction prompts: at most ten articles, read to the driver."""
-    rows = context_papers(log).collect()
-    return "\n\n".join(f"### {r['title']}\n{r['abstract'] or ''}" for r in rows)
+def own_context(papers: Column) -> Column:
+    """The retrieved papers of a question as text, those with a title, best first."""
+    titled = F.filter(papers, lambda p: F.coalesce(F.length(p["title"]), F.lit(0)) > 0)
+    return F.array_join(
+        F.transform(titled, lambda p: F.concat(F.lit("### "), p["title"], F.lit("\n"), F.coalesce(p["abstract"], F.lit("")))),
+        "\n\n",
+    )
 
 
 def apply_corrections(
     results: DataFrame, log: DataFrame | None, complete_fn: CompleteFn, threshold: float = 50.0,
-    score_col: str = "overall_score",
+    score_col: str = "overall_score", key: str = "question_index",
 ) -> Corrections:
-    """Ask for a better answer for every result below the threshold."""
-    failing = select_corrections(results, threshold, score_col)
-    context = paper_context(log) if log is not None else ""
+    """Ask for a better answer for every result below the threshold.
+
+    With a log, every prompt shows the papers that were retrieved for its own question, ``key``
+    being the results' column with the log's question_index.
+    """
+    failing, context = select_corrections(results, threshold, score_col), F.lit("")
+    if log is not None:
+        own = log.select(F.col("question_index").alias(key), own_context(F.col("papers_retrieved")).alias("_own"))
+        failing, context = failing.join(own, key, "left"), F.coalesce("_own", F.lit(""))
     name = lambda *names: F.coalesce(
         *[F.col(n) for n in names if n in results.columns], F.lit("")
     )
@@ -186,7 +193,7 @@ def apply_corrections(
         "user_prompt",
         correction_prompt(
             name("instruction", "question"), name("model_output", "output", "answer"),
-            name("reference", "expected"), F.lit(context),
+            name("reference", "expected"), context,
         ),
     )
     replies = materialise(
@@ -202,7 +209,3 @@ def apply_corrections(
 def append_corrections(training: DataFrame, corrected: DataFrame) -> DataFrame:
     """The training set with the corrected samples added."""
     return training.unionByName(usable_corrections(corrected), allowMissingColumns=True)
-
-
-def search_words(question: Column) -> Column:
-    return F.array_join(query_keywords(question), " ")

@@ -14,6 +14,7 @@ from sparkcurate.operators.chunking import chunk_texts
 from sparkcurate.operators.dedup import greedy_dedup
 from sparkcurate.operators.events import job_status
 from sparkcurate.operators.retrieval import retrieve
+from sparkcurate.plans import evaluation as E
 from sparkcurate.plans import papers as P
 from sparkcurate.plans.datasets import build_dataset, training_source
 from sparkcurate.plans.samples import filter_samples, trial_run
@@ -278,3 +279,12 @@ def test_purity_counts_bad_lines(spark):
     same = json.dumps({"instruction": "i" * 10, "output": "i" * 10})
     lines = spark.createDataFrame([(good,), (same,), ("{bad",), ("  ",), ("",), (good,)], "value string")
     assert stats.purity(lines).first()[0] == pytest.approx(50.0)
+
+
+def test_corrections_show_the_papers_of_their_own_question(spark):
+    results = spark.createDataFrame([(1, "q1", "a", 10.0), (2, "q2", "a", 20.0), (3, "q3", "a", 90.0), (4, "q4", "a", 5.0)], "question_index long, question string, answer string, overall_score double")
+    log = spark.createDataFrame([(1, [("T1", "x")]), (2, [("", "no"), ("T2", None)]), (3, [("T3", "z")])], "question_index long, papers_retrieved array<struct<title: string, abstract: string>>")
+    seen = lambda s, users: [json.dumps({"instruction": "i", "output": "+".join(t for t in ("T1", "T2", "T3") if f"### {t}" in u) or "none"}) for u in users]
+    done = E.apply_corrections(results, log, seen)
+    assert sorted(r.output for r in done.corrected.collect()) == ["T1", "T2", "none"]
+    assert done.summary.first().total_failing == 3
