@@ -16,7 +16,6 @@ executors are lost on the way. They are read by Spark's binary source.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.llm.bpe import Encoder, load_tokenizer
 from sparkcurate.llm.common import map_texts
-from sparkcurate.session import scratch_dir
+from sparkcurate.session import application_folder
 
 # The rotation and the constant of the usual masked checksum.
 MASK_SHIFT = 15
@@ -196,7 +195,7 @@ def read_index(spark, index: str) -> DataFrame:
 def op9_records(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = os.path.join(scratch_dir(spark), spark.sparkContext.applicationId, f"records-{uuid.uuid4().hex}")
+    folder = f"{application_folder(spark)}/records-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_records(docs, f"{folder}/files", public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return write_index(spark, f"{folder}/files", f"{folder}/index").select(
