@@ -1,17 +1,16 @@
-"""Removal of repeated runs of lines, found by winnowing.
-
-Units are lines, and in a line the sentences that end in a full stop and a blank, so that a
-passage inside a line is seen too. A window is the shortest run of units from a unit on that has
-``min_words`` words; the unit with the least hash of each window is selected (the last one of
-equals). Every run of that many words holds a whole window, so the same run in two places selects
-the same unit in both: fingerprints that occur once cannot belong to a repeated run, which settles most
-documents at once.
-
-Where a fingerprint is shared, its window is compared as a whole, and so is the shortest run that
-ends where another one could: each by a 128-bit hash whose first place is found by an aggregate. A
-run that repeats an earlier one of at least ``min_words`` words is exactly the union of its
-repeated windows, forwards and backwards, so matches are extended both ways without a pair of
-places ever being formed, however many there are.
+"""Removal of repeated runs of words, found by winnowing.
+
+A run of at least ``min_words`` words that an earlier place has goes, wherever in a line or sentence it begins
+and ends. That is the union of all windows of ``min_words`` words that an earlier place has.
+
+Every window selects one of its shingles, the one with the least hash (the last one of equals): the
+same window in two places selects the same shingle in both. The neighbouring windows that select one place
+make up its context. A shingle that is selected once belongs to no repeated run, which settles most
+places at once. Where a shingle is shared, contexts are compared as wholes by their hash, whose first
+place is found by an aggregate: a context that an earlier place has goes. Only where the contexts of a
+shingle differ, the first one of each kind is taken apart, and its windows are compared one by one by a
+128-bit hash, again by the first place. So matches end at the exact word, without a pair of places ever
+being formed, however many there are.
 """
 
 from __future__ import annotations
@@ -24,9 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.llm.common import arrow_type, map_texts
+from sparkcurate.llm.common import arrow_type, map_texts, mix
 from sparkcurate.session import materialise
 
+#: Words of a shingle, or half a window if that is less.
+SHINGLE = 8
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -35,186 +37,136 @@ class Settings:
     min_words: int = 50
 
 
-#: What follows a unit: the end of a sentence, of a line, of the text.
-SENTENCE, LINE, TEXT = 0, 1, 2
+# Words are runs of anything but these six characters.
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\v\f\r")] = True
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and the number of words of each; final full stops don't count."""
+    words, sizes = [], []
+    for text in texts:
+        before = len(words)
+        words += text.split()
+        sizes.append(len(words) - before)
+    hashes = map(xxhash.xxh3_64_intdigest, [w.rstrip(b".") for w in words])
+    return np.fromiter(hashes, np.uint64, len(words)), np.array(sizes, np.int64)
+
+
+def contexts(hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Text, shingle, first and last word (in the text), and hash of the context of every selected shingle."""
+    size = max(1, min(SHINGLE, (least + 1) // 2))
+    n = len(hashes) - least + 1
+    if n <= 0:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    shingles = hashes[: len(hashes) - size + 1]
+    for j in range(1, size):
+        shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + hashes[j : len(hashes) - size + 1 + j]
+    shingles = mix(shingles)
+    # The upper half of the hash, then the place from the end: the least one is the last of equals.
+    low = np.uint64(0xFFFFFFFF)
+    best = (shingles & ~low) | (low - np.arange(len(shingles), dtype=np.uint64))
+    wide, width = 1, least - size + 1
+    while 2 * wide <= width:
+        best = np.minimum(best[:-wide], best[wide:])
+        wide *= 2
+    if wide < width:
+        best = np.minimum(best[: wide - width], best[width - wide :])
+    starts = np.flatnonzero(text[:n] == text[least - 1 :])
+    chosen = (low - (best[starts] & low)).astype(np.int64)
+    new = np.flatnonzero(np.diff(chosen, prepend=-1))
+    first = starts[new]
+    stop = starts[np.append(new[1:] - 1, len(starts) - 1)[: len(new)]] + least
+    data = memoryview(hashes.astype("<u8").tobytes())
+    whole = (xxhash.xxh3_64_intdigest(data[8 * a : 8 * b]) for a, b in zip(first.tolist(), stop.tolist()))
+    owner = text[first]
+    begin = (np.cumsum(sizes) - sizes)[owner]
+    return owner, shingles[chosen[new]], first - begin, stop - 1 - begin, np.fromiter(whole, np.uint64, len(first))
+
+
+def _contexts(docs: DataFrame, settings: Settings) -> DataFrame:
+    """One row per selected shingle of every text: key, mark, shingle, context, first and last word."""
+    kind = arrow_type(docs, "key")
 
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hashes, sizes = word_hashes(batch.column("text").cast(pa.binary()).to_pylist())
+            owner, shingle, first, last, context = contexts(hashes, sizes, settings.min_words)
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key").take(pa.array(owner)), batch.column("mark").take(pa.array(owner)),
+                    pa.array(shingle.view(np.int64)), pa.array(context.view(np.int64)),
+                    pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                ],
+                ["key", "mark", "shingle", "context", "first", "last"],
+            )
 
-def units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, words, length in characters with what follows, and kind of what follows, of all units.
+        return work
 
-    The units make up the whole text. A unit's hash is of its words, without final full stops.
-    """
-    hashes, words, lengths, ends = [], [], [], []
-    for line in text.split("\n"):
-        for part in line.split(". "):
-            w = part.encode("utf-8", "surrogatepass").split()
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(w).rstrip(b".")) if w else 0)
-            words.append(len(w))
-            lengths.append(len(part) + 2)
-            ends.append(SENTENCE)
-        lengths[-1] -= 1
-        ends[-1] = LINE
-    lengths[-1] -= 1
-    ends[-1] = TEXT
-    return np.array(hashes, np.uint64), np.array(words, np.int64), np.array(lengths, np.int64), np.array(ends, np.uint8)
-
-
-def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every unit with words the last unit of the shortest run of ``least`` words from it on, or -1.
-
-    Numbers are of units with words; the second array has the first unit of the shortest run
-    that ends at the unit, or -1.
-    """
-    n = len(words)
-    total = np.concatenate([[0], np.cumsum(words)])
-    last = np.searchsorted(total, total[:-1] + least) - 1
-    first = np.searchsorted(total, total[1:] - least, side="right") - 1
-    return np.where(last < n, last, -1), np.where(total[1:] >= least, first, -1)
-
-
-def selected(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """For every unit with a window the place of the window's least hash, the last of equals; -1 without."""
-    out = np.full(len(hashes), -1)
-    queue: list[int] = []  # places with rising hashes
-    head, done = 0, 0
-    for i, e in enumerate(last.tolist()):
-        if e < 0:
-            break  # no later unit has a window either
-        while done <= e:
-            while len(queue) > head and hashes[queue[-1]] >= hashes[done]:
-                queue.pop()
-            queue.append(done)
-            done += 1
-        while queue[head] < i:
-            head += 1
-        out[i] = queue[head]
-    return out
-
-
-def _documents(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Units and fingerprints of every text: key, mark, hashes, words, lengths, ends (binary), prints, times."""
-    kind = arrow_type(docs, "key")
-    schema = f"""key {kind}, mark long, hashes binary, words binary, lengths binary, ends binary,
-        prints array<long>, times array<int>"""
+    return map_texts(docs, make, f"key {kind}, mark long, shingle long, context long, first int, last int")
+
+
+def _windows_of(texts: DataFrame, settings: Settings) -> DataFrame:
+    """All windows in the parts (first, last word) of every text: key, mark, two hashes, first word."""
+    kind, least = arrow_type(texts, "key"), settings.min_words
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                hashes, words, lengths, ends = units(text)
-                full = words > 0
-                places = selected(hashes[full], windows(words[full], settings.min_words)[0])
-                chosen = hashes[full][np.unique(places[places >= 0])]
-                prints, times = np.unique(chosen, return_counts=True)
-                rows.append(
-                    (
-                        hashes.astype("<u8").tobytes(), words.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(),
-                        ends.tobytes(), prints.view(np.int64), times,
-                    )
-                )
-            columns = list(zip(*rows))
+            owner, places, found = [], [], []
+            texts, parts = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("parts").to_pylist()
+            for i, text in enumerate(texts):
+                data = memoryview(word_hashes([text])[0].astype("<u8").tobytes())
+                for part in parts[i]:
+                    at = range(part["first"], part["last"] - least + 2)
+                    places.extend(at)
+                    owner.extend([i] * len(at))
+                    found.extend([xxhash.xxh3_128_digest(data[8 * s : 8 * (s + least)]) for s in at])
+            both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            rows = pa.array(owner, pa.int64())
             return pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key"), batch.column("mark"), *[pa.array(c, pa.binary()) for c in columns[:4]],
-                    pa.array(list(columns[4]), pa.list_(pa.int64())), pa.array(list(columns[5]), pa.list_(pa.int32())),
+                    batch.column("key").take(rows), batch.column("mark").take(rows),
+                    pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(places, pa.int32()),
                 ],
-                ["key", "mark", "hashes", "words", "lengths", "ends", "prints", "times"],
+                ["key", "mark", "w1", "w2", "first"],
             )
 
         return work
 
-    return map_texts(docs, make, schema)
-
-
-def _windows_of(candidates: DataFrame, settings: Settings) -> DataFrame:
-    """Windows around the shared fingerprints of every document: key, mark, two hashes, first and last unit."""
-    kind = arrow_type(candidates, "key")
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                key, mark = batch.column("key").slice(i, 1), batch.column("mark")[i].as_py()
-                hashes = np.frombuffer(batch.column("hashes")[i].as_buffer(), "<u8")
-                words = np.frombuffer(batch.column("words")[i].as_buffer(), "<u4").astype(np.int64)
-                place = np.flatnonzero(words)
-                h = hashes[place]
-                last, first = windows(words[place], settings.min_words)
-                least = selected(h, last)
-                shared = np.array(batch.column("shared")[i].as_py(), np.int64).view(np.uint64)
-                good = (least >= 0) & np.isin(h[least], shared)
-                runs = {(s, int(last[s])) for s in np.flatnonzero(good).tolist()}
-                runs |= {(int(first[e]), e) for e in np.flatnonzero((first >= 0) & good[first]).tolist()}
-                data = h.astype("<u8").tobytes()
-                runs = sorted(runs)
-                both = [xxhash.xxh3_128_intdigest(data[8 * s : 8 * e + 8]) for s, e in runs]
-                signed = lambda x: x - (x >> 63 << 64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([key] * len(runs)) if runs else key.slice(0, 0),
-                        pa.array([mark] * len(runs), pa.int64()),
-                        pa.array([signed(x >> 64) for x in both], pa.int64()),
-                        pa.array([signed(x & (1 << 64) - 1) for x in both], pa.int64()),
-                        pa.array([int(place[s]) for s, _ in runs], pa.int32()),
-                        pa.array([int(place[e]) for _, e in runs], pa.int32()),
-                    ],
-                    ["key", "mark", "w1", "w2", "first", "last"],
-                )
-
-    return candidates.mapInArrow(run, f"key {kind}, mark long, w1 long, w2 long, first int, last int")
-
-
-def kept_ranges(lengths: np.ndarray, ends: np.ndarray, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Start and length of what is left of a text without the runs (first, last unit).
+    return map_texts(texts, make, f"key {kind}, mark long, w1 long, w2 long, first int")
+
+
+def without_runs(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """The text without the runs (first, last word) and the blanks behind them.
 
     A line that loses its end keeps its line break; one that is lost as a whole loses it too.
     """
-    gone = np.zeros(len(lengths) + 1, np.int64)
-    for first, last in runs:
-        gone[first] += 1
-        gone[last + 1] -= 1
-    gone = np.cumsum(gone[:-1]) > 0
-    stops = np.cumsum(lengths)
-    starts = stops - lengths
-    ranges: list[list[int]] = []
-    whole = True  # nothing of the line is left so far
-    for i, lost in enumerate(gone.tolist()):
-        if not lost:
-            start, stop = int(starts[i]), int(stops[i])
-            whole = False
-        elif ends[i] == LINE and not whole:
-            start, stop = int(stops[i]) - 1, int(stops[i])
+    blank = _BLANK[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, stops = edges[::2].tolist(), edges[1::2].tolist()
+    merged: list[list[int]] = []
+    for first, last in sorted(runs):
+        before = merged[-1][1] if merged else -2
+        if first <= before or first == before + 1 and text.find(b"\n", stops[before], starts[first]) < 0:
+            merged[-1][1] = max(before, last)
         else:
-            start = stop = 0
-        if ends[i] == LINE:
+            merged.append([first, last])
+    left, done = [], 0
+    for first, last in merged:
+        start, stop = starts[first], stops[last]
+        line = text.rfind(b"\n", 0, start) + 1
+        # Whether nothing of the first line, then of the last one, is left before what goes.
+        whole = not first or line > stops[first - 1]
+        left.append(text[done : line if whole else start])
+        if text.find(b"\n", start, stop) >= 0:
+            if not whole:
+                left.append(b"\n")
             whole = True
-        if stop > start:
-            if ranges and ranges[-1][1] == start:
-                ranges[-1][1] = stop
-            else:
-                ranges.append([start, stop])
-    return [(a, b - a) for a, b in ranges]
-
-
-def _kept(lossy: DataFrame) -> DataFrame:
-    """key, mark and the ranges that stay, from a document's units and its repeated runs."""
-    kind = arrow_type(lossy, "key")
-    range_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-
-    def run(batches):
-        for batch in batches:
-            left = []
-            for i in range(batch.num_rows):
-                lengths = np.frombuffer(batch.column("lengths")[i].as_buffer(), "<u4").astype(np.int64)
-                ends = np.frombuffer(batch.column("ends")[i].as_buffer(), np.uint8)
-                runs = [(r["first"], r["last"]) for r in batch.column("runs")[i].as_py()]
-                left.append([{"start": a, "length": n} for a, n in kept_ranges(lengths, ends, runs)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("mark"), pa.array(left, range_type)], ["key", "mark", "kept"]
-            )
-
-    return lossy.select("key", "mark", "lengths", "ends", "runs").mapInArrow(
-        run, f"key {kind}, mark long, kept array<struct<start: int, length: int>>"
-    )
+        after = starts[last + 1] if last + 1 < len(starts) else len(text)
+        end = text.find(b"\n", stop, after)
+        done = after if end < 0 else end + whole
+    return b"".join([*left, text[done:]])
 
 
 def dedup_lines(
@@ -231,39 +183,52 @@ def dedup_lines(
     slim = docs.select(F.col(key).alias("key"), mark.alias("mark"), F.col(text).alias("text")).filter(
         F.col("key").isNotNull() & F.col("text").isNotNull()
     )
-    rows = materialise(_documents(slim, settings), "units")
-    # Repeated rows are one document here.
-    prints = rows.select("key", "mark", F.explode(F.arrays_zip("prints", "times")).alias("p")).select(
-        "key", "mark", F.col("p.prints").alias("print"), F.col("p.times").alias("times")
+    rows = materialise(_contexts(slim, settings), "contexts")
+    # Repeated rows are one document here; where they alone share a shingle, nothing comes of it.
+    counts = rows.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b")
+    )
+    several = counts.filter("n > 1").select("shingle", (F.col("a") != F.col("b")).alias("differ"))
+    # Stored, so that the join has no aggregate in it and a frequent shingle can be split.
+    shared = materialise(rows.join(materialise(several, "several").hint("merge"), "shingle"), "shared")
+    at = F.struct("key", "mark", "first", "last")
+    kinds = shared.groupBy("shingle", "context", "differ").agg(F.min(at).alias("at"), F.max(at).alias("to"))
+    first = kinds.filter("at <> to").select("shingle", "context", "at")
+    runs = shared.join(first, ["shingle", "context"]).filter(at > F.col("at")).select("key", "mark", "first", "last")
+    parts = kinds.filter("differ").select("at.*").groupBy("key", "mark").agg(
+        F.collect_list(F.struct("first", "last")).alias("parts")
     )
-    places = prints.groupBy("print").agg(F.sum("times").alias("n")).filter("n > 1").select("print")
-    shared = prints.join(places, "print", "left_semi").groupBy("key", "mark").agg(F.collect_set("print").alias("shared"))
-    candidates = rows.select("key", "mark", "hashes", "words").join(shared, ["key", "mark"])
-    found = materialise(_windows_of(candidates, settings), "windows")
+    # As many texts may have a shared part as there are, so this side is never sent to all tasks.
+    found = materialise(_windows_of(slim.join(parts.hint("merge"), ["key", "mark"]), settings), "windows")
     at = F.struct("key", "mark", "first")
     first = found.groupBy("w1", "w2").agg(F.min(at).alias("at"), F.max(at).alias("to")).filter("at <> to")
     later = found.join(first.select("w1", "w2", "at"), ["w1", "w2"]).filter(at > F.col("at"))
-    runs = later.groupBy("key", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    lossy = rows.select("key", "mark", "lengths", "ends").join(runs, ["key", "mark"])
-    kept = materialise(_kept(lossy).dropDuplicates(["key", "mark"]), "kept")
-    return _without(docs, kept, key, text)
+    runs = runs.union(
+        later.select("key", "mark", "first", (F.col("first") + settings.min_words - 1).alias("last"))
+    )
+    runs = runs.groupBy("key", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    return _without(docs, materialise(runs, "runs"), key, text)
 
 
-def _without(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
+def _without(docs: DataFrame, runs: DataFrame, key: str, text: str) -> DataFrame:
     others = [c for c in docs.columns if c != "removed_chars"]
     left = docs.select(*[F.col(f"`{c}`") for c in others]).alias("d")
     # As many texts may change as there are, so this side is never sent to all tasks.
     joined = left.join(
-        kept.hint("merge").alias("k"),
+        runs.hint("merge").alias("k"),
         (F.col(f"d.`{key}`") == F.col("k.key")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("k.mark")), "left",
     )
-    old = F.col(f"d.`{text}`")
-    new = F.when(
-        F.col("k.kept").isNotNull(),
-        F.array_join(F.transform("k.kept", lambda r: F.substring(old, r["start"] + 1, r["length"])), ""),
-    ).otherwise(old)
-    lengths = F.aggregate("k.kept", F.lit(0), lambda a, r: a + r["length"])
-    removed = F.when(F.col("k.kept").isNotNull(), F.length(old) - lengths).otherwise(0).cast("long")
+
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        rows = zip(texts.cast(pa.binary()).to_pylist(), runs.to_pylist())
+        new = [without_runs(t, [(r["first"], r["last"]) for r in k]) if k else None for t, k in rows]
+        return pa.array(new, pa.binary()).cast(pa.string())
+
+    old, changed = F.col(f"d.`{text}`"), F.col("k.runs").isNotNull()
+    # Only texts that change go through Python.
+    new = F.arrow_udf(cut, "string")(F.when(changed, old), F.col("k.runs"))
+    new = F.when(changed, new).otherwise(old)
+    removed = F.when(changed, F.length(old) - F.length(new)).otherwise(0).cast("long")
     return joined.select(
         *[new.alias(c) if c == text else F.col(f"d.`{c}`") for c in others], removed.alias("removed_chars")
     )
