@@ -6,8 +6,12 @@ every way to put a token together from two others becomes a merge, in the order
 Texts are cut before blanks that follow something else than white space. The pattern never matches
 across such a place, and what follows it never decides a match before it, so the pieces encode
 alone as they do in the text. A worker sends each distinct piece to the library once and keeps the
-answer for as long as its table stays small. Texts with white space before a blank go to the
-library whole.
+answer for as long as its table stays small. New pieces go to the library many at a time as one
+text: each begins with the only token of it that begins with a blank, which is where the answer is cut
+apart again. Texts with white space before a blank go to the library whole.
+
+Memory is a slice of texts and the table, whatever a task holds; nothing is shuffled, so no key can be
+hot. A text that is one long piece is encoded by itself and is not kept.
 """
 
 from __future__ import annotations
@@ -33,6 +37,13 @@ _JOINED = re.compile(r"\s ")
 KEPT_PIECES = 400_000
 KEPT_CHARS = 12_000_000
 
+#: New pieces that are sent to the library as one text, and the longest piece that is kept.
+JOINED_PIECES = 500
+LONG_PIECE = 1_000
+
+# Marks that a letter is never joined with; alike in all patterns of this kind.
+_MARKS = frozenset(".,;:!?")
+
 
 def byte_alphabet() -> list[str]:
     """A printable character for every byte: itself where it has one, else one from 256 on."""
@@ -93,15 +104,42 @@ def token_bytes(path: str, pattern: str | None = None) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    ``table`` is ``token_bytes`` of the tokenizer.
+    """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, table: list[bytes]):
         self.tokenizer = tokenizer
+        self.begins = np.array([t.startswith(b" ") for t in table], bool)
+        self.marks = dict(zip(sorted(_MARKS), self._ask(sorted(_MARKS))))
         self.table: dict[str, bytes] = {}
         self.chars = 0
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Put pieces that follow a blank into the table."""
+        table = self.table
+        ends = {p for p in pieces if p and p[-1] in _MARKS and p[:-1].isalpha()}
+        stems = {p[:-1] for p in ends}.difference(table)
+        asked = [*(pieces - ends), *(stems - pieces)]
+        # A blank after white space would be read together with it.
+        joined = [p for p in asked if p and not p[-1].isspace() and len(p) <= LONG_PIECE]
+        left = [p for p in asked if not p or p[-1].isspace() or len(p) > LONG_PIECE]
+        groups = [joined[i : i + JOINED_PIECES] for i in range(0, len(joined), JOINED_PIECES)]
+        for group, ids in zip(groups, self._ask([" " + " ".join(g) for g in groups])):
+            starts = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])
+            if len(starts) == len(group):
+                at = [*(4 * starts).tolist(), len(ids)]
+                table.update(zip(group, [ids[a:b] for a, b in zip(at, at[1:])]))
+            else:
+                left += group
+        table.update(zip(left, self._ask([" " + p for p in left])))
+        table.update([(p, table[p[:-1]] + self.marks[p[-1]]) for p in ends])
+        self.chars += sum(map(len, asked)) + sum(map(len, ends))
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -118,9 +156,7 @@ class Encoder:
             if len(table) > KEPT_PIECES or self.chars > KEPT_CHARS:
                 table.clear()
                 self.chars = 0
-            new = list(set(rest).difference(table))
-            table.update(zip(new, self._ask([" " + p for p in new])))
-            self.chars += sum(map(len, new))
+            self._learn(set(rest).difference(table))
             return head + b"".join([table[p] for p in rest])
 
 
@@ -139,8 +175,8 @@ def encode_texts(
         raise RuntimeError("unsigned ints of four bytes are needed")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        encode = Encoder(load_tokenizer(path, pattern))
-        table = token_bytes(path, pattern) if offsets else []
+        table = token_bytes(path, pattern)
+        encode = Encoder(load_tokenizer(path, pattern), table)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -13,6 +13,7 @@ import pytest
 from sparkcurate.llm.queries import ORACLE, QUERIES
 
 from checks.compare import connect, normalised
+from test_word_runs import kept_words, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,41 +76,9 @@ def test_near_duplicates(run, small_rows):
     assert all(r.kept == (i == r.component_id) for i, r in run("op4_near").items())
 
 
-def unit_list(text):
-    out = []
-    for line in text.split("\n"):
-        for part in line.split(". "):
-            w = part.encode().split()
-            if w:
-                out.append((b" ".join(w).rstrip(b"."), len(w)))
-    return out
-
-
-def kept_units(rows, least):
-    """Units that lie in no run of ``least`` words that an earlier place has: every run is tried."""
-    units = {i: unit_list(t) for i, t in rows}
-    first, runs = {}, []
-    for i in sorted(units):
-        u = units[i]
-        for a in range(len(u)):
-            n = 0
-            for b in range(a, min(len(u), a + 40)):
-                n += u[b][1]
-                if n >= least:
-                    key = tuple(x[0] for x in u[a : b + 1])
-                    first.setdefault(key, (i, a))
-                    runs.append((key, i, a, b))
-    gone = collections.defaultdict(set)
-    for key, i, a, b in runs:
-        if first[key] < (i, a):
-            gone[i].update(range(a, b + 1))
-    return {i: [x[0] for k, x in enumerate(u) if k not in gone[i]] for i, u in units.items()}
-
-
 def test_lines(run, small_rows):
-    want = kept_units(small_rows, 50)
     rows = run("op5_lines")
-    assert {i: [u for u, _ in unit_list(r.text)] for i, r in rows.items()} == want
+    assert {i: words(r.text) for i, r in rows.items()} == kept_words(small_rows, 50)
     texts = dict(small_rows)
     assert all(len(texts[i]) - len(r.text) == r.removed_chars for i, r in rows.items())
 
@@ -183,10 +152,9 @@ def test_pipeline(spark, small, small_rows):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     assert len(rows) >= 0.97 * small.count()
     deduped = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()}
-    want = kept_units(rows, 50)
     texts = dict(rows)
-    assert {i: [u for u, _ in unit_list(t)] for i, t in deduped.items()} == {
-        i: u for i, u in want.items() if u or not unit_list(texts[i])
+    assert {i: words(t) for i, t in deduped.items()} == {
+        i: left for i, left in kept_words(rows, 50).items() if left or not words(texts[i])
     }
     groups = jaccard_groups(sorted(deduped.items()), 5)
     left = {i: deduped[i] for i, (_, root) in groups.items() if i == root}
