@@ -32,6 +32,11 @@ from sparkcurate.llm.common import arrow_type, map_texts
 
 # White space before a blank, by Python's definition, which holds all of the library's.
 _JOINED = re.compile(r"\s ")
+_ASCII_JOINED = tuple(f"{c} " for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f ")
+
+
+def _joined(text: str) -> bool:
+    return any([j in text for j in _ASCII_JOINED]) if text.isascii() else _JOINED.search(text) is not None
 
 #: Pieces and characters that a worker's table may hold before it starts anew.
 KEPT_PIECES = 400_000
@@ -127,8 +132,8 @@ class Encoder:
         stems = {p[:-1] for p in ends}.difference(table)
         asked = [*(pieces - ends), *(stems - pieces)]
         # A blank after white space would be read together with it.
-        joined = [p for p in asked if p and not p[-1].isspace() and len(p) <= LONG_PIECE]
         left = [p for p in asked if not p or p[-1].isspace() or len(p) > LONG_PIECE]
+        joined = [*set(asked).difference(left)] if left else asked
         groups = [joined[i : i + JOINED_PIECES] for i in range(0, len(joined), JOINED_PIECES)]
         for group, ids in zip(groups, self._ask([" " + " ".join(g) for g in groups])):
             starts = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])
@@ -144,7 +149,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _JOINED.search(text):
+        if _joined(text):
             return self._ask([text])[0]
         # The first piece has no blank before it and is no key of the table.
         first, *rest = text.split(" ")

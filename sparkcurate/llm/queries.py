@@ -9,9 +9,12 @@ from sparkcurate.llm.licenses import LICENSES_SQL, op8_licenses
 from sparkcurate.llm.lines import op5_lines
 from sparkcurate.llm.lm import LM_SQL, op3_lm
 from sparkcurate.llm.near import op4_near
+from sparkcurate.llm.phrases import PHRASES_SQL, op13_phrases
 from sparkcurate.llm.pii import op7_pii
 from sparkcurate.llm.quality import QUALITY_SQL, op1_quality
 from sparkcurate.llm.records import op9_records
+from sparkcurate.llm.search import SEARCH_SQL, op12_search
+from sparkcurate.llm.tokens import op11_tokens
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_records": op9_records,
     "op10_bpe": op10_bpe,
+    "op11_tokens": op11_tokens,
+    "op12_search": op12_search,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE = {
@@ -31,4 +37,6 @@ ORACLE = {
     "op3_lm": LM_SQL,
     "op6_leaks": LEAKS_SQL,
     "op8_licenses": LICENSES_SQL,
+    "op12_search": SEARCH_SQL,
+    "op13_phrases": PHRASES_SQL,
 }
