@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from checks.samples import FUNNEL, decided
 from checks.sqlparts import strip
-from checks.views import table, view, with_views
+from checks.views import LINES, table, view, with_views
 from sparkcurate.functions import scoring as S
 from sparkcurate.operators import events as V
 from sparkcurate.operators import stats
@@ -187,6 +187,27 @@ def _(spark, sf):
     return I.read_jsonl_tolerant(spark, written_lines(spark, sf)).select("instruction", "output")
 
 
+# Lines that a strict parser refuses: a name that comes twice, a number that is none; and text behind an object.
+LENIENT = """SELECT doc_id, CASE doc_id % 4
+ WHEN 0 THEN '{{"instruction": "first", "loss": NaN, "instruction": "'||head||'", "output": "'||body||'", "valid": "maybe"}}'
+ WHEN 1 THEN '{{"output": "'||body||'", "extra": [1, {{"deep": -Infinity}}]}}'
+ WHEN 2 THEN '{{"instruction": "'||head||'"}} {{"output": "'||body||'"}}'
+ ELSE '[{{"instruction": "'||head||'"}}]' END AS value
+""" + LINES[LINES.index("FROM (SELECT doc_id,") :]
+
+
+@check("jsonl_lenient", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN split_part(text, chr(10), 1) END AS instruction, CASE WHEN doc_id % 4 < 2 THEN text END AS output, doc_id % 4 > 1 AS malformed FROM documents")
+def _(spark, sf):
+    lines = spark.sql(LENIENT, documents=table(spark, sf, "documents"))
+    return I.parse_lines(lines).select("doc_id", "instruction", "output", "malformed")
+
+
+@check("purity_lenient", "SELECT round(coalesce(count(*) FILTER (i AND length(trim(text)) >= 10) * 100.0 / nullif(count(*), 0), 0), 6)::DOUBLE AS purity FROM (SELECT text, doc_id % 4 = 0 AND length(trim(split_part(text, chr(10), 1))) >= 10 AND trim(split_part(text, chr(10), 1)) <> trim(text) AS i FROM documents)")
+def _(spark, sf):
+    lines = spark.sql(LENIENT, documents=table(spark, sf, "documents"))
+    return stats.purity(lines).select(F.round("purity", 6).alias("purity"))
+
+
 @check(
     "jsonl_counted",
     with_views("lines", body="SELECT count(*) AS lines, count(*) FILTER (doc_id % 5 IN (1, 2)) AS malformed, sum(doc_id)::BIGINT AS ids, count(*) AS distinct_lines FROM lines"),

@@ -212,11 +212,11 @@ def export_rows(qa: DataFrame) -> DataFrame:
 
 
 def source_rows(papers: DataFrame) -> DataFrame:
-    """Cells of the source table of a dataset card, one row per paper."""
+    """Cells of the source table of a dataset card, one row per paper, with its ``dataset_id``."""
     title = F.coalesce("title", F.lit("Unknown"))
     url = F.coalesce("url", F.lit(""))
     return papers.select(
-        "id",
+        "id", "dataset_id",
         F.when(url != "", F.concat(F.lit("["), title, F.lit("]("), url, F.lit(")")))
         .otherwise(title).alias("title"),
         author_line_et_al(F.coalesce("authors", F.array().cast("array<string>"))).alias("authors"),

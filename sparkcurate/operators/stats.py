@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcurate.functions.numbers import rounded
+from sparkcurate.functions.records import first_object, is_object, json_objects
 from sparkcurate.functions.scoring import epoch_micros
 from sparkcurate.functions.text import WHITESPACE, block, strip, truncated
+from sparkcurate.operators.rows import settled
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -119,11 +121,11 @@ def purity(lines: DataFrame, value: str = "value") -> DataFrame:
     Well-formed: a JSON object whose trimmed instruction and output have ten characters or
     more each and differ. Lines that do not parse count in the denominator.
     """
-    line = strip(F.col(value))
-    parsed = F.when(
-        F.try_parse_json(line).isNotNull(), F.from_json(line, "instruction string, output string")
-    )
-    rows = lines.filter(F.length(line) > 0).select(
+    fields = "instruction string, output string"
+    rows = lines.select(strip(F.col(value)).alias("_line")).filter(F.length("_line") > 0)
+    rows = settled(rows, {"_o": json_objects(F.col("_line"), fields)})
+    parsed = F.when(is_object(F.col("_o"), F.col("_line")), first_object(F.col("_o")))
+    rows = rows.select(
         strip(F.coalesce(parsed["instruction"], F.lit(""))).alias("i"),
         strip(F.coalesce(parsed["output"], F.lit(""))).alias("o"),
     )

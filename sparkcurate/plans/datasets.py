@@ -124,16 +124,22 @@ def parse_run_log(log: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def card_numbers(dataset: DataFrame, qa: DataFrame) -> DataFrame:
-    """One row with the figures of a dataset card; stored counts win over counted ones."""
-    counted = qa.agg(F.count(F.lit(1)).alias("_n"), F.count_if("is_valid").alias("_v")).first()
-    pairs = F.coalesce(F.nullif("actual_size", F.lit(0)), F.lit(counted["_n"]))
+def card_numbers(datasets: DataFrame, qa: DataFrame) -> DataFrame:
+    """One row per dataset (by ``id``) with the figures of its card; stored counts win over counted ones.
+
+    Pairs are counted by ``dataset_id``; a dataset without pairs has none.
+    """
+    counted = qa.groupBy(F.col("dataset_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("is_valid").alias("_v")
+    )
     zero = F.lit(0)
-    return dataset.select(
+    pairs = F.coalesce(F.nullif("actual_size", zero), "_n", zero)
+    return datasets.join(counted, "id", "left").select(
+        "id",
         "topic",
         F.lower(F.replace("topic", F.lit(" "), F.lit("-"))).alias("topic_tag"),
         pairs.alias("pair_count"),
-        F.coalesce(F.nullif("valid_count", zero), F.lit(counted["_v"])).alias("valid_count"),
+        F.coalesce(F.nullif("valid_count", zero), "_v", zero).alias("valid_count"),
         catalogue.size_category(pairs).alias("size_category"),
         F.concat(
             F.coalesce("provider", F.lit("unknown")), F.lit("/"), F.coalesce("model", F.lit("default"))
@@ -155,12 +161,13 @@ def export_dataset(qa: DataFrame, path: str) -> None:
 
 
 def dataset_card(numbers: DataFrame, sources: DataFrame, shown_sources: int | None = None) -> DataFrame:
-    """Markdown lines of a dataset card as (part, line_no, line), in order of the first two.
+    """Markdown lines of the cards of all datasets as (id, part, line_no, line), in order of the first three.
 
-    The table of source papers has a line per paper and is built as rows; write the result
-    sorted to get the document.
+    The table of source papers has a line per paper of the dataset and is built as rows; papers of no dataset are
+    in no card. Write the lines of one id sorted to get its document.
     """
     n = numbers.select(
+        "id",
         F.posexplode(
             F.array(
                 F.concat(F.lit("# "), F.col("topic")),
@@ -173,13 +180,21 @@ def dataset_card(numbers: DataFrame, sources: DataFrame, shown_sources: int | No
                 F.concat(F.lit("| Total Tokens | "), F.format_number("total_tokens", 0), F.lit(" |")),
                 F.concat(F.lit("| GPU Energy | "), F.format_string("%.4f", "gpu_kwh"), F.lit(" kWh |")),
             )
-        ).alias("line_no", "line")
-    ).select(F.lit(0).alias("part"), F.col("line_no").cast("bigint").alias("line_no"), "line")
-    rows = sources if shown_sources is None else sources.orderBy("id").limit(shown_sources)
-    table = with_position(rows, ["id"]).select(
-        F.lit(1).alias("part"), F.col("position").alias("line_no"),
+        ).alias("line_no", "line"),
+    ).select("id", F.lit(0).alias("part"), F.col("line_no").cast("bigint").alias("line_no"), "line")
+    own = sources.filter("dataset_id is not null").join(
+        numbers.select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi"
+    )
+    # Numbered over all datasets at once, so that the papers of a large one are not sorted by one task.
+    placed = with_position(own, ["dataset_id", "id"])
+    first = placed.groupBy("dataset_id").agg(F.min("position").alias("_first"))
+    placed = placed.join(first, "dataset_id").withColumn("line_no", F.col("position") - F.col("_first") + 1)
+    if shown_sources is not None:
+        placed = placed.filter(F.col("line_no") <= shown_sources)
+    table = placed.select(
+        F.col("dataset_id").alias("id"), F.lit(1).alias("part"), "line_no",
         F.concat(
-            F.lit("| "), F.col("position").cast("string"), F.lit(" | "), F.col("title"),
+            F.lit("| "), F.col("line_no").cast("string"), F.lit(" | "), F.col("title"),
             F.lit(" | "), F.col("authors"), F.lit(" | "), F.col("year"), F.lit(" | "),
             F.col("source"), F.lit(" | "), F.col("qa_pair_count").cast("string"), F.lit(" |"),
         ).alias("line"),

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkcurate.functions.papers import INDEX_RECORD, arxiv_id, paper_id
+from sparkcurate.functions.records import first_object, is_object, json_objects
 from sparkcurate.functions.text import strip
+from sparkcurate.operators.rows import settled
 
 # Schemas of the records passed between the steps.
 SAMPLE_SCHEMA = "instruction string, output string, valid boolean, healed boolean, heal_methods array<string>"
@@ -33,17 +35,22 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str = SAMPLE_SCH
     return parse_lines(spark.read.text(path), schema).filter(~F.col("malformed")).drop("malformed")
 
 
-def parse_lines(lines: DataFrame, schema: str = SAMPLE_SCHEMA, value: str = "value") -> DataFrame:
+def parse_lines(
+    lines: DataFrame, schema: str = SAMPLE_SCHEMA, value: str = "value", original: str | None = None
+) -> DataFrame:
     """Columns of the schema plus ``malformed`` for every line; blank lines are malformed.
 
-    A line counts as a sample only when it is a JSON object.
+    A line counts as a sample only when it is one JSON object; see :func:`json_objects` for what that may hold.
+    Every line is parsed once. ``original`` names a column for the line itself, with all its fields.
     """
-    line = strip(F.col(value))
-    good = F.coalesce(F.try_parse_json(line).isNotNull() & F.startswith(line, F.lit("{")), F.lit(False))
     kept = [c for c in lines.columns if c != value]
-    return lines.select(
-        *kept, (~good).alias("malformed"), F.when(good, F.from_json(line, schema)).alias("_r")
-    ).select(*kept, "malformed", "_r.*")
+    stripped = lines.withColumn("_line", strip(F.col(value)))
+    parsed = settled(stripped, {"_o": json_objects(F.col("_line"), schema)})
+    good = is_object(F.col("_o"), F.col("_line"))
+    whole = [F.col(value).alias(original)] if original else []
+    return parsed.select(
+        *kept, *whole, (~good).alias("malformed"), F.when(good, first_object(F.col("_o"))).alias("_r")
+    ).select(*kept, *([original] if original else []), "malformed", "_r.*")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
