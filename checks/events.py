@@ -86,6 +86,79 @@ def _(spark, sf):
     return J.current_status(spark, out)
 
 
+METRICS = """SELECT user_id AS run_id, event_id AS step, CASE WHEN event_type = 'error' THEN 0 ELSE 20000 END AS max_steps,
+ CASE WHEN event_type = 'view' THEN CAST(NULL AS DOUBLE) ELSE value / 8 END AS loss, value / 64000 AS learning_rate FROM {events}"""
+
+
+def metrics(spark, sf):
+    return spark.sql(METRICS, events=table(spark, sf, "events"))
+
+
+CORRECTION_PROGRESS = """SELECT user_id AS run_id, count(*) FILTER (event_type = 'view') AS progressed, max(event_id) AS total, count(*) FILTER (event_type = 'purchase') > 0 AS done FROM events GROUP BY 1"""
+
+
+def correction_events(spark, sf):
+    kind = F.when(F.col("event_type") == "view", "progress").when(
+        F.col("event_type") == "purchase", "complete"
+    ).otherwise("started")
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("run_id"), kind.alias("type"), F.col("event_id").alias("total")
+    )
+
+
+def in_three_drops(spark, rows, order, run):
+    """Files that arrive in three drops, later ones holding earlier events too; ``run`` starts anew after each."""
+    folder = new_folder(spark, "drops")
+    for drop in range(3):
+        part = rows.filter(F.pmod(F.xxhash64(order), F.lit(3)) == drop)
+        part.repartition(3, F.xxhash64(order)).write.mode("append").parquet(folder)
+        run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+
+
+@check(
+    "stream_replay",
+    with_views("job_events", body="SELECT event_id, status FROM job_events WHERE job_id = (SELECT min(job_id) FROM job_events) AND event_id >= 500"),
+)
+def _(spark, sf):
+    """A reader that comes back twice, each time with its checkpoint alone."""
+    rows = view(spark, sf, "job_events")
+    job = rows.agg(F.min("job_id")).first()[0]
+    log, mark, out, place = (new_folder(spark, n) for n in ("log", "log-mark", "reader", "place"))
+
+    def run(stream):
+        J.stream_event_log(stream, log, mark).awaitTermination()
+        reader = J.replay_stream(spark, log, rows.schema, job, 500).writeStream.format("parquet")
+        reader = reader.option("checkpointLocation", place).option("path", out)
+        reader.trigger(availableNow=True).start().awaitTermination()
+
+    in_three_drops(spark, rows, "event_id", run)
+    return spark.read.schema(rows.schema).parquet(out).select("event_id", "status")
+
+
+@check(
+    "stream_latest_metric",
+    f"WITH m AS ({METRICS.format(events='events')}) SELECT run_id, max(step) AS step, round(arg_max(learning_rate, step), 9) AS learning_rate FROM m GROUP BY 1",
+)
+def _(spark, sf):
+    out, mark = new_folder(spark, "metric"), new_folder(spark, "mark")
+    in_three_drops(
+        spark, metrics(spark, sf), "step", lambda s: J.stream_latest_metric(s, out, mark).awaitTermination()
+    )
+    return J.current(spark, out, J.LATEST_METRIC).select(
+        "run_id", "step", F.round("learning_rate", 9).alias("learning_rate")
+    )
+
+
+@check("stream_correction_progress", CORRECTION_PROGRESS)
+def _(spark, sf):
+    out, mark = new_folder(spark, "corrections"), new_folder(spark, "mark")
+    in_three_drops(
+        spark, correction_events(spark, sf), "total",
+        lambda s: J.stream_correction_progress(s, out, mark).awaitTermination(),
+    )
+    return J.current(spark, out, J.CORRECTIONS)
+
+
 @check(
     "job_durations",
     with_views(
@@ -101,14 +174,6 @@ def _(spark, sf):
     )
 
 
-METRICS = """SELECT user_id AS run_id, event_id AS step, CASE WHEN event_type = 'error' THEN 0 ELSE 20000 END AS max_steps,
- CASE WHEN event_type = 'view' THEN CAST(NULL AS DOUBLE) ELSE value / 8 END AS loss, value / 64000 AS learning_rate FROM {events}"""
-
-
-def metrics(spark, sf):
-    return spark.sql(METRICS, events=table(spark, sf, "events"))
-
-
 @check(
     "metric_progress",
     f"""WITH m AS ({METRICS.format(events='events')}), p AS (SELECT *, CASE WHEN max_steps > 0 THEN printf('%.1f', (step / max_steps * 100)::DOUBLE)::DOUBLE ELSE 0 END::DOUBLE AS percent FROM m)
@@ -130,18 +195,9 @@ def _(spark, sf):
     )
 
 
-@check(
-    "correction_progress",
-    """SELECT user_id AS run_id, count(*) FILTER (event_type = 'view') AS progressed, max(event_id) AS total, count(*) FILTER (event_type = 'purchase') > 0 AS done FROM events GROUP BY 1""",
-)
+@check("correction_progress", CORRECTION_PROGRESS)
 def _(spark, sf):
-    kind = F.when(F.col("event_type") == "view", "progress").when(
-        F.col("event_type") == "purchase", "complete"
-    ).otherwise("started")
-    rows = table(spark, sf, "events").select(
-        F.col("user_id").alias("run_id"), kind.alias("type"), F.col("event_id").alias("total")
-    )
-    return V.correction_progress(rows)
+    return V.correction_progress(correction_events(spark, sf))
 
 
 RUN_LOGS = """SELECT doc_id, text||chr(10)||CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Prompt tokens:     1,'||CAST(100 + doc_id % 900 AS VARCHAR(20))||chr(10) END

@@ -72,3 +72,46 @@ def correction_progress(events: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         (F.count_if(kind == "complete") > 0).alias("done"),
     )
+
+
+def status_parts(events: DataFrame, seq: str = "event_id") -> DataFrame:
+    """Rows of :func:`job_status` that can be merged: first terminal and latest state with their places."""
+    state = F.struct(F.col(seq).alias("seq"), "status")
+    final = F.col("status").isin(*TERMINAL)
+    return events.groupBy("job_id").agg(
+        F.min(F.when(final, state)).alias("final"), F.max(state).alias("latest"), F.count(F.lit(1)).alias("events")
+    )
+
+
+def merged_status(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("job_id").agg(
+        F.min("final").alias("final"), F.max("latest").alias("latest"), F.sum("events").alias("events")
+    )
+
+
+def status_of(parts: DataFrame) -> DataFrame:
+    return parts.select(
+        "job_id", F.coalesce("final.status", "latest.status").alias("status"),
+        F.col("latest.seq").alias("last_event"), "events",
+    )
+
+
+def metric_parts(metrics: DataFrame, run: str = "run_id") -> DataFrame:
+    """The row with the highest step per run as one struct, steps first, which a maximum merges."""
+    names = [c for c in metrics.columns if c not in (run, "step")]
+    return metrics.groupBy(run).agg(F.max(F.struct("step", *names)).alias("m"))
+
+
+def merged_metrics(parts: DataFrame, run: str = "run_id") -> DataFrame:
+    return parts.groupBy(run).agg(F.max("m").alias("m"))
+
+
+def metric_of(parts: DataFrame, run: str = "run_id") -> DataFrame:
+    return parts.select(run, "m.*")
+
+
+def merged_corrections(parts: DataFrame) -> DataFrame:
+    """Merged rows of :func:`correction_progress`."""
+    return parts.groupBy("run_id").agg(
+        F.sum("progressed").alias("progressed"), F.max("total").alias("total"), F.max("done").alias("done")
+    )

@@ -7,12 +7,15 @@ one row per job that later events update.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructType
 
 from sparkcurate.config import Rules
-from sparkcurate.operators.events import job_status
+from sparkcurate.operators import events as E
 from sparkcurate.operators.filtering import judge_samples, with_decision
 from sparkcurate.sources.readers import SAMPLE_SCHEMA, parse_lines
+from sparkcurate.streaming.store import Fold, RunStore
 
 
 def read_sample_stream(
@@ -53,31 +56,82 @@ def stream_filter(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_job_status(
-    events: DataFrame, out: str, checkpoint: str, available_now: bool = True
+#: What the streams below keep per key.
+JOB_STATUS = Fold(E.status_parts, E.merged_status, E.status_of, lambda: F.col("final").isNotNull())
+LATEST_METRIC = Fold(E.metric_parts, E.merged_metrics, E.metric_of)
+CORRECTIONS = Fold(E.correction_progress, E.merged_corrections, lambda rows: rows, lambda: F.col("done"))
+
+
+def stream_fold(
+    events: DataFrame, fold: Fold, out: str, checkpoint: str, available_now: bool = True, fan: int = 8
 ) -> StreamingQuery:
-    """Keep the current state of every job in parquet tables under ``out``, one per batch.
+    """Keep the state of every key in the runs under ``out``; :func:`current` reads it.
 
-    Each batch writes the jobs it changed; :func:`current_status` gives the state of all.
-    Rewriting a batch after a failure replaces its table, so nothing is counted twice.
+    Events may come late and in any order. The checkpoint remembers what was read; a batch that is repeated
+    after a failure is not counted twice.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        RunStore(batch.sparkSession, out, fold, fan).add(batch, batch_id)
 
-    writer = (
-        job_status(events).writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint).foreachBatch(store)
-    )
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def current(spark: SparkSession, out: str, fold: Fold) -> DataFrame | None:
+    """State of all keys, one row each; None before the first batch."""
+    return RunStore(spark, out, fold).current()
+
+
+def stream_job_status(events: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep the current state of every job; see :func:`stream_fold`."""
+    return stream_fold(events, JOB_STATUS, out, checkpoint, available_now)
+
+
 def current_status(spark: SparkSession, out: str) -> DataFrame:
     """The latest stored state per job."""
-    from pyspark.sql import functions as F
+    return current(spark, out, JOB_STATUS)
+
+
+def stream_latest_metric(metrics: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep the metric row with the highest step of every run; see :func:`stream_fold`."""
+    return stream_fold(metrics, LATEST_METRIC, out, checkpoint, available_now)
+
+
+def stream_correction_progress(
+    events: DataFrame, out: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Keep the progress of every correction run; see :func:`stream_fold`."""
+    return stream_fold(events, CORRECTIONS, out, checkpoint, available_now)
+
+
+def _bucket(job, buckets: int):
+    return F.pmod(F.xxhash64(job), F.lit(buckets)).cast("int")
 
-    rows = spark.read.parquet(out)
-    names = [c for c in rows.columns if c not in ("job_id", "batch")]
-    return rows.groupBy("job_id").agg(F.max_by(F.struct(*names), "batch").alias("_s")).select(
-        "job_id", "_s.*"
+
+def stream_event_log(
+    events: DataFrame, log: str, checkpoint: str, available_now: bool = True, buckets: int = 64
+) -> StreamingQuery:
+    """Append all events to ``log``, by buckets of their job, so that the replay of a job reads one of them."""
+    writer = (
+        events.withColumn("bucket", _bucket("job_id", buckets)).writeStream.format("parquet")
+        .partitionBy("bucket").option("checkpointLocation", checkpoint).option("path", log)
     )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def replay_stream(
+    spark: SparkSession, log: str, schema: StructType | str, job: int, last_id: int, buckets: int = 64
+) -> DataFrame:
+    """What a reader that has seen everything before ``last_id`` gets: stored events of the job, then new ones.
+
+    A stream; its checkpoint is the reader's place, so a reader that comes back with it goes on where it stopped,
+    late files included. ``schema`` is that of the events.
+    """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    # The column has the job's own type, so that its hash is that of the log's.
+    kind = schema["job_id"].dataType
+    bucket = spark.range(1).select(_bucket(F.lit(job).cast(kind), buckets)).first()[0]
+    # The whole log, because only there is it known which files were committed; the bucket's are read.
+    stored = spark.readStream.schema(StructType([*schema.fields]).add("bucket", IntegerType())).parquet(log)
+    return E.replay(stored.filter(F.col("bucket") == bucket).drop("bucket"), job, last_id)
