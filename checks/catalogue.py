@@ -496,6 +496,18 @@ def _(spark, sf):
     return G.keyword_edges(view(spark, sf, "cat_papers").orderBy("id").limit(G.DRAWN.edge_papers))
 
 
+@check(
+    "paper_links",
+    with_views("cat_papers", body=f"""+ {keyword_rows("cat_papers", "id", "(title||chr(32)||abstract)")},
+two AS (SELECT x.k AS a, y.k AS b FROM kw x JOIN kw y ON x.w = y.w AND x.k <> y.k GROUP BY 1, 2 HAVING count(*) >= 2),
+n AS (SELECT a, count(*) AS links FROM two GROUP BY 1)
+SELECT id, coalesce(links, 0) AS links FROM cat_papers LEFT JOIN n ON a = id"""),
+)
+def _(spark, sf):
+    """Links of every paper to all others."""
+    return G.link_counts(view(spark, sf, "cat_papers"))
+
+
 @check(
     "paper_keywords_links",
     with_views("cat_papers", body=f"""+ {keyword_rows("cat_papers", "id", "(title||chr(32)||abstract)")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from sparkcurate.functions.text import keyword_tokens
 from sparkcurate.operators.catalogue import qa_counts
 from sparkcurate.operators.ranking import top_per_key, with_position
 from sparkcurate.operators.rows import settled
+from sparkcurate.session import materialise
 
 # Colours of clusters in turn, the colour of papers without a dataset.
 CLUSTER_COLORS = (
@@ -145,6 +147,52 @@ def keyword_edges(papers: DataFrame, min_shared: int = 2, key: str = "id", k: in
     )
 
 
+def link_counts(papers: DataFrame, min_shared: int = 2, key: str = "id", k: int = 10) -> DataFrame:
+    """(key, links): of every paper, how many others share ``min_shared`` of their ``k`` top keywords with it.
+
+    That is the number of its links in the graph of all papers, without a link ever being a row. Papers with the
+    same keywords are one class. A set of keywords counts the papers of all classes that hold it, and the sets of a
+    paper are added up with the signs of inclusion and exclusion, so that a paper that shares three keywords is not
+    counted once for each two of them. Sets grow by a keyword at a time, and only while another class
+    holds them: what no other class has adds nothing. A class has at most ``2 ** k`` sets, and a frequent one is
+    summed by every task before it is shuffled; where it is joined back it is one row, so that side can be split.
+    """
+    words = top_keywords(papers, paper_text(), k).select(key, F.sort_array("keywords").alias("words"))
+    words = materialise(words, "paper-keywords")
+    classes = words.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+    classes = materialise(
+        classes.filter(F.size("words") >= min_shared).withColumn("class", F.monotonically_increasing_id()), "classes"
+    )
+    # Sets are bit masks over the sorted words of their class; the words themselves are what classes share.
+    total, live = None, classes.select("class", "words", "n", F.lit(0).alias("mask"))
+    for level in range(1, k + 1):
+        grown = live.select(
+            "class", "words", "n",
+            F.explode(
+                F.expr("transform(filter(sequence(0, size(words) - 1), i -> shiftleft(1, i) > mask), i -> mask | shiftleft(1, i))")
+            ).alias("mask"),
+        )
+        held = F.expr("concat_ws(' ', filter(words, (w, i) -> (mask & shiftleft(1, i)) > 0))")
+        grown = materialise(grown.withColumn("held", held), f"keyword-sets-{level}")
+        sums = grown.groupBy("held").agg(F.sum("n").alias("papers"), F.count(F.lit(1)).alias("classes"))
+        shared = materialise(sums.filter("classes > 1").select("held", "papers"), f"shared-sets-{level}")
+        live = materialise(grown.join(shared, "held"), f"live-sets-{level}")
+        if level >= min_shared:
+            sign = (-1) ** (level - min_shared) * math.comb(level - 1, min_shared - 1)
+            part = live.groupBy("class").agg((F.lit(sign) * F.sum(F.col("papers") - F.col("n"))).alias("others"))
+            total = part if total is None else total.unionAll(part)
+        if live.isEmpty():
+            break
+        live = live.select("class", "words", "n", "mask")
+    found = words.join(classes, "words", "left").select(key, "class", (F.col("n") - 1).alias("same"))
+    if total is not None:
+        found = found.join(total.groupBy("class").agg(F.sum("others").alias("others")), "class", "left")
+    else:
+        found = found.withColumn("others", F.lit(0))
+    links = F.coalesce("same", F.lit(0)) + F.coalesce("others", F.lit(0))
+    return found.select(key, links.cast("bigint").alias("links"))
+
+
 def clusters(
     datasets: DataFrame, papers: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -11,7 +11,8 @@ from sparkcurate.operators import attempts as A
 from sparkcurate.operators import ranking as K
 from sparkcurate.operators import stats
 from sparkcurate.operators.chunking import chunk_texts
-from sparkcurate.operators.dedup import greedy_dedup
+from sparkcurate.operators.dedup import greedy_dedup, greedy_order
+from sparkcurate.operators.graph import link_counts, paper_text, top_keywords
 from sparkcurate.operators.events import job_status
 from sparkcurate.operators.retrieval import retrieve
 from sparkcurate.plans import evaluation as E
@@ -51,6 +52,38 @@ def test_greedy_dedup_chain(spark):
     assert sorted(r.pos for r in got.collect()) == walk(rows)
 
 
+def test_greedy_dedup_of_long_chains_takes_few_jobs(spark):
+    # Ten chains of 500 rows, their rows mixed, each of which depends on the one before.
+    rows = [(10 * i + c, f"p{c}-{(i + 1) // 2}", f"t{c}-{i // 2}") for i in range(500) for c in range(10)]
+    df = spark.createDataFrame(rows, "pos int, pid string, title string").repartition(4)
+    spark.sparkContext.setJobGroup("chains", "")
+    got = sorted(r.pos for r in greedy_dedup(df, ["pos"], [F.col("pid"), F.col("title")]).collect())
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chains")
+    spark.sparkContext.setJobGroup("", "")
+    assert got == walk(rows)
+    assert len(jobs) < 400  # rounds alone would take more than 250 of several jobs each
+
+
+@pytest.mark.parametrize("task_rows", [0, 3, 1000])
+def test_greedy_dedup_by_parts_equals_the_walk(spark, task_rows):
+    rng = random.Random(9)
+    rows = [(i, f"p{rng.randint(0, 90)}", f"t{rng.randint(0, 90)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "pos int, pid string, title string")
+    got = greedy_order(df, ["pos"], [F.col("pid"), F.col("title")], rounds=1, task_rows=task_rows)
+    assert sorted(r.pos for r in got.collect()) == walk(rows)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_link_counts_equal_the_pairs(spark, least):
+    rng = random.Random(least)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
+    rows = [(i, " ".join(rng.sample(words, rng.randint(0, 6))), None) for i in range(60)] + [(60 + i, "alpha beta gamma", "") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, title string, abstract string")
+    sets = {r.id: set(r.keywords) for r in top_keywords(df, paper_text(), 4).collect()}
+    want = {a: sum(len(sets[a] & sets[b]) >= least for b in sets if b != a) for a in sets}
+    assert {r.id: r.links for r in link_counts(df, least, k=4).collect()} == want
+
+
 def test_positions_and_running_totals(spark):
     rng = random.Random(3)
     values = [(i * 7 % 1009, rng.randint(0, 5)) for i in range(1009)]
