@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.sqlparts import et_al, keyword_rows, strip
@@ -78,6 +80,52 @@ def _(spark, sf):
     )
 
 
+# Five datasets; the first load has three of them, the second all but the first.
+LOADS = """
+w AS (SELECT *, line_no % 5 + 1 AS ds, CASE WHEN line_no % 5 < 3 THEN 1 ELSE 2 END AS ld FROM sourced),
+f AS (SELECT ds, ld, source_paper, min(line_no) AS line_no, count(*) AS n FROM w WHERE source_paper <> '' GROUP BY ALL),
+lp AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ld, ds, line_no) AS id FROM f)
+"""
+
+
+def two_loads(spark, sf):
+    tables = D.CatalogueTables(*(f"{n}_{uuid.uuid4().hex}" for n in ("papers", "pairs", "sets")))
+    rows = view(spark, sf, "sourced").withColumns(
+        {"dataset_id": F.col("line_no") % 5 + 1, "user_id": F.lit(2)}
+    )
+    D.load_tables(rows.filter("dataset_id <= 3"), "first", tables)
+    D.load_tables(rows.filter("dataset_id >= 2"), "second", tables)
+    D.load_tables(rows, "third", tables)  # nothing is new
+    return tables
+
+
+@check(
+    "loaded_pairs",
+    with_views(
+        "sourced",
+        body="+" + LOADS + """SELECT row_number() OVER (ORDER BY w.ld, w.ds, w.line_no) AS id, w.ds AS dataset_id, w.instruction, w.output, lp.id AS paper_id,
+ lp.source_paper AS paper, lp.n AS qa_pair_count FROM w LEFT JOIN lp ON lp.ds = w.ds AND lp.source_paper = w.source_paper""",
+    ),
+)
+def _(spark, sf):
+    """Two loads into the same tables and one that repeats both; every pair finds its paper."""
+    tables = two_loads(spark, sf)
+    papers = spark.table(tables.papers).select(
+        F.col("id").alias("paper_id"), F.col("paper_id").alias("paper"), "qa_pair_count"
+    )
+    return spark.table(tables.qa_pairs).join(papers, "paper_id", "left").select(
+        "id", "dataset_id", "instruction", "output", "paper_id", "paper", "qa_pair_count"
+    )
+
+
+@check(
+    "loaded_datasets",
+    with_views("sourced", body="SELECT line_no % 5 + 1 AS id, count(*) AS actual_size, count(*) FILTER (valid) AS valid_count, count(*) FILTER (healed) AS healed_count FROM sourced GROUP BY 1"),
+)
+def _(spark, sf):
+    return spark.table(two_loads(spark, sf).datasets).select("id", "actual_size", "valid_count", "healed_count")
+
+
 @check(
     "link_papers",
     with_views(

@@ -348,10 +348,8 @@ SELECT source_paper AS paper_id, source_title AS title, year, abstract, citation
 def _(spark, sf):
     raw = view(spark, sf, "sourced")
     cited = P.citations(raw, raw.filter("valid"))
-    total = cited.agg(F.count(F.lit(1)).alias("total_papers")).first()[0]
-    return cited.select(
-        "paper_id", "title", "year", "abstract", "citation_count", "line_no",
-        F.lit(total).cast("bigint").alias("total_papers"),
+    return cited.crossJoin(F.broadcast(P.citation_totals(cited, ()))).select(
+        "paper_id", "title", "year", "abstract", "citation_count", "line_no", "total_papers"
     )
 
 

@@ -33,7 +33,8 @@ def complete(
 ) -> DataFrame:
     """Add the reply columns to a table with ``system_prompt`` and ``user_prompt``.
 
-    A call that raises gives no output and its message in ``error``. ``partitions`` spreads
+    A call that raises, or gives another number of replies than it got prompts, gives no output and its
+    message in ``error``. ``partitions`` spreads
     slow calls over more tasks than the data alone would need.
     """
     if partitions:
@@ -48,6 +49,8 @@ def complete(
                 began, error = time.monotonic(), None
                 try:
                     replies = list(complete_fn(systems, users))
+                    if len(replies) != len(part):  # nobody knows which reply is whose
+                        raise ValueError(f"{len(replies)} replies to {len(part)} prompts")
                 except Exception as exc:  # a failed call is data, not a failed job
                     replies, error = [None] * len(part), str(exc)
                 took = (time.monotonic() - began) / max(1, len(part))

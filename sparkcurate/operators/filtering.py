@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +105,8 @@ def with_decision(judged: DataFrame, strict: bool = True, malformed: str | None
     return judged.withColumn("issues", all_issues).withColumn("keep", keep)
 
 
-def funnel(decided: DataFrame, malformed: str | None = None) -> DataFrame:
-    """One row of filter counts. A sample may fail several checks and count in each."""
+def funnel(decided: DataFrame, malformed: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One row of filter counts, or one per ``by``. A sample may fail several checks and count in each."""
     read = ~F.col(malformed) if malformed else F.lit(True)
     n, kept = F.count(F.lit(1)), F.count_if("keep")
     tried = F.count_if(read & F.col("heal_tried"))
@@ -113,7 +115,7 @@ def funnel(decided: DataFrame, malformed: str | None = None) -> DataFrame:
     def percent(part, whole):
         return rounded(100 * part / F.greatest(F.lit(1), whole))
 
-    return decided.agg(
+    return decided.groupBy(*by).agg(
         n.alias("total"),
         F.count_if(F.col("keep") & ~F.col("healed")).alias("passed_original"),
         F.count_if(F.col("keep") & F.col("healed")).alias("passed_healed"),

@@ -99,15 +99,15 @@ def service_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def result_counts(df: DataFrame, parity: bool = False) -> DataFrame:
-    """One row: size, valid, invalid, healed.
+def result_counts(df: DataFrame, parity: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per ``by``: size, valid, invalid, healed.
 
     The filter marks repaired rows ``healed``; with ``parity`` only ``was_healed`` is read.
     """
     n = F.count(F.lit(1))
     valid = F.count_if(_flag(df, ["is_valid", "valid"], True))
     healed = _flag(df, ["was_healed"] if parity else ["was_healed", "healed"], False)
-    return df.agg(
+    return df.groupBy(*by).agg(
         n.alias("actual_size"),
         valid.alias("valid_count"),
         (n - valid).alias("invalid_count"),

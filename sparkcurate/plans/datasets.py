@@ -16,6 +16,7 @@ from sparkcurate.operators.completion import CompleteFn
 from sparkcurate.operators.ranking import with_position
 from sparkcurate.operators.stats import result_counts
 from sparkcurate.plans.papers import (
+    citation_totals,
     citations,
     cited_papers,
     papers_to_qa,
@@ -25,6 +26,7 @@ from sparkcurate.plans.papers import (
 )
 from sparkcurate.plans.samples import FilterResult, filter_samples
 from sparkcurate.session import materialise
+from sparkcurate.sources.writers import save_part, save_table
 
 
 @dataclass(frozen=True)
@@ -36,29 +38,42 @@ class BuiltDataset:
     citations: DataFrame
     attempts: DataFrame
 
+    @property
+    def stats(self) -> DataFrame:
+        """Filter counts of every topic."""
+        return self.filtered.stats_by("topic")
+
+    @property
+    def citation_totals(self) -> DataFrame:
+        return citation_totals(self.citations)
+
 
 def build_dataset(
     topics: DataFrame, papers: DataFrame, fetched: DataFrame, complete_fn: CompleteFn, task: Task,
     separator: str = "\n\n",
 ) -> BuiltDataset:
-    """Search results and fetched texts to a filtered dataset, for any number of topics at once.
+    """Search results and fetched texts to filtered datasets, one per topic, for any number of topics at once.
 
-    A paper found for several topics is asked about once and counts for its first topic.
+    A paper found for several topics is asked about once, and what it gave belongs to each of them: samples,
+    citations and statistics carry ``topic``, and ``line_no`` counts within it.
     """
-    chosen = topic_papers(topics, papers).filter("fetch")
+    chosen = materialise(topic_papers(topics, papers).filter("fetch"), "chosen")
+    first = chosen.groupBy("paper_id").agg(F.min("topic").alias("topic"))
     once = materialise(
-        resolve_full_text(
-            chosen.groupBy("paper_id").agg(
-                F.min_by(F.struct(*[c for c in chosen.columns if c != "paper_id"]), "topic").alias("_p")
-            ).select("paper_id", "_p.*"),
-            fetched,
-        ),
-        "papers",
+        resolve_full_text(chosen.join(first, ["paper_id", "topic"], "left_semi").drop("topic"), fetched), "papers"
     )
     samples, attempts = papers_to_qa(once, complete_fn, task, separator)
-    numbered = materialise(with_position(samples, ["source_paper", "section", "pair"], "line_no"), "samples")
+    samples = materialise(samples, "asked-once")
+    found = chosen.select("topic", F.col("paper_id").alias("source_paper"))
+    # Only the places are numbered; the texts follow by one join.
+    place = ["source_paper", "section", "pair"]
+    slim = with_position(samples.select(*place).join(found, "source_paper"), ["topic", *place], "_at")
+    start = slim.groupBy("topic").agg(F.min("_at").alias("_first"))
+    slim = slim.join(start, "topic").select("topic", *place, (F.col("_at") - F.col("_first") + 1).alias("line_no"))
+    numbered = materialise(samples.join(slim.hint("shuffle_hash"), place), "samples")
     filtered = filter_samples(numbered, task.rules)
-    return BuiltDataset(numbered, filtered, citations(numbered, filtered.kept), attempts)
+    cited = citations(numbered, filtered.kept, by=["topic"])
+    return BuiltDataset(numbered, filtered, cited, attempts)
 
 
 def custom_selection(papers: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -88,33 +103,105 @@ def think_and_answer(output: Column) -> tuple[Column, Column]:
 def load_catalogue(
     samples: DataFrame, dataset_id: int, user_id: int, order: str = "line_no", parity: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(papers, qa_pairs, dataset row) for the samples of one dataset.
+    """(papers, qa_pairs, dataset row) for the samples of one dataset, with ids from 1 on.
 
     Paper ids follow the first appearance of a paper, pair ids follow ``order``.
     """
-    papers = with_position(cited_papers(samples, [order]), [order], "id").drop(order)
-    papers = papers.withColumn("dataset_id", F.lit(dataset_id)).withColumn("user_id", F.lit(user_id))
+    owned = samples.withColumn("dataset_id", F.lit(dataset_id)).withColumn("user_id", F.lit(user_id))
+    return catalogue_rows(owned, order, parity)
+
+
+def catalogue_rows(
+    samples: DataFrame, order: str = "line_no", parity: bool = False, papers_from: int = 1, pairs_from: int = 1
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(papers, qa_pairs, dataset rows) for the samples of any number of datasets.
+
+    ``samples`` has dataset_id and user_id; ``order`` tells the samples of a dataset apart. Ids start at the given
+    numbers and follow the datasets, then ``order``. Places and source names alone are sorted and numbered; texts
+    are joined to the numbers by hashing, once for the papers and once for the pairs.
+    """
+    place = ["dataset_id", order]
+    slim = samples.select(*place, source_key(samples).alias("_source"))
+    slim = materialise(with_position(slim, place, "_id"), "pair-ids")
+    # A paper is numbered by its first pair; how many pairs it has comes with that.
+    first = slim.filter(F.col("_source").isNotNull()).groupBy("dataset_id", "_source").agg(
+        F.min(order).alias(order), F.count(F.lit(1)).alias("qa_pair_count")
+    )
+    numbered = materialise(with_position(first, place, "id"), "paper-ids").withColumn(
+        "id", F.col("id") + F.lit(papers_from - 1)
+    )
+    cited = cited_papers(samples, [order], ["dataset_id", "user_id"])
+    papers = cited.join(numbered.drop("_source").hint("shuffle_hash"), place).drop(order)
+    linked = slim.join(
+        numbered.select("dataset_id", "_source", F.col("id").alias("paper_id")), ["dataset_id", "_source"], "left"
+    ).select(
+        *place, (F.col("_id") + F.lit(pairs_from - 1)).alias("id"), "paper_id",
+        F.coalesce("_source", F.lit("")).alias("source_paper_id"),
+    )
     think, answer = think_and_answer(F.col("output"))
     flag = lambda names, default: F.coalesce(
         *[F.col(n) for n in names if n in samples.columns], F.lit(default)
     )
     healed = ["was_healed"] if parity else ["was_healed", "healed"]
-    rows = with_position(samples.withColumn("_source", source_key(samples)), [order], "id").select(
-        "id", "instruction", "output",
-        flag(["is_valid", "valid"], True).alias("is_valid"),
-        flag(healed, False).alias("was_healed"),
-        F.coalesce("_source", F.lit("")).alias("source_paper_id"),
-        F.coalesce("source_title", F.lit("")).alias("source_title"),
-        think.alias("think_text"), answer.alias("answer_text"),
-        F.lit(dataset_id).alias("dataset_id"), F.lit(user_id).alias("user_id"),
+    texts = samples.select(
+        *place, "user_id", "instruction", "output", flag(["is_valid", "valid"], True).alias("is_valid"),
+        flag(healed, False).alias("was_healed"), F.coalesce("source_title", F.lit("")).alias("source_title"),
+    )
+    qa = texts.join(linked.hint("shuffle_hash"), place).select(
+        "id", "instruction", "output", "is_valid", "was_healed", "source_paper_id", "source_title",
+        think.alias("think_text"), answer.alias("answer_text"), "dataset_id", "user_id", "paper_id",
     )
-    qa = catalogue.link_papers(rows, papers)
-    counted = catalogue.qa_counts(papers, qa, "paper_id")
-    dataset = result_counts(samples, parity).select(
-        F.lit(dataset_id).alias("id"), F.lit(user_id).alias("user_id"),
-        F.lit("completed").alias("status"), "*",
+    datasets = result_counts(samples, parity, ["dataset_id", "user_id"]).select(
+        F.col("dataset_id").alias("id"), "user_id", F.lit("completed").alias("status"),
+        "actual_size", "valid_count", "invalid_count", "healed_count",
+    )
+    return papers, qa, datasets
+
+
+@dataclass(frozen=True)
+class CatalogueTables:
+    """Names of the tables that loads go to; they are made by the first load."""
+
+    papers: str = "papers"
+    qa_pairs: str = "qa_pairs"
+    datasets: str = "datasets"
+
+
+def load_tables(
+    samples: DataFrame, load: str, tables: CatalogueTables = CatalogueTables(), order: str = "line_no",
+    parity: bool = False,
+) -> None:
+    """Add the datasets of ``samples`` to existing tables, with ids above those that are there.
+
+    ``load`` names this load: its rows are one partition of each table, and a load that is repeated after a
+    failure replaces them. The dataset rows are written last and are what counts: a dataset that the table has, from
+    this load or another one, is not loaded again, so repeating a finished load adds nothing. One load at a time.
+    """
+    spark = samples.sparkSession
+
+    def known(name: str) -> DataFrame | None:
+        return spark.table(name) if spark.catalog.tableExists(name) else None
+
+    done = known(tables.datasets)
+    if done is not None:
+        samples = samples.join(done.select(F.col("id").alias("dataset_id")), "dataset_id", "left_anti")
+    samples = materialise(samples, "load")
+    if samples.isEmpty():
+        return
+
+    def next_id(name: str) -> int:
+        table = known(name)
+        if table is None:
+            return 1
+        return (table.filter(F.col("load") != load).agg(F.max("id")).first()[0] or 0) + 1
+
+    papers, qa, datasets = catalogue_rows(
+        samples, order, parity, next_id(tables.papers), next_id(tables.qa_pairs)
     )
-    return counted, qa, dataset
+    for name, rows in ((tables.papers, papers), (tables.qa_pairs, qa)):
+        save_part(rows.withColumn("load", F.lit(load)), name, "load")
+    # By appending, because a load may have brought some of its datasets before.
+    save_table(datasets.withColumn("load", F.lit(load)), tables.datasets)
 
 
 def parse_run_log(log: DataFrame, text: str = "text") -> DataFrame:

@@ -218,11 +218,17 @@ def source_key(df: DataFrame) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names])
 
 
-def cited_papers(samples: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One row per source paper, taken from its first sample in ``order``."""
+def cited_papers(samples: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row per source paper (of every ``by``), taken from its first sample in ``order``.
+
+    The first sample is found among keys and places alone; the paper's texts are fetched by one join. ``by``
+    and ``order`` together must tell samples apart.
+    """
     keyed = samples.withColumn("_source", source_key(samples))
     keep = [c for c in PAPER_FIELDS if c in samples.columns and c != "source_paper"]
-    first = first_per_key(keyed.select("_source", *keep, *order), "_source", order)
+    place = F.struct(*[F.col(c) for c in order])
+    first = keyed.filter(F.col("_source").isNotNull()).groupBy(*by, "_source").agg(F.min(place).alias("_at"))
+    first = first.select(*by, "_source", *[F.col(f"_at.{c}").alias(c) for c in order])
     defaults = {
         "source_title": F.coalesce("source_title", F.lit("Unknown")).alias("title"),
         "authors": F.coalesce("authors", F.array().cast("array<string>")).alias("authors"),
@@ -231,17 +237,23 @@ def cited_papers(samples: DataFrame, order: Sequence[str]) -> DataFrame:
         "source": F.coalesce("source", F.lit("")).alias("source"),
         "citation_count": F.coalesce("citation_count", F.lit(0)).alias("citation_count"),
     }
-    return first.select(
-        F.col("_source").alias("paper_id"), *[defaults.get(c, F.col(c)) for c in keep], *order
+    texts = samples.select(*by, *keep, *order).join(first.hint("shuffle_hash"), [*by, *order])
+    return texts.select(
+        *by, F.col("_source").alias("paper_id"), *[defaults.get(c, F.col(c)) for c in keep], *order
     )
 
 
-def citations(raw: DataFrame, filtered: DataFrame, order: str = "line_no") -> DataFrame:
-    """Papers cited by a dataset: first seen over the raw samples, then the filtered ones."""
+def citations(raw: DataFrame, filtered: DataFrame, order: str = "line_no", by: Sequence[str] = ()) -> DataFrame:
+    """Papers cited by a dataset (or by every ``by``): first seen over the raw samples, then the filtered ones."""
     both = raw.withColumn("file_rank", F.lit(0)).unionByName(
         filtered.withColumn("file_rank", F.lit(1)), allowMissingColumns=True
     )
-    return cited_papers(both, ["file_rank", order])
+    return cited_papers(both, ["file_rank", order], by)
+
+
+def citation_totals(cited: DataFrame, by: Sequence[str] = ("topic",)) -> DataFrame:
+    """(topic, total_papers): the head of a citation list, one row per topic."""
+    return cited.groupBy(*by).agg(F.count(F.lit(1)).alias("total_papers"))
 
 
 def topic_papers(topics: DataFrame, papers: DataFrame) -> DataFrame:

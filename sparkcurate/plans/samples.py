@@ -45,6 +45,9 @@ class FilterResult:
     def stats(self) -> DataFrame:
         return funnel(self.decided, self.malformed)
 
+    def stats_by(self, *by: str) -> DataFrame:
+        return funnel(self.decided, self.malformed, by)
+
     def first_rejections(self, order: str, n: int = 5) -> DataFrame:
         return rejections(self.decided, order, n)
 

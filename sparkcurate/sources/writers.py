@@ -20,6 +20,22 @@ def save_table(df: DataFrame, name: str, append: bool = True) -> None:
     df.write.mode("append" if append else "overwrite").saveAsTable(name)
 
 
+def save_part(df: DataFrame, name: str, part: str) -> None:
+    """Replace the partitions of a table that ``df`` has rows of, by column ``part``; a missing table is made."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        df.write.partitionBy(part).saveAsTable(name)
+        return
+    # The mode is a setting of the session only; without it all partitions would go.
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        df.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def write_collected(papers: DataFrame, path: str) -> None:
     """Paper metadata without the full text."""
     write_jsonl(papers.drop("full_text"), path)
