@@ -9,16 +9,44 @@ _LARGE = 16
 _TRIES = 40
 
 
+#: Labels beyond this are read in two digits, the lower one of so many bits.
+_WIDE, _BITS = 1 << 15, 9
+
+
 class DoubleArray:
     """Edges (node, label) of a trie; edge number ``i`` leads to whatever the caller numbers ``i``.
 
-    The edges of a node lie at ``base[node] + label``, and ``owner`` tells whose a place is, so a step is
-    an addition and a comparison. Bases are drawn, large nodes first, and nodes whose places are taken
-    draw again; the table grows when that happens too often. Nodes and labels are small whole numbers.
+    Labels of a wide range are two steps of one digit each: nodes with thousands of widely spread children
+    would not fit between each other, but those of a digit have few hundred at most. Nodes and labels are
+    small whole numbers.
     """
 
     def __init__(self, nodes: np.ndarray, labels: np.ndarray):
         nodes, labels = np.asarray(nodes, np.int64), np.asarray(labels, np.int64)
+        self.high: _Table | None = None
+        if labels.max(initial=0) >= _WIDE:
+            upper, nodes = np.unique(nodes << 32 | labels >> _BITS, return_inverse=True)
+            self.high, labels = _Table(upper >> 32, upper & 0xFFFFFFFF), labels & ((1 << _BITS) - 1)
+        self.low = _Table(nodes, labels)
+
+    def step(self, nodes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """The edge of every (node, label); -1 where there is none. Unknown nodes and labels have none."""
+        if self.high is None:
+            return self.low.step(nodes, labels)
+        found = np.full(len(nodes), -1, np.int64)
+        middle = self.high.step(nodes, labels >> _BITS)
+        on = np.flatnonzero(middle >= 0)
+        found[on] = self.low.step(middle[on], labels[on] & ((1 << _BITS) - 1))
+        return found
+
+
+class _Table:
+    """The edges of a node lie at ``base[node] + label``, and ``owner`` tells whose a place is, so a step is
+    an addition and a comparison. Bases are drawn, large nodes first, and nodes whose places are taken
+    draw again; the table grows when that happens too often.
+    """
+
+    def __init__(self, nodes: np.ndarray, labels: np.ndarray):
         order = np.argsort(nodes, kind="stable")
         self._nodes, self._labels, self._order = nodes[order], labels[order], order
         parents, self._first, self._size = np.unique(self._nodes, return_index=True, return_counts=True)
@@ -68,7 +96,6 @@ class DoubleArray:
         self._room += more
 
     def step(self, nodes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """The edge of every (node, label); -1 where there is none. Unknown nodes and labels have none."""
         inside = (nodes >= 0) & (nodes < len(self.base)) & (labels >= 0) & (labels < self._reach)
         base = self.base[np.where(inside, nodes, 0)]
         at = np.where(inside & (base >= 0), base + labels, 0)

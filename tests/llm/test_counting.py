@@ -87,7 +87,7 @@ def test_tokens_of_odd_rows(odd, empty, library):
 
 def test_double_array():
     rng = np.random.default_rng(3)
-    for n, wide in ((0, 1), (1, 1), (4000, 60), (20000, 3000)):
+    for n, wide in ((0, 1), (1, 1), (4000, 60), (20000, 3000), (30000, 200_000)):
         keys = np.unique(np.minimum(rng.zipf(1.4, n), wide).astype(np.int64) << 32 | rng.integers(0, wide, n))
         rng.shuffle(keys)
         trie = DoubleArray(keys >> 32, keys & 0xFFFFFFFF)
