@@ -15,6 +15,7 @@ from sparkcurate.operators.chunking import chunk_texts
 from sparkcurate.operators.completion import complete_with_retry
 from sparkcurate.operators.graph import paper_text, top_keywords
 from sparkcurate.operators.ranking import first_per_key
+from sparkcurate.plans import datasets as D
 from sparkcurate.plans import papers as P
 from sparkcurate.sources.readers import normalise_arxiv_records, normalise_index_records
 
@@ -306,6 +307,63 @@ def _(spark, sf):
     return samples.select("source_paper", "section", "instruction", "output")
 
 
+# Every paper is found for one of two topics, a third of them for one more.
+TOPICS = f"""+
+lib2 AS (SELECT * REPLACE ('The paper of number '||pos AS title) FROM library),
+{_ECHO.replace("library", "lib2")},
+found AS (SELECT CASE pos % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS topic, paper_id FROM lib2
+ UNION ALL SELECT 'third', paper_id FROM lib2 WHERE pos % 3 = 0),
+asked AS (SELECT p.* FROM prompts p JOIN lib2 l USING (paper_id) WHERE length({strip('full_text')}) > 100 AND length(user_prompt) >= 600),
+smp AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY paper_id, section) AS line_no, paper_id AS source_paper, section,
+ 'Q '||length(user_prompt)||'?' AS instruction, '<answer>'||{strip('user_prompt')}||'</answer>' AS output FROM asked JOIN found USING (paper_id))
+"""
+
+
+def built(spark, sf):
+    papers = library(spark, sf).withColumns(
+        {
+            "title": F.concat(F.lit("The paper of number "), F.col("pos").cast("string")),
+            "doi": F.lit(None).cast("string"), "pdf_url": F.concat("url", F.lit(".pdf")), "source_rank": F.lit(0),
+        }
+    )
+    fetched = papers.select(F.col("pdf_url").alias("url"), F.col("full_text").alias("text"), F.lit("x").alias("pdf_path"))
+    papers = papers.drop("full_text").withColumn(
+        "topic",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when(F.col("pos") % 2 == 0, "even").otherwise("odd"), F.when(F.col("pos") % 3 == 0, "third")
+                )
+            )
+        ),
+    )
+    # As many pairs are wanted as fetch every paper.
+    topics = papers.groupBy("topic").agg((F.count(F.lit(1)) * 12 + 60).alias("target"))
+    return D.build_dataset(topics, papers, fetched, echo_pairs(), TASK, "\n")
+
+
+@check("topic_samples", with_views("library", body=TOPICS + "SELECT * FROM smp"))
+def _(spark, sf):
+    return built(spark, sf).samples.select("topic", "line_no", "source_paper", "section", "instruction", "output")
+
+
+@check(
+    "topic_citations",
+    with_views("library", body=TOPICS + """SELECT topic, source_paper AS paper_id, min(line_no) AS line_no, any_value(title) AS title,
+ (SELECT count(DISTINCT source_paper) FROM smp t WHERE t.topic = smp.topic) AS total_papers FROM smp JOIN lib2 ON lib2.paper_id = smp.source_paper GROUP BY topic, source_paper"""),
+)
+def _(spark, sf):
+    done = built(spark, sf)
+    return done.citations.join(done.citation_totals, "topic").select(
+        "topic", "paper_id", "line_no", "title", "total_papers"
+    )
+
+
+@check("topic_stats", with_views("library", body=TOPICS + "SELECT topic, count(*) AS total FROM smp GROUP BY topic"))
+def _(spark, sf):
+    return built(spark, sf).stats.select("topic", "total")
+
+
 @check(
     "completion_attempts",
     with_views("library", body="+" + _ECHO + """SELECT paper_id, section, attempt::INT AS attempt, length(user_prompt) >= 600 AS valid FROM prompts, (SELECT unnest([1, 2]) AS attempt)

@@ -11,6 +11,7 @@ from sparkcurate.operators import attempts as A
 from sparkcurate.operators import ranking as K
 from sparkcurate.operators import stats
 from sparkcurate.operators.chunking import chunk_texts
+from sparkcurate.operators.completion import complete
 from sparkcurate.operators.dedup import greedy_dedup, greedy_order
 from sparkcurate.operators.graph import link_counts, paper_text, top_keywords
 from sparkcurate.operators.events import job_status
@@ -298,6 +299,13 @@ def test_build_dataset(spark):
     assert {r.pdf_path for r in built.samples.collect()} == {"/pdf/10", "/pdf/8"}
 
 
+def test_a_wrong_number_of_replies_is_an_error_row(spark):
+    prompts = spark.createDataFrame([(i, "s", f"u{i}") for i in range(5)], "id int, system_prompt string, user_prompt string").coalesce(1)
+    rows = complete(prompts, lambda s, u: list(u)[1:] if "u3" in u else list(u), batch_size=2).collect()
+    assert {r.id: r.output for r in rows} == {0: "u0", 1: "u1", 2: None, 3: None, 4: "u4"}
+    assert {r.id for r in rows if r.error} == {2, 3}
+
+
 def test_training_source(spark):
     rows = [(1, 7, "completed", 5, "a"), (2, 7, "completed", 9, "b"), (3, 7, "failed", 11, "c"), (4, 8, "completed", 99, "d")]
     sets = spark.createDataFrame(rows, "id int, user_id int, status string, completed_at int, output_path string")
