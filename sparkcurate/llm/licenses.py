@@ -106,16 +106,35 @@ def _bands(shingles: Column) -> Column:
     )
 
 
+def text_mark(text: str) -> list[Column]:
+    """Two hashes that stand for a text, ``mark1`` and ``mark2``; null texts share one mark."""
+    return [F.xxhash64(text).alias("mark1"), F.xxhash64(F.lit(1), F.col(text)).alias("mark2")]
+
+
 def scan_licenses(
     docs: DataFrame, notices: dict[str, tuple[str, ...]] = NOTICES, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per key, window and notice found: key, license, notice, start, shared, n_shingles.
+    """One row per input row, window and notice found: key, license, notice, start, shared, n_shingles.
 
     ``start`` is the number of words (runs of a-z and 0-9 after lower-casing) before the window. Null and
-    empty texts and those of fewer than five words hold nothing; repeated rows of a key give their rows
-    once; rows without a key are left out; an empty table gives an empty result; other columns are not read.
-    The notices are a parameter of the job, a table of a few rows; no copy of a notice is
-    compared with another, each is retrieved on its own.
+    empty texts and those of fewer than five words hold nothing; a null key is a key like any other, rows that repeat
+    a key are looked at each by its own text, and repeated rows give their findings as often as they occur;
+    an empty table gives an empty result; other columns are not read.
+    """
+    found = find_notices(docs, notices, text)
+    rows = docs.select(F.col(key).alias("key"), *text_mark(text))
+    return rows.join(found, ["mark1", "mark2"]).select(
+        F.col("key").alias(key), "license", "notice", "start", "shared", "n_shingles"
+    )
+
+
+def find_notices(docs: DataFrame, notices: dict[str, tuple[str, ...]] = NOTICES, text: str = "text") -> DataFrame:
+    """(mark1, mark2, license, notice, start, shared, n_shingles) of every distinct text that holds something.
+
+    What is found depends on the text alone, so it is told by the text's mark, see :func:`text_mark`. The
+    notices are a parameter of the job, a table of a few rows; no copy of a notice is compared with another, each is
+    retrieved on its own. Findings of a text that many rows share are made one by every task before they
+    are shuffled.
     """
     spark = docs.sparkSession
     listed = [(name, i, t, len(notice_shingles(t))) for name, texts in notices.items() for i, t in enumerate(texts)]
@@ -144,9 +163,9 @@ def scan_licenses(
             hopeful = hopeful | F.contains(low, F.lit(word))
     anchor_words = F.array(*[F.lit(w) for w in anchors])
     cut = settled(
-        docs.filter(F.col(key).isNotNull() & hopeful).select(F.col(key).alias("key"), low.alias("low")),
+        docs.filter(hopeful).select(*text_mark(text), low.alias("low")),
         {"words": F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != "")},
-    ).select("key", "words")
+    ).select("mark1", "mark2", "words")
 
     def places(size: Column) -> Column:
         """Windows of one size that hold a needed word; they begin every ``size`` shingles."""
@@ -162,29 +181,28 @@ def scan_licenses(
             lambda w: F.arrays_overlap(w["window"], anchor_words),
         )
 
-    windows = cut.select("key", "words", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size")).select(
-        "key", F.inline(places(F.col("size")))
-    )
+    sized = cut.select("mark1", "mark2", "words", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"))
+    windows = sized.select("mark1", "mark2", F.inline(places(F.col("size"))))
     hashed = settled(windows, {"shingles": _shingles(F.col("window"))}).drop("window")
     banded = hashed.filter(F.size("shingles") > 0).select(
-        "key", "size", "start", "shingles", F.inline(_bands(F.col("shingles")))
+        "mark1", "mark2", "size", "start", "shingles", F.inline(_bands(F.col("shingles")))
     )
     met = banded.join(templates, ["size", "band", "value"]).select(
-        "key", "start", "license", "notice", "size",
+        "mark1", "mark2", "start", "license", "notice", "size",
         F.size(F.array_intersect("shingles", "template")).alias("shared"),
     )
     return met.filter(F.col("shared") * 100 >= F.col("size") * PERCENT).distinct().select(
-        F.col("key").alias(key), "license", "notice", "start", "shared", F.col("size").alias("n_shingles")
+        "mark1", "mark2", "license", "notice", "start", "shared", F.col("size").alias("n_shingles")
     )
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = scan_licenses(docs).groupBy("doc_id").agg(
+    found = find_notices(docs).groupBy("mark1", "mark2").agg(
         F.sort_array(F.collect_set("license")).alias("licenses"),
         F.max((100 * F.col("shared") / F.col("n_shingles")).cast("long")).alias("best"),
     )
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
+    return docs.select("doc_id", *text_mark("text")).join(found, ["mark1", "mark2"], "left").select(
         "doc_id", F.coalesce(F.size("licenses"), F.lit(0)).cast("long").alias("n_licenses"),
         F.coalesce(F.array_join("licenses", ","), F.lit("")).alias("licenses"), F.coalesce("best", F.lit(0)).alias("best"),
     )

@@ -273,3 +273,12 @@ def test_pipeline_stages(spark, odd, empty):
         last = corpus_pipeline.STAGES[-1][1](spark, rows, "/root/testdata/sf0.001")
         assert last.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
         assert (last.count() == 0) == (docs is empty)
+
+
+def test_licenses_of_rows_without_a_key_and_of_repeated_ones(spark):
+    bsd, apache = (licenses.NOTICES[n][0] for n in ("BSD", "Apache-2.0"))
+    rows = [(None, f"Some words. {bsd}: and more"), (1, bsd), (1, f"x {apache} y"), (1, "nothing at all in here"), (2, bsd), (2, bsd), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(str((r.doc_id, r.license)) for r in licenses.scan_licenses(docs).select("doc_id", "license").distinct().collect())
+    assert got == sorted(map(str, [(None, "BSD"), (1, "BSD"), (1, "Apache-2.0"), (2, "BSD")]))
+    assert licenses.scan_licenses(docs.filter("doc_id = 2")).count() == 2 * licenses.scan_licenses(docs.filter("doc_id = 2").limit(1)).count()
