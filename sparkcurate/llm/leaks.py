@@ -6,7 +6,11 @@ the words that agree are counted: substituted words cost only themselves.
 
 The four masks together miss nothing: in any overlap of at least five words of which 80 % agree, one of
 them finds all its words (if four words in a row agree, the first; else the runs of agreeing words
-between substitutions are so full that one of the others fits).
+between substitutions are so full that one of the others fits). Items of fewer than five words are found by
+the words in a row that they are.
+
+An item leaks where a stretch of it is found, not only where it is whole: a part of an item, and an item
+with a word put in or left out, have a stretch on one side of the gap.
 """
 
 from __future__ import annotations
@@ -28,14 +32,14 @@ MASKS = ("1111", "11101", "11011", "10111")
 class Settings:
     """An item is found where ``percent`` of the words of a stretch of it agree.
 
-    The stretch is the whole item, or ``stretch`` words of a longer one. Items of fewer than
-    ``min_words`` words say too little to be searched. ``index_bytes`` bounds what is sent to all
+    The stretch is any ``stretch`` words of the item, or the whole item if it has no more. Items of fewer than
+    ``loose_words`` words must agree in all of them. ``index_bytes`` bounds what is sent to all
     tasks at once; more items are searched in as many blocks.
     """
 
     percent: int = 80
-    stretch: int = 50
-    min_words: int = 5
+    stretch: int = 13
+    loose_words: int = 5
     index_bytes: int = 16_000_000
 
 
@@ -43,29 +47,39 @@ class Index:
     """Items as word numbers, and their seeds in order."""
 
     def __init__(self, items: list[tuple], settings: Settings):
-        self.percent, self.stretch = settings.percent, settings.stretch
+        self.settings = settings
         self.numbers: dict[bytes, int] = {}
         self.ids, self.items = [], []
         for item, text in items:
             words = lower_words(text)
-            if len(words) >= settings.min_words:
+            if words:
                 self.ids.append(item)
                 self.items.append(np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]))
-        tokens = np.concatenate([np.append(x, 0) for x in self.items]) if self.items else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(self.items)), [len(x) + 1 for x in self.items])
-        place = np.concatenate([np.arange(len(x) + 1) for x in self.items]) if self.items else tokens
+        # Short items have a mask of their own length; the others the four masks.
         self.seeds = []
-        for mask in MASKS:
-            at, keys = seeds(tokens, mask)
-            order = np.argsort(keys, kind="stable")
-            self.seeds.append((keys[order], owner[at][order], place[at][order]))
+        for n in (1, 2, 3, None):
+            which = [i for i, x in enumerate(self.items) if (len(x) == n if n else len(x) > 3)]
+            for mask in ("1" * n,) if n else MASKS:
+                self.seeds.append((mask, *self._seeds(which, mask)))
+
+    def _seeds(self, which: list[int], mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of a mask over some items in order, with their items and places."""
+        none = np.zeros(0, np.int64)
+        tokens = np.concatenate([none, *[np.append(self.items[i], 0) for i in which]])
+        owner = np.repeat(np.array(which, np.int64), [len(self.items[i]) + 1 for i in which])
+        place = np.concatenate([none, *[np.arange(len(self.items[i]) + 1) for i in which]])
+        at, keys = seeds(tokens, mask)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], owner[at][order], place[at][order]
 
     def find(self, words: list[bytes]) -> list:
         """Ids of the items that a document holds, in order."""
         get = self.numbers.get
         tokens = np.array([get(w, 0) for w in words], np.int64)
         hits = []
-        for mask, (keys, owner, place) in zip(MASKS, self.seeds):
+        for mask, keys, owner, place in self.seeds:
+            if not len(keys):
+                continue
             at, mine = seeds(tokens, mask)
             low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
             n = high - low
@@ -86,8 +100,9 @@ class Index:
         a, b = max(0, -offset), min(len(item), len(tokens) - offset)
         same[a + 1 : b + 1] = tokens[a + offset : b + offset] == item[a:b]
         total = np.cumsum(same)
-        size = min(len(item), self.stretch)
-        return 100 * int((total[size:] - total[: len(total) - size]).max()) >= self.percent * size
+        size = min(len(item), self.settings.stretch)
+        percent = self.settings.percent if len(item) >= self.settings.loose_words else 100
+        return 100 * int((total[size:] - total[: len(total) - size]).max()) >= percent * size
 
 
 def seeds(tokens: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -179,11 +194,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
  split AS (SELECT side, r, list_filter(regexp_split_to_array(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM words),
  tokens AS (SELECT side, r, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM split),
- same AS (SELECT a.r, b.r AS item, a.i - b.i AS shift, b.i AS q, least(b.n, {Settings.stretch}) AS size
-   FROM tokens a JOIN tokens b ON a.side = 'd' AND b.side = 'b' AND a.t = b.t AND b.n >= {Settings.min_words}),
+ same AS (SELECT a.r, b.r AS item, a.i - b.i AS shift, b.i AS q, least(b.n, {Settings.stretch}) AS size, CASE WHEN b.n < {Settings.loose_words} THEN 100 ELSE {Settings.percent} END AS pct
+   FROM tokens a JOIN tokens b ON a.side = 'd' AND b.side = 'b' AND a.t = b.t),
  hits AS (SELECT DISTINCT r, item FROM (SELECT *, max(size) OVER w AS s,
     count(*) OVER (PARTITION BY r, item, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND {Settings.stretch - 1} FOLLOWING) AS c FROM same
-    WINDOW w AS (PARTITION BY r, item, shift)) WHERE 100 * c >= {Settings.percent} * size)
+    WINDOW w AS (PARTITION BY r, item, shift)) WHERE 100 * c >= pct * size)
 SELECT doc_id, count(item) > 0 AS contaminated, count(item) AS n_items,
  coalesce(string_agg(item::VARCHAR, ',' ORDER BY item), '') AS items
 FROM d LEFT JOIN hits USING (r) GROUP BY r, doc_id

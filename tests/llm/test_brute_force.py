@@ -168,9 +168,9 @@ def test_pipeline(spark, small, small_rows):
     assert all(r.decoded_sha256 == hashlib.sha256(clean[i].encode()).hexdigest() for i, r in got.items())
 
 
-def holds(words, item, percent=80, stretch=50):
+def holds(words, item, percent=80, stretch=13):
     if len(item) < 5:
-        return False
+        return bool(item) and any(words[i : i + len(item)] == item for i in range(len(words)))
     where = collections.defaultdict(list)
     for q, w in enumerate(item):
         where[w].append(q)
@@ -184,3 +184,32 @@ def holds(words, item, percent=80, stretch=50):
         for same in shifts.values() if 100 * len(same) >= percent * size
         for a in range(len(item) - size + 1)
     )
+
+
+def test_parts_of_items_and_short_ones(spark):
+    import random
+
+    from sparkcurate.llm import leaks
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, rng.choices(vocabulary, k=n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 9, 13, 14, 25, 38, 60])]
+    items[0] = (0, ["alone"])
+    docs = []
+    for i in range(200):
+        item = list(items[i % len(items)][1])
+        if i % 4 == 1 and len(item) > 20:
+            item = item[5:18]  # a part
+        elif i % 4 == 2:
+            item.insert(len(item) // 2, "inserted")
+        elif i % 4 == 3:
+            item = [w if rng.random() < 0.85 else "other" for w in item]
+        docs.append((i, rng.choices(vocabulary, k=rng.randint(0, 40)) + item + rng.choices(vocabulary, k=10)))
+    got = leaks.with_leaks(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"),
+        settings=leaks.Settings(index_bytes=rng.choice([100, 16_000_000])),
+    ).collect()
+    plain = lambda w: [x.encode() for x in w]
+    want = {i: [k for k, item in items if holds(plain(w), plain(item))] for i, w in docs}
+    assert {r.doc_id: list(r.leaked_items) for r in got} == want and sum(map(bool, want.values())) > 100
