@@ -13,8 +13,9 @@ from sparkcurate.functions import scoring as S
 from sparkcurate.operators import attempts as A
 from sparkcurate.operators import catalogue as C
 from sparkcurate.operators import graph as G
-from sparkcurate.operators.ranking import page, page_after
+from sparkcurate.operators.ranking import page, page_after, page_with_total
 from sparkcurate.plans import datasets as D
+from sparkcurate.session import application_folder
 from sparkcurate.plans import samples as P
 
 QUERIES, ORACLE = {}, {}
@@ -361,8 +362,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     own = view(spark, sf, "cat_papers").filter("user_id = 1")
-    total = own.count()
-    return page(own, [F.col("id").desc()], 2, 50).select("id", "title", F.lit(total).cast("bigint").alias("total"))
+    return page_with_total(own, [F.col("id").desc()], 2, 50).select("id", "title", "total")
 
 
 @check("page_after", with_views("qa", body="SELECT id, instruction FROM qa WHERE id > 500 ORDER BY id LIMIT 20"))
@@ -370,6 +370,30 @@ def _(spark, sf):
     return page_after(view(spark, sf, "qa"), "id", 500, 20).select("id", "instruction")
 
 
+@check("training_data", with_views("qa", body="SELECT instruction, output FROM qa WHERE is_valid AND dataset_id = 1"))
+def _(spark, sf):
+    """The file of the dataset is missing, so its valid pairs are taken."""
+    sets = view(spark, sf, "cat_datasets")
+    user = sets.filter("id = 1").first()["user_id"]
+    return D.training_data(spark, sets, view(spark, sf, "qa"), user, dataset_id=1)
+
+
+@check("exported_dataset", with_views("qa", body="SELECT instruction, output, is_valid, was_healed, source_title FROM qa"))
+def _(spark, sf):
+    folder = f"{application_folder(spark)}/export-{uuid.uuid4().hex}"
+    D.export_dataset(view(spark, sf, "qa"), folder)
+    return spark.read.schema(
+        "instruction string, output string, is_valid boolean, was_healed boolean, source_title string"
+    ).json(folder)
+
+
+@check("exported_training", with_views("qa", body="SELECT instruction, output FROM qa WHERE is_valid AND dataset_id = 1"))
+def _(spark, sf):
+    folder = f"{application_folder(spark)}/training-{uuid.uuid4().hex}"
+    D.export_training(view(spark, sf, "qa"), 1, folder)
+    return spark.read.schema("instruction string, output string").json(folder)
+
+
 @check("training_rows", with_views("qa", body="SELECT instruction, output FROM qa WHERE is_valid AND dataset_id = 1"))
 def _(spark, sf):
     return C.training_rows(view(spark, sf, "qa"), 1)
@@ -539,6 +563,68 @@ def _(spark, sf):
     return G.sampled_qa(papers, sets, qa, G.DRAWN).select("parent_kind", "parent", "id")
 
 
+def whole(spark, sf):
+    """The graph of everything: all pairs, papers linked to their keywords."""
+    sets, papers, qa = (view(spark, sf, n) for n in _GV)
+    return G.knowledge_graph(sets, papers.withColumn("authors", F.array("source")), qa)
+
+
+def _unlimited(sql):
+    changes = (
+        (" WHERE rn <= CASE kind WHEN 0 THEN 2 ELSE 4 END", ""), (" WHERE before < 150", ""),
+        ("(SELECT * FROM cat_papers ORDER BY id LIMIT 200)", "cat_papers"),
+        ("ed AS MATERIALIZED (SELECT x.k AS a, y.k AS b, count(*) AS shared FROM kw x JOIN kw y ON x.w = y.w AND x.k < y.k GROUP BY 1, 2 HAVING count(*) >= 2),\n", ""),
+        ("SELECT 'paper-'||a, 'paper-'||b, shared / 10, 'keyword' FROM ed", "SELECT 'paper-'||k, 'keyword-'||w, 0.1, 'paper_keyword' FROM kw"),
+    )
+    for old, new in changes:
+        assert sql.count(old) == 1, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+WHOLE = _unlimited(GRAPH)
+
+
+@check("graph_nodes_whole", with_views(*_GV, body=WHOLE + f"SELECT {', '.join(_NODE)} FROM nodes"))
+def _(spark, sf):
+    return whole(spark, sf)[0].select(*_NODE)
+
+
+@check("graph_links_whole", with_views(*_GV, body=WHOLE + "SELECT * FROM links"))
+def _(spark, sf):
+    return whole(spark, sf)[1]
+
+
+@check("all_qa", with_views(*_GV, body=WHOLE + "SELECT CASE kind WHEN 0 THEN 'paper' ELSE 'dataset' END AS parent_kind, parent, id FROM sq"))
+def _(spark, sf):
+    sets, papers, qa = (view(spark, sf, n) for n in _GV)
+    return G.sampled_qa(papers, sets.filter("status = 'completed'"), qa).select("parent_kind", "parent", "id")
+
+
+@check(
+    "subgraph_whole",
+    with_views(
+        *_GV,
+        body=WHOLE + """SELECT 'node' AS kind, id AS a, type AS b FROM nodes WHERE cluster = 1 UNION ALL
+SELECT 'link', source, target FROM links WHERE source IN (SELECT id FROM nodes WHERE cluster = 1) AND target IN (SELECT id FROM nodes WHERE cluster = 1)""",
+    ),
+)
+def _(spark, sf):
+    nodes, links, _clusters = whole(spark, sf)
+    n, l = G.subgraph(nodes, links, 1)
+    return n.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("type").alias("b")).unionByName(
+        l.select(F.lit("link").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"))
+    )
+
+
+@check(
+    "node_matches_whole",
+    with_views(*_GV, body=WHOLE + "SELECT id, contains(lower(label), 'der') OR (type = 'qa' AND coalesce(contains(lower(instruction), 'der'), false)) AS match FROM nodes"),
+)
+def _(spark, sf):
+    return G.with_match(whole(spark, sf)[0], "Der").select("id", "match")
+
+
 @check("keyword_edges", with_views(*_GV, body=GRAPH + "SELECT a, b, shared, shared / 10 AS weight FROM ed"))
 def _(spark, sf):
     return G.keyword_edges(view(spark, sf, "cat_papers").orderBy("id").limit(G.DRAWN.edge_papers))

@@ -381,6 +381,30 @@ def _(spark, sf):
     return done.corrected.withColumn("failing", F.lit(failing).cast("bigint"))
 
 
+@check(
+    "corrections_with_log",
+    with_views(
+        "judge",
+        body=PARSED + f""", f AS (SELECT {_CORRECTION_CHARS} + length('q'||idx) + 2 * length(judge_response)
+  + coalesce((SELECT 5 + length(source) + length(text) FROM documents WHERE doc_id = idx AND doc_id % 2 = 0), 0) AS n FROM jo WHERE overall < 50)
+SELECT 'i' AS instruction, CAST(n AS VARCHAR) AS output, (SELECT count(*) FROM f) AS failing FROM f WHERE n % 4 <> 0""",
+    ),
+)
+def _(spark, sf):
+    """Every prompt shows the papers of its own question; questions with odd ids have none in the log."""
+    results = parsed(spark, sf).withColumns(
+        {"question": F.concat(F.lit("q"), F.col("idx").cast("string")),
+         "answer": F.col("judge_response"), "reference": F.col("judge_response")}
+    )
+    paper = F.struct(F.col("source").alias("title"), F.col("text").alias("abstract"))
+    log = table(spark, sf, "documents").filter("doc_id % 2 = 0").select(
+        F.col("doc_id").alias("question_index"), F.array(paper).alias("papers_retrieved")
+    )
+    done = P.apply_corrections(results, log, rewrite(), key="idx")
+    failing = done.summary.first()["total_failing"]
+    return done.corrected.withColumn("failing", F.lit(failing).cast("bigint"))
+
+
 @check(
     "context_papers",
     "SELECT * FROM (SELECT text AS title, source AS abstract FROM documents ORDER BY doc_id, title LIMIT 10)",

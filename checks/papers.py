@@ -437,9 +437,7 @@ def _(spark, sf):
     with_views("papers", body="SELECT pos, citation_count FROM papers ORDER BY citation_count DESC, pos LIMIT 25"),
 )
 def _(spark, sf):
-    return view(spark, sf, "papers").orderBy(F.col("citation_count").desc(), "pos").limit(25).select(
-        "pos", "citation_count"
-    )
+    return P.ranked_for_fetch(view(spark, sf, "papers"), 25, ["pos"]).select("pos", "citation_count")
 
 
 @check(

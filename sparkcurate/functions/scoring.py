@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkcurate.functions.numbers import rounded
-from sparkcurate.functions.text import strip
+from sparkcurate.functions.text import strip, with_spaces
 
 # Score dimensions of a judge response and their weights in the overall score.
 DIMENSIONS = {"factual_accuracy": 0.50, "completeness": 0.30, "technical_precision": 0.20}
@@ -14,7 +14,7 @@ DIMENSIONS = {"factual_accuracy": 0.50, "completeness": 0.30, "technical_precisi
 
 def _number(c: Column, pattern: str, kind: str = "bigint") -> Column:
     """Group 1 of the first match as a number without thousands separators; null if none."""
-    digits = F.regexp_replace(F.regexp_extract(c, pattern, 1), ",", "")
+    digits = F.regexp_replace(F.regexp_extract(c, with_spaces(pattern), 1), ",", "")
     return digits.try_cast(kind)
 
 
@@ -25,7 +25,7 @@ def judge_scores(response: Column) -> Column:
     """
     parts = []
     for name in DIMENSIONS:
-        raw = F.regexp_extract(response, rf"(?i){name}:\s*(\d+)", 1)
+        raw = F.regexp_extract(response, with_spaces(rf"(?i){name}:\s*(\d+)"), 1)
         value = F.when(F.length(raw) > 18, F.lit(100)).otherwise(
             F.least(F.lit(100), F.greatest(F.lit(0), raw.try_cast("bigint")))
         )
@@ -38,7 +38,7 @@ def overall_score(scores: Column) -> Column:
 
 
 def justification(response: Column) -> Column:
-    return strip(F.regexp_extract(response, r"(?is)JUSTIFICATION:\s*(.+)", 1))
+    return strip(F.regexp_extract(response, with_spaces(r"(?is)JUSTIFICATION:\s*(.+)"), 1))
 
 
 def eval_class(skipped: Column, overall: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkcurate.functions.binding import once
-from sparkcurate.functions.text import block, rstrip, strip
+from sparkcurate.functions.text import block, rstrip, strip, with_spaces
 
 # Answer phrases, tried in this order; group 1 is the answer.
 FINAL_ANSWER_PATTERNS = (
@@ -104,8 +104,8 @@ def final_answer(c: Column) -> Column:
     candidates = []
     for pattern in FINAL_ANSWER_PATTERNS:
         # Group 1 of these patterns is never empty on a match, so '' means "no match".
-        raw = strip(F.regexp_extract(c, pattern, 1))
-        cut = F.regexp_replace(raw, r"(?d)\s*[.,:;]?\s*$", "")
+        raw = strip(F.regexp_extract(c, with_spaces(pattern), 1))
+        cut = F.regexp_replace(raw, with_spaces(r"(?d)\s*[.,:;]?\s*$"), "")
         candidates.append(once(cut, lambda c: F.when(F.length(c) > 3, c)))
     return F.coalesce(*candidates)
 

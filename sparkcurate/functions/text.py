@@ -12,6 +12,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+_SPACES = "".join(f"\\x{{{ord(c):X}}}" for c in WHITESPACE)
+
 # Scripts that speak against English text.
 NON_LATIN_CLASS = (
     r"[\x{0400}-\x{04FF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}"
@@ -60,6 +62,24 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def with_spaces(pattern: str) -> str:
+    r"""The pattern with ``\s`` as every character of WHITESPACE, in a class or alone.
+
+    By itself the engine means six ASCII characters only.
+    """
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        part = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        if part == r"\s":
+            part = _SPACES if inside else f"[{_SPACES}]"
+            i += 2
+        else:
+            inside = part == "[" or inside and part != "]"
+            i += len(part)
+        out.append(part)
+    return "".join(out)
+
+
 def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(WHITESPACE))
 
@@ -94,7 +114,7 @@ def is_english(c: Column) -> Column:
 def last_sentences(c: Column, n: int = 2) -> Column:
     """The last ``n`` sentences; the whole trimmed text when it has no more than that."""
     text = strip(c)
-    parts = F.split(text, r"(?<=[.!?])\s+(?=[A-Z])")
+    parts = F.split(text, with_spaces(r"(?<=[.!?])\s+(?=[A-Z])"))
     return F.when(F.size(parts) <= n, text).otherwise(
         F.array_join(F.slice(parts, F.lit(-n), F.lit(n)), " ")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.config import IssueTexts, Rules
 from sparkcurate.functions.binding import once
-from sparkcurate.functions.text import block, strip
+from sparkcurate.functions.text import block, strip, with_spaces
 
 # What counts as LaTeX, and the step markers looked for in a reasoning.
 ANY_LATEX = r"\\[a-zA-Z]+|\\\[|\$"
@@ -187,7 +187,7 @@ def _detailed_flags(c: Column, low: Column, rules: Rules) -> Column:
     return F.struct(
         *[flag.alias(name) for name, flag in tags.items()],
         c.rlike(ANY_LATEX).alias("has_latex"),
-        low.rlike(r"step\s*\d").alias("has_steps"),
+        low.rlike(with_spaces(r"step\s*\p{Nd}")).alias("has_steps"),
         all_tags.alias("all_tags_valid"),
         domain.alias("domain_results"),
         score.alias("domain_score"),

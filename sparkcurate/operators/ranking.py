@@ -185,6 +185,13 @@ def page(df: DataFrame, order: Sequence[Column], number: int, per_page: int) ->
     return df.orderBy(*order).offset((number - 1) * per_page).limit(per_page)
 
 
+def page_with_total(df: DataFrame, order: Sequence[Column], number: int, per_page: int) -> DataFrame:
+    """One page with ``total``, the number of all rows, beside every row of it."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    # One row, so this is no product of two tables.
+    return page(df, order, number, per_page).crossJoin(F.broadcast(total))
+
+
 def page_after(
     df: DataFrame, column: str, last: object | None, per_page: int, descending: bool = False
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcurate.config import Task
@@ -25,8 +25,9 @@ from sparkcurate.plans.papers import (
     topic_papers,
 )
 from sparkcurate.plans.samples import FilterResult, filter_samples
-from sparkcurate.session import materialise
-from sparkcurate.sources.writers import save_part, save_table
+from sparkcurate.session import exists, materialise
+from sparkcurate.sources.readers import read_jsonl_tolerant
+from sparkcurate.sources.writers import save_part, save_table, write_jsonl
 
 
 @dataclass(frozen=True)
@@ -240,8 +241,6 @@ def card_numbers(datasets: DataFrame, qa: DataFrame) -> DataFrame:
 
 def export_dataset(qa: DataFrame, path: str) -> None:
     """Publish the pairs as JSON lines; an empty dataset is an error."""
-    from sparkcurate.sources.writers import write_jsonl
-
     if qa.isEmpty():
         raise ValueError("the dataset has no pairs")
     write_jsonl(catalogue.export_rows(qa), path)
@@ -304,3 +303,33 @@ def training_source(
             return row[0]
     row = catalogue.latest_completed(own).select("output_path").first()
     return row[0] if row else None
+
+
+def training_data(
+    spark: SparkSession, datasets: DataFrame, qa: DataFrame, user_id: int, path: str | None = None,
+    dataset_id: int | None = None,
+) -> DataFrame:
+    """instruction and output of the training rows that :func:`training_source` names.
+
+    Where its file is missing, the valid pairs of the catalogue are taken for the dataset that was asked for.
+    ValueError where nothing is named, nothing is there, or the dataset has no valid pair.
+    """
+    source = training_source(datasets, user_id, path, dataset_id)
+    if source is None:
+        raise ValueError("no dataset path could be resolved")
+    if exists(spark, source):
+        return read_jsonl_tolerant(spark, source, "instruction string, output string")
+    if dataset_id is None:
+        raise ValueError(f"dataset file not found: {source}")
+    rows = catalogue.training_rows(qa, dataset_id)
+    if rows.isEmpty():
+        raise ValueError(f"dataset {dataset_id} has no valid pairs")
+    return rows
+
+
+def export_training(qa: DataFrame, dataset_id: int, path: str) -> None:
+    """Write the valid pairs of a dataset as JSON lines; ValueError if there are none."""
+    rows = catalogue.training_rows(qa, dataset_id)
+    if rows.isEmpty():
+        raise ValueError(f"dataset {dataset_id} has no valid pairs")
+    write_jsonl(rows, path)

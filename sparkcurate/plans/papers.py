@@ -50,13 +50,25 @@ def distinct_papers(papers: DataFrame) -> DataFrame:
     return papers.join(greedy_order(english_only(papers), order, keys), order, "left_semi")
 
 
+def ranked_for_fetch(papers: DataFrame, n: int, place: Sequence[str] = ("source_rank", "pos")) -> DataFrame:
+    """The ``n`` most cited papers, whose full texts are fetched; ties go by ``place``, which tells papers apart.
+
+    They are chosen among places and citations alone; no text is moved to find them.
+    """
+    best = papers.select(*place, "citation_count").orderBy(F.col("citation_count").desc(), *place).limit(n)
+    return papers.join(F.broadcast(best.select(*place)), list(place), "left_semi")
+
+
 def collect_papers(frames: Sequence[DataFrame], max_results: int = 20) -> DataFrame:
     """The most cited distinct English papers of several sources."""
-    return (
-        distinct_papers(merge_sources(frames))
-        .orderBy(F.col("citation_count").desc(), "source_rank", "pos")
-        .limit(max_results)
-    )
+    merged, place = merge_sources(frames), ["source_rank", "pos"]
+    keys = [F.col("paper_id"), F.md5(title_key(F.col("title")))]
+    # The kept places and their citations decide; the chosen papers, a fixed number, are joined at the end.
+    kept = greedy_order(english_only(merged), place, keys)
+    slim = merged.select(*place, "citation_count").join(kept, place, "left_semi")
+    return merged.join(
+        F.broadcast(ranked_for_fetch(slim, max_results).select(*place)), place, "left_semi"
+    ).orderBy(F.col("citation_count").desc(), *place)
 
 
 def resolve_full_text(papers: DataFrame, fetched: DataFrame) -> DataFrame:

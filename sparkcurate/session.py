@@ -28,15 +28,29 @@ def local_session(cores: str = "8", app: str = "sparkcurate") -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: whatever ``spark.checkpoint.dir`` names.
 
-    Where that is unset it lies in the session's warehouse, which every session has and which
-    all executors of a cluster share.
+    Where that is unset it lies in the session's warehouse, which every session has. On a cluster that
+    must be a folder that all machines share; one of the local file system is refused, because each
+    executor would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    if not spark.sparkContext.master.startswith("local") and _file_system(spark, folder).getScheme() == "file":
+        raise ValueError(f"{folder} is local to a machine: set spark.checkpoint.dir to a folder that all share")
+    return folder
+
+
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    return context._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system the path names."""
+    return _file_system(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
 
 
 def application_folder(spark: SparkSession) -> str:
