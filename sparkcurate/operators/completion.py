@@ -2,12 +2,14 @@
 
 The function runs in Python workers on Arrow batches; everything around it (deciding whether a
 reply is good, choosing what is asked again, parsing) stays in Spark expressions. Every round
-is stored before the next begins, so a lost executor never repeats calls that were answered.
+is stored in a ledger before the next begins, so neither a lost executor nor, where the ledger has a folder of its
+own, a lost driver repeats calls of rounds that were answered.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcurate.session import materialise
+from sparkcurate.session import application_folder, exists
 
 # complete_fn(system_prompts, user_prompts) -> one reply per prompt: text, None, or a mapping
 # with "text" and the optional token counts.
@@ -65,6 +67,11 @@ def complete(
     return prompts.mapInPandas(call, fields)
 
 
+def prompt_hash() -> Column:
+    """What a call is known by: a hash of both prompts."""
+    return F.sha2(F.to_json(F.struct("system_prompt", "user_prompt"), {"ignoreNullFields": "false"}), 256)
+
+
 def complete_with_retry(
     prompts: DataFrame,
     complete_fn: CompleteFn,
@@ -72,26 +79,46 @@ def complete_with_retry(
     max_attempts: int = 3,
     batch_size: int = 16,
     partitions: int | None = None,
+    ledger: str | None = None,
+    parts: int = 1,
 ) -> DataFrame:
     """Attempts table: the prompt columns, ``attempt``, the reply columns and ``valid``.
 
     ``accept`` says as a Column whether an output is good. Rows without a good output are
-    asked again, up to ``max_attempts`` times in all.
+    asked again, up to ``max_attempts`` times in all. Rows with the same prompts are asked once and share the reply.
+
+    Replies go to a ledger by the hash of their prompt; no prompt is stored. With a ``ledger`` folder of your own a
+    run whose driver was lost goes on where it stopped: every attempt is stored in ``parts`` parts, and a part that
+    is there is not asked for again. A ledger belongs to one table of prompts.
     """
-    pending, tables = prompts, []
+    spark = prompts.sparkSession
+    ledger = ledger or f"{application_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    keyed = prompts.withColumn("_hash", prompt_hash())
+    asked_for = keyed.select("_hash", "system_prompt", "user_prompt").dropDuplicates(["_hash"])
+    tables: list[DataFrame] = []
     for attempt in range(1, max_attempts + 1):
-        asked = complete(pending, complete_fn, batch_size, partitions)
-        good = F.coalesce(accept(F.col("output")), F.lit(False)) & (
-            F.coalesce(F.length("output"), F.lit(0)) > 0
-        )
-        done = materialise(
-            asked.withColumn("attempt", F.lit(attempt)).withColumn("valid", good), "attempt"
-        )
-        tables.append(done)
-        pending = done.filter(~F.col("valid")).select(*prompts.columns)
-        if pending.isEmpty():
-            break
-    result = tables[0]
+        pending = asked_for
+        if tables:
+            failed = tables[-1].filter(~F.col("valid")).select("_hash")
+            if failed.isEmpty():
+                break
+            pending = asked_for.join(failed, "_hash", "left_semi")
+        for part in range(parts):
+            folder = f"{ledger}/attempt={attempt}/part={part}"
+            if exists(spark, f"{folder}/_SUCCESS"):
+                continue
+            own = pending.filter(F.pmod(F.xxhash64("_hash"), F.lit(parts)) == part)
+            replies = complete(own, complete_fn, batch_size, partitions)
+            good = F.coalesce(accept(F.col("output")), F.lit(False)) & (
+                F.coalesce(F.length("output"), F.lit(0)) > 0
+            )
+            replies.withColumn("valid", good).drop("system_prompt", "user_prompt").write.mode("overwrite").parquet(folder)
+        schema = T.StructType([T.StructField("_hash", T.StringType())])
+        schema = T.StructType(schema.fields + T._parse_datatype_string(REPLY + ", valid boolean").fields)
+        done = spark.read.schema(schema).parquet(*[f"{ledger}/attempt={attempt}/part={i}" for i in range(parts)])
+        tables.append(done.withColumn("attempt", F.lit(attempt)))
+    attempts = tables[0]
     for table in tables[1:]:
-        result = result.unionByName(table)
-    return result
+        attempts = attempts.unionByName(table)
+    names = [f.name for f in T._parse_datatype_string(REPLY).fields]
+    return keyed.join(attempts, "_hash").select(*prompts.columns, *names, "attempt", "valid")

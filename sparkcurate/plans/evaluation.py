@@ -43,13 +43,10 @@ def map_questions(
     )
 
 
-def article_log(questions: DataFrame, papers: DataFrame, key: str, k: int = SHOWN_PAPERS) -> DataFrame:
-    """(key, query, papers_retrieved): the retrieved papers of every question, best first.
-
-    Retrieval runs once per distinct query. Questions without a hit have an empty array.
-    """
+def retrieved_articles(questions: DataFrame, papers: DataFrame, k: int = SHOWN_PAPERS) -> DataFrame:
+    """(query, papers_retrieved) of every distinct query that finds something, best first."""
     hits = retrieve(questions, papers, "question", "paper_id", k).drop("citation_count")
-    found = hits.join(papers, "paper_id").groupBy("query").agg(
+    return hits.join(papers, "paper_id").groupBy("query").agg(
         # At most k papers a query.
         F.sort_array(
             F.collect_list(
@@ -60,32 +57,43 @@ def article_log(questions: DataFrame, papers: DataFrame, key: str, k: int = SHOW
             )
         ).alias("papers_retrieved")
     )
+
+
+def article_log(questions: DataFrame, papers: DataFrame, key: str, k: int = SHOWN_PAPERS) -> DataFrame:
+    """(key, query, papers_retrieved): the retrieved papers of every question, best first.
+
+    Retrieval runs once per distinct query. Questions without a hit have an empty array.
+    """
     return (
         questions.select(key, query_text("question").alias("query"))
-        .join(found, "query", "left")
-        .withColumn(
-            "papers_retrieved", F.coalesce("papers_retrieved", F.array())
-        )
+        .join(retrieved_articles(questions, papers, k), "query", "left")
+        .withColumn("papers_retrieved", F.coalesce("papers_retrieved", F.array()))
     )
 
 
-def grounded_questions(questions: DataFrame, papers: DataFrame, key: str) -> DataFrame:
+def grounded_questions(
+    questions: DataFrame, papers: DataFrame, key: str, k: int = SHOWN_PAPERS,
+    reference_minimum: int = REFERENCE_MINIMUM, reference_chars: int = REFERENCE_CHARS,
+) -> DataFrame:
     """Questions with ``papers_retrieved`` and the text ``context`` shown to the judge.
 
-    A reference of more than 50 characters is searched for too, by its first 300.
+    A reference of more than ``reference_minimum`` characters is searched for too, by its first
+    ``reference_chars``. Questions and references are one table of queries, so the papers are gone over once;
+    what was found, ``k`` papers a query, is joined to both.
     """
-    log = article_log(questions, papers, key)
-    references = questions.filter(F.length("reference") > REFERENCE_MINIMUM).select(
-        key, F.substring("reference", 1, REFERENCE_CHARS).alias("question")
-    )
-    second = article_log(references, papers, key).select(
-        key, context_block(F.col("papers_retrieved")).alias("_ref")
+    start = F.when(F.length("reference") > reference_minimum, F.substring("reference", 1, reference_chars))
+    asked = questions.select("question").unionAll(
+        questions.select(start.alias("question")).filter("question IS NOT NULL")
     )
+    found = materialise(retrieved_articles(asked, papers, k), "articles")
+    again = found.select(F.col("query").alias("_query"), context_block(F.col("papers_retrieved")).alias("_ref"))
     return (
-        questions.join(log, key)
-        .join(second, key, "left")
+        questions.withColumn("query", query_text("question"))
+        .withColumn("_start", start).withColumn("_query", query_text("_start"))
+        .join(found, "query", "left").join(again, "_query", "left")
+        .withColumn("papers_retrieved", F.coalesce("papers_retrieved", F.array()))
         .withColumn("context", grounded_context(context_block(F.col("papers_retrieved")), F.col("_ref")))
-        .drop("_ref")
+        .drop("_ref", "_start", "_query")
     )
 
 

@@ -53,6 +53,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _file_system(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
 
 
+def modified_millis(spark: SparkSession, path: str) -> int:
+    """When a file was last modified, in milliseconds since 1970."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return _file_system(spark, path).getFileStatus(where).getModificationTime()
+
+
 def application_folder(spark: SparkSession) -> str:
     """The application's own part of :func:`scratch_dir`; it is deleted when the driver ends."""
     context = spark.sparkContext

@@ -11,6 +11,7 @@ from sparkcurate.functions.papers import INDEX_RECORD, arxiv_id, paper_id
 from sparkcurate.functions.records import first_object, is_object, json_objects
 from sparkcurate.functions.text import strip
 from sparkcurate.operators.rows import settled
+from sparkcurate.session import modified_millis
 
 # Schemas of the records passed between the steps.
 SAMPLE_SCHEMA = "instruction string, output string, valid boolean, healed boolean, heal_methods array<string>"
@@ -109,21 +110,23 @@ def _one_slash(path):
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
     """Files of a folder by name: path, size, non-blank lines, modification time.
 
-    Lines are counted by a job; names and sizes come from the file system's own listing,
-    because a scan leaves empty files out.
+    Spark lists the folder, with many files in parallel. Of the first scan no content is read, of the second one
+    the lines are counted. Scans leave empty files out; only those are looked up one by one.
     """
-    context = spark.sparkContext
-    glob = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
-    found = glob.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(glob)
-    listing = spark.createDataFrame(
-        [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found or []],
-        "path string, size_bytes bigint, modified bigint",
-    ).withColumns(
-        {
-            # Both sides as file:/a/b, however many slashes the listing or the scan writes.
-            "_path": _one_slash(F.col("path")),
-            "modified": F.timestamp_millis("modified"),
-        }
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    # Both sides as file:/a/b, however many slashes a scan writes.
+    scanned = files.select(
+        "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"),
+        _one_slash(F.col("path")).alias("_path"),
+    )
+    names = spark.createDataFrame([(n,) for n in files.inputFiles()], "name string")
+    names = names.select("name", _one_slash(F.col("name")).alias("_path"))
+    empty = [(r.name, modified_millis(spark, r.name)) for r in names.join(scanned, "_path", "left_anti").collect()]
+    listing = scanned.unionByName(
+        spark.createDataFrame(empty, "path string, at bigint").select(
+            "path", F.lit(0).cast("bigint").alias("size_bytes"), F.timestamp_millis("at").alias("modified"),
+            _one_slash(F.col("path")).alias("_path"),
+        )
     )
     counts = (
         spark.read.option("pathGlobFilter", pattern).text(folder)

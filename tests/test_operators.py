@@ -11,14 +11,14 @@ from sparkcurate.operators import attempts as A
 from sparkcurate.operators import ranking as K
 from sparkcurate.operators import stats
 from sparkcurate.operators.chunking import chunk_texts
-from sparkcurate.operators.completion import complete
+from sparkcurate.operators.completion import complete, complete_with_retry
 from sparkcurate.operators.dedup import greedy_dedup, greedy_order
 from sparkcurate.operators.graph import link_counts, paper_text, top_keywords
 from sparkcurate.operators.events import job_status
 from sparkcurate.operators.retrieval import retrieve
 from sparkcurate.plans import evaluation as E
 from sparkcurate.plans import papers as P
-from sparkcurate.plans.datasets import build_dataset, training_source
+from sparkcurate.plans.datasets import build_dataset, export_training, training_data, training_source
 from sparkcurate.plans.samples import filter_samples, trial_run
 from sparkcurate.config import Task
 
@@ -306,6 +306,81 @@ def test_a_wrong_number_of_replies_is_an_error_row(spark):
     assert {r.id for r in rows if r.error} == {2, 3}
 
 
+def test_a_run_that_was_lost_goes_on_where_it_stopped(spark, tmp_path):
+    """The first driver dies in its second part; the next one asks only for what is not in the ledger."""
+    asked = spark.sparkContext.accumulator(0)
+    prompts = spark.createDataFrame([(i, "s", f"u{i % 30}") for i in range(40)], "id int, system_prompt string, user_prompt string")
+    accept = lambda o: o.endswith("2") | ~o.startswith("odd")
+
+    def model(broken):
+        def call(systems, users):
+            asked.add(len(users))
+            if broken:
+                raise SystemExit("killed")
+            return [f"odd {u}" if int(u[1:]) % 2 else u for u in users]
+
+        return call
+
+    ledger = str(tmp_path / "ledger")
+    run = lambda fn, n: complete_with_retry(prompts, fn, accept, n, ledger=ledger, parts=3)
+    done = {(r.id, r.attempt): (r.output, r.valid) for r in run(model(False), 1).collect()}
+    assert asked.value == 30 and len(done) == 40  # equal prompts are asked once
+    import shutil
+
+    shutil.rmtree(tmp_path / "ledger" / "attempt=1" / "part=2")
+    with pytest.raises(Exception):
+        run(model(True), 1).collect()
+    before = asked.value
+    rows = run(model(False), 2).collect()
+    assert asked.value - before < 30  # part 2 of the first attempt, then those without a good reply
+    want = {(i, 1) for i in range(40)} | {(i, 2) for i in range(40) if (i % 30) % 2 and (i % 30) % 10 != 2}
+    assert {(r.id, r.attempt) for r in rows} == want
+    stored = spark.read.parquet(f"{ledger}/attempt=1/part=0").columns
+    assert "user_prompt" not in stored and "system_prompt" not in stored
+
+
+def test_a_reply_that_is_good_on_the_second_try(spark, tmp_path):
+    """A stand-in that keeps count of its calls in a folder."""
+    folder = str(tmp_path)
+
+    def second_time(systems, users):
+        import os
+
+        out = []
+        for u in users:
+            again = os.path.exists(f"{folder}/{u}")
+            open(f"{folder}/{u}", "w").close()
+            out.append("good" if again else "bad")
+        return out
+
+    prompts = spark.createDataFrame([(i, "s", f"u{i}") for i in range(6)], "id int, system_prompt string, user_prompt string")
+    rows = complete_with_retry(prompts, second_time, lambda o: o == "good", 3).collect()
+    assert sorted((r.id, r.attempt, r.output, r.valid) for r in rows) == sorted(
+        [(i, 1, "bad", False) for i in range(6)] + [(i, 2, "good", True) for i in range(6)]
+    )
+
+
+def test_white_space_is_that_of_unicode(evaluate):
+    from sparkcurate.functions.tags import final_answer
+    from sparkcurate.functions.text import last_sentences
+
+    assert evaluate(last_sentences, ["One.\u00a0Two.\u2003Three."]) == ["Two. Three."]
+    assert evaluate(final_answer, ["the final\u00a0answer\u2009is\u3000forty two"]) == ["forty two"]
+
+
+def test_training_data(spark, tmp_path):
+    sets = spark.createDataFrame([(1, 7, "completed", 5, "gone/x"), (2, 7, "completed", 9, str(tmp_path / "there"))], "id int, user_id int, status string, completed_at int, output_path string")
+    qa = spark.createDataFrame([(1, "i", "o", True), (1, "j", "p", False), (3, "k", "q", False)], "dataset_id int, instruction string, output string, is_valid boolean")
+    export_training(qa, 1, str(tmp_path / "there"))
+    read = lambda *a, **k: [tuple(r) for r in training_data(spark, sets, qa, *a, **k).collect()]
+    assert read(7) == [("i", "o")] == read(7, dataset_id=1) == read(7, path=str(tmp_path / "there"))
+    for bad in (dict(user_id=8), dict(user_id=7, path="nowhere"), dict(user_id=7, path="nowhere", dataset_id=3)):
+        with pytest.raises(ValueError):
+            training_data(spark, sets, qa, **bad)
+    with pytest.raises(ValueError):
+        export_training(qa, 3, str(tmp_path / "none"))
+
+
 def test_training_source(spark):
     rows = [(1, 7, "completed", 5, "a"), (2, 7, "completed", 9, "b"), (3, 7, "failed", 11, "c"), (4, 8, "completed", 99, "d")]
     sets = spark.createDataFrame(rows, "id int, user_id int, status string, completed_at int, output_path string")
