@@ -198,8 +198,9 @@ def dedup_lines(
     parts = kinds.filter("differ").select("at.*").groupBy("key", "mark").agg(
         F.collect_list(F.struct("first", "last")).alias("parts")
     )
-    # As many texts may have a shared part as there are, so this side is never sent to all tasks.
-    found = materialise(_windows_of(slim.join(parts.hint("merge"), ["key", "mark"]), settings), "windows")
+    # As many texts may have a shared part as there are, so this side is never sent to all tasks; by hashing,
+    # so that no text is sorted.
+    found = materialise(_windows_of(slim.join(parts.hint("shuffle_hash"), ["key", "mark"]), settings), "windows")
     at = F.struct("key", "mark", "first")
     first = found.groupBy("w1", "w2").agg(F.min(at).alias("at"), F.max(at).alias("to")).filter("at <> to")
     later = found.join(first.select("w1", "w2", "at"), ["w1", "w2"]).filter(at > F.col("at"))
@@ -215,7 +216,7 @@ def _without(docs: DataFrame, runs: DataFrame, key: str, text: str) -> DataFrame
     left = docs.select(*[F.col(f"`{c}`") for c in others]).alias("d")
     # As many texts may change as there are, so this side is never sent to all tasks.
     joined = left.join(
-        runs.hint("merge").alias("k"),
+        runs.hint("shuffle_hash").alias("k"),
         (F.col(f"d.`{key}`") == F.col("k.key")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("k.mark")), "left",
     )
 
