@@ -12,12 +12,13 @@ from sparkcurate.config import (
     FieldMapping,
     Rules,
     SftConfig,
-    SplitRatios,
+    SplitRatios, Task,
 )
 from sparkcurate.functions import tags as T
 from sparkcurate.functions import text as X
 from sparkcurate.functions import validation as V
 from sparkcurate.operators import ranking, stats
+from sparkcurate.operators.evaluation import trial_summary
 from sparkcurate.operators.filtering import heal_samples
 from sparkcurate.plans import samples as P
 
@@ -496,6 +497,42 @@ def _(spark, sf):
     )
 
 
+_TRIAL_ROWS = f"""+ t AS (SELECT sample_id, CASE WHEN length(output) > 0 THEN ({_SCORE})::BIGINT END AS domain_score,
+ CASE WHEN NOT ({_ALL}) OR NOT {_LATEX} THEN 'FAIL' WHEN {_SCORE} < 2 THEN 'MARGINAL' ELSE 'PASS' END AS quality FROM samples)
+"""
+
+
+def trial(spark, sf):
+    """A trial of all samples with a stand-in that replies with the prompt, which is the sample's output."""
+    items = view(spark, sf, "samples").select(
+        "sample_id", F.col("instruction").alias("question"), F.col("output").alias("answer")
+    )
+    call = lambda systems, users: list(users)
+    return P.trial_run(items, call, Task("System.", "{answer}", TRIAL), "sample_id", items.count())
+
+
+@check("trial_run", with_views("samples", body=_TRIAL_ROWS + "SELECT * FROM t"))
+def _(spark, sf):
+    return trial(spark, sf).select(
+        "sample_id", F.col("flags.domain_score").cast("bigint").alias("domain_score"), "quality"
+    )
+
+
+@check(
+    "trial_run_summary",
+    with_views(
+        "samples",
+        body=_TRIAL_ROWS + """SELECT count(*) AS total, count(*) FILTER (quality = 'PASS') AS pass, count(*) FILTER (quality = 'MARGINAL') AS marginal,
+ count(*) FILTER (quality = 'FAIL') AS fail, round(avg(domain_score), 6) AS avg_domain_score,
+ count(*) FILTER (quality IN ('PASS', 'MARGINAL')) / count(*) >= 0.8 AS ready FROM t""",
+    ),
+)
+def _(spark, sf):
+    return trial_summary(trial(spark, sf)).select(
+        "total", "pass", "marginal", "fail", F.round("avg_domain_score", 6).alias("avg_domain_score"), "ready"
+    )
+
+
 # --- statistics ------------------------------------------------------------------------------
 
 
@@ -679,6 +716,12 @@ def _(spark, sf):
     return P.prepare_sft(view(spark, sf, "samples"), "sample_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@check("split_default", with_views("samples", body=split_sql(0.1, 0.1, 3407)))
+def _(spark, sf):
+    """The labels of the split that is taken without a configuration."""
+    return P.prepare_sft(view(spark, sf, "samples"), "sample_id").select("sample_id", "split")
+
+
 @check(
     "held_out_rows",
     with_views("samples", body=split_sql(0.2, 0.2, 3407).replace("SELECT sample_id, CASE", "SELECT sample_id FROM (SELECT sample_id, CASE", 1) + ") WHERE split = 'test'"),

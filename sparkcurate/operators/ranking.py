@@ -110,37 +110,57 @@ def random_order(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))))
 
 
-def _prefix_counts(hashes: DataFrame, prefix: str = "") -> list[tuple[str, int]]:
-    """Rows per next hash digits among those that start with ``prefix``, in hash order."""
-    size = len(prefix) + _PREFIX
-    if size > 32:
-        raise ValueError("the key of a random order must be unique")
-    within = hashes.filter(F.startswith(F.col("h"), F.lit(prefix))) if prefix else hashes
-    groups = within.groupBy(F.substring("h", 1, size).alias("g")).count()
-    return [(g, n) for g, n in sorted(groups.collect())]
-
-
-def cut_value(
-    df: DataFrame, order: Column, n: int, counts: list[tuple[str, int]] | None = None
-) -> str:
-    """Hex text ``t`` such that exactly ``n`` rows have ``order < t`` (for distinct values).
+def _prefix_counts(hashes: DataFrame, prefixes: dict[str, int]) -> dict[str, list[tuple[str, int]]]:
+    """Rows per next hash digits among those that start with a prefix, in hash order, in one pass.
 
-    Descends through hash prefixes: every step counts at most 65,536 groups, and only the group
-    that holds the cut is looked at further. ``counts`` are those of the first step, when they
-    are known already.
+    The prefixes have one length and come with their numbers of rows. Few rows are counted by all digits.
+    """
+    length = len(next(iter(prefixes)))
+    if length == 32:
+        raise ValueError("the key of a random order must be unique")
+    few = length and sum(prefixes.values()) <= len(prefixes) * 16**_PREFIX
+    size = 32 if few else length + _PREFIX
+    within = hashes.filter(F.substring("h", 1, length).isin(*prefixes)) if length else hashes
+    found: dict[str, list[tuple[str, int]]] = {p: [] for p in prefixes}
+    for g, n in sorted(within.groupBy(F.substring("h", 1, size).alias("g")).count().collect()):
+        found[g[:length]].append((g, n))
+    return found
+
+
+def cut_values(
+    df: DataFrame, order: Column, ns: Sequence[int], counts: list[tuple[str, int]] | None = None
+) -> list[str]:
+    """For each of ``ns`` the hex text ``t`` such that exactly so many rows have ``order < t`` (for distinct values).
+
+    All cuts descend through hash prefixes together. A step counts at most 65,536 groups per cut in one pass, and only
+    the groups that hold a cut are looked at further; where those are small, by whole hashes. So there are two
+    passes up to some four billion rows, three above. ``counts`` are those of the first step, when they are known.
     """
-    hashes, prefix, rest = df.select(order.alias("h")), "", n
-    while True:
-        counts = _prefix_counts(hashes, prefix) if counts is None else counts
-        for g, count in counts:
-            if rest < count:
-                break
-            rest -= count
-        else:
-            return "g"  # above every hex digit: all rows are below the cut
-        if rest == 0:
-            return g
-        prefix, counts = g, None
+    hashes, cuts = df.select(order.alias("h")), {}
+    known = {"": counts if counts is not None else _prefix_counts(hashes, {"": 0})[""]}
+    waiting = {n: ("", n) for n in ns}
+    while waiting:
+        inside, sizes = {}, {}
+        for n, (prefix, rest) in waiting.items():
+            for g, count in known[prefix]:
+                if rest < count:
+                    break
+                rest -= count
+            else:
+                cuts[n] = "g"  # above every hex digit: all rows are below the cut
+                continue
+            if rest == 0:
+                cuts[n] = g
+            else:
+                inside[n], sizes[g] = (g, rest), count
+        waiting = inside
+        known = _prefix_counts(hashes, sizes) if waiting else {}
+    return [cuts[n] for n in ns]
+
+
+def cut_value(df: DataFrame, order: Column, n: int) -> str:
+    """One of :func:`cut_values`."""
+    return cut_values(df, order, [n])[0]
 
 
 def sample_rows(
@@ -169,14 +189,12 @@ def split(df: DataFrame, key: str, ratios: SplitRatios | None, name: str = "spli
     if ratios is None:
         return df.withColumn(name, F.lit("train"))
     order = random_order(key, ratios.seed)
-    counts = _prefix_counts(df.select(order.alias("h")))
+    counts = _prefix_counts(df.select(order.alias("h")), {"": 0})[""]
     _, val, test = split_sizes(sum(n for _, n in counts), ratios)
     label = F.lit("train")
     if val + test:
-        held_cut = cut_value(df, order, val + test, counts)
-        label = F.when(order < held_cut, "validation").otherwise(label)
-    if test:
-        label = F.when(order < cut_value(df, order, test, counts), "test").otherwise(label)
+        held_cut, test_cut = cut_values(df, order, [val + test, test], counts)
+        label = F.when(order < test_cut, "test").when(order < held_cut, "validation").otherwise(label)
     return df.withColumn(name, label)
 
 

@@ -86,32 +86,32 @@ def resolve_full_text(papers: DataFrame, fetched: DataFrame) -> DataFrame:
         F.col("pdf_url"), F.col("paper_id"), F.col("doi"), optional("pmc_url"),
         optional("unpaywall_url"),
     )
-    tried = papers.select("paper_id", F.posexplode(urls).alias("at", "url")).join(
-        fetched.select("url", "text", F.col("pdf_path").alias("path")), "url"
-    )
-    good = has_full_text(F.col("text"))
+    # The winner is decided without the texts; each winning text is then fetched by one join.
+    marks = fetched.select("url", has_full_text(F.col("text")).alias("good"), F.col("pdf_path").alias("path"))
+    tried = papers.select("paper_id", F.posexplode(urls).alias("at", "url")).join(marks, "url")
     found = (
         tried.groupBy("paper_id")
         .agg(
-            F.min(F.when(good, F.col("at"))).alias("won"),
-            F.min_by(F.when(good, strip(F.col("text"))), F.when(good, F.col("at"))).alias("_text"),
+            F.min(F.when(F.col("good"), F.col("at"))).alias("won"),
+            F.min_by("url", F.when(F.col("good"), F.col("at"))).alias("_won_url"),
             *[F.max(F.when(F.col("at") == i, F.col("path"))).alias(f"_p{i}") for i in range(MAX_URLS)],
         )
         .select(
-            "paper_id", "_text",
+            "paper_id", F.when(F.col("won").isNotNull(), F.col("_won_url")).alias("_won_url"),
             F.coalesce(
                 *[
                     F.when(F.col("won").isNull() | (F.col("won") >= i), F.col(f"_p{i}"))
                     for i in reversed(range(MAX_URLS))
                 ]
-            ).alias("_path"),
+            ).alias("pdf_path"),
         )
     )
-    return (
-        papers.drop("full_text", "pdf_path")
-        .join(found, "paper_id", "left")
-        .withColumnsRenamed({"_text": "full_text", "_path": "pdf_path"})
-    )
+    # Papers without a winner get an address of their own, so that they do not meet in one task.
+    address = F.coalesce("_won_url", F.concat(F.lit("none:"), F.col("paper_id")))
+    placed = papers.drop("full_text", "pdf_path").join(found, "paper_id", "left").withColumn("_won_url", address)
+    texts = fetched.select(F.col("url").alias("_won_url"), strip(F.col("text")).alias("full_text"))
+    own = [c for c in papers.columns if c not in ("full_text", "pdf_path")]
+    return placed.join(texts, "_won_url", "left").select(*own, "full_text", "pdf_path")
 
 
 def content_census(papers: DataFrame) -> DataFrame:
