@@ -12,7 +12,8 @@ from sparkcurate.config import (
     FieldMapping,
     Rules,
     SftConfig,
-    SplitRatios, Task,
+    SplitRatios,
+    Task,
 )
 from sparkcurate.functions import tags as T
 from sparkcurate.functions import text as X
