@@ -12,9 +12,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkcurate.operators.ranking import top_per_key
 from sparkcurate.llm.common import arrow_type, crc_mod, map_texts
 
 UNKNOWN = "und"
@@ -130,11 +131,9 @@ def _sample(labelled: DataFrame, settings: Settings) -> tuple[list[str], list[tu
         return [], []
     each = max(1, settings.sample_rows // len(languages))
     mark = F.xxhash64(F.col("key").cast("string"), F.lit("sample"))
-    order = Window.partitionBy("lang").orderBy("mark", "key")
-    chosen = (
-        labelled.select("key", "lang", mark.alias("mark")).withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= each).select("key").distinct()
-    )
+    # In two steps, so that a frequent language is not ordered by one task.
+    marked = labelled.select("key", "lang", mark.alias("mark"))
+    chosen = top_per_key(marked, "lang", [F.asc("mark"), F.asc("key")], each, "place").select("key").distinct()
     texts = labelled.join(chosen, "key", "left_semi").select("key", "lang", "text")
 
     def make():

@@ -15,7 +15,8 @@ overlap none of them.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,20 +146,34 @@ def shape(value: str, before: str) -> tuple[int, ...]:
     return min(len(value) // 8, 6), 4 * digits // len(value), int(before[-1:] in ("'", '"')), int("=" in before[-4:] or ":" in before[-4:])
 
 
+def _disjoint(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that the spans cover, in order; overlapping spans become one."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple]:
     """kind, start, end, votes, shape of spans that overlap nothing taken, the first form to match winning."""
-    used = sorted((a, b) for _, a, b in taken)
+    starts, ends = _disjoint((a, b) for _, a, b in taken)
     for kind, pattern in _CANDIDATES:
         fresh = []
         for m in pattern.finditer(text):
             a, b = m.span()
-            i = int(np.searchsorted([u[0] for u in used], b)) if used else 0
-            if any(x < b and a < y for x, y in used[max(0, i - 8) : i]):
+            # Of disjoint places only the last one that begins before the end can reach into the span.
+            i = bisect_left(starts, b)
+            if i and ends[i - 1] > a:
                 continue
             before = text[max(0, a - CONTEXT_CHARS) : a]
             yield kind, a, b, votes(kind, m.group(), before), shape(m.group(), before)
             fresh.append((a, b))
-        used = sorted(used + fresh)
+        if fresh:
+            starts, ends = _disjoint([*zip(starts, ends), *fresh])
 
 
 def find_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
