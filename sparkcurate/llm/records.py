@@ -77,15 +77,18 @@ def write_records(
     """Encode every whole text, append ``end_id`` and write the files of ``folder``.
 
     ``key`` is a whole number. Null keys come first; rows with the same key follow one another
-    by text; a null text is empty and gives a record with the end id alone; an empty table gives
+    by a hash of the text; a null text is empty and gives a record with the end id alone; an empty table gives
     no record. Other columns are not read.
 
-    The one shuffle moves texts into key ranges of about ``file_bytes`` each, so that a file
-    is written, and later read, by one task in bounded memory.
+    The one shuffle moves texts into ranges of about ``file_bytes`` each, so that a file is written, and later
+    read, by one task in bounded memory. The ranges go by key, hash and place in the input, so that neither rows
+    of one key nor rows that are equal have to be in one file.
     """
     slim = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    sorted_ = slim.repartitionByRange(total // file_bytes + 1, "key").sortWithinPartitions("key", "text")
+    placed = slim.select("key", "text", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("place"))
+    order = ["key", "mark", "place"]
+    sorted_ = placed.repartitionByRange(total // file_bytes + 1, *order).sortWithinPartitions(*order).select("key", "text")
 
     def make():
         tokenizer = load_tokenizer(path, pattern)
@@ -171,16 +174,15 @@ def read_records(spark, folder: str, wanted: DataFrame | None = None, with_ids:
 def write_index(spark, folder: str, index: str) -> DataFrame:
     """Read the files once and write the index: file, offset, length, key, n_tokens, ids_crc32, start.
 
-    ``start`` is the number of ids of all records before, over all files. The sums go over one row
-    per file.
+    ``start`` is the number of ids of all records before, over all files, which are numbered in their order by
+    their names. The sums go over one row per file.
     """
     path = f"{index}/records"
     read_records(spark, folder, with_ids=False).write.mode("overwrite").parquet(path)
     records = spark.read.parquet(path)
-    files = records.groupBy("file").agg(
-        F.sum("n_tokens").alias("n"), F.min("key").alias("first"), F.max(F.col("key").isNull()).alias("no_key")
-    )
-    order = Window.orderBy(F.desc("no_key"), "first").rowsBetween(Window.unboundedPreceding, -1)
+    files = records.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("int")
+    order = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     starts.write.mode("overwrite").parquet(f"{index}/files")
     return read_index(spark, index)

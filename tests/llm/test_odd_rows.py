@@ -282,3 +282,27 @@ def test_licenses_of_rows_without_a_key_and_of_repeated_ones(spark):
     got = sorted(str((r.doc_id, r.license)) for r in licenses.scan_licenses(docs).select("doc_id", "license").distinct().collect())
     assert got == sorted(map(str, [(None, "BSD"), (1, "BSD"), (1, "Apache-2.0"), (2, "BSD")]))
     assert licenses.scan_licenses(docs.filter("doc_id = 2")).count() == 2 * licenses.scan_licenses(docs.filter("doc_id = 2").limit(1)).count()
+
+
+def test_records_of_one_key_in_many_files(spark, tmp_path):
+    rows = [(None, f"text {i % 7} of no key") for i in range(300)] + [(5, "the same text")] * 300 + [(i, f"own {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder, index = str(tmp_path / "files"), str(tmp_path / "index")
+    records.write_records(docs, folder, path, end_id=2, file_bytes=1500)
+    found = records.write_index(spark, folder, index).collect()
+    assert len(found) == len(rows) and len({r.file for r in found}) > 6
+    by_start = sorted(found, key=lambda r: r.start)
+    keys = [-1 if r.key is None else r.key for r in by_start]
+    assert keys == sorted(keys)
+    assert [r.start for r in by_start] == [sum(x.n_tokens for x in by_start[:i]) for i in range(len(by_start))]
+
+
+def test_records_of_an_empty_table_and_of_clashing_columns(spark, empty, clashing, odd, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counts = {}
+    for name, docs in (("empty", empty), ("clashing", clashing), ("odd", odd)):
+        folder, index = str(tmp_path / name), str(tmp_path / f"{name}-index")
+        records.write_records(docs, folder, path, end_id=2)
+        counts[name] = sorted((str(r.key), r.n_tokens, r.ids_crc32) for r in records.write_index(spark, folder, index).collect())
+    assert counts["empty"] == [] and counts["clashing"] == counts["odd"] and len(counts["odd"]) == odd.count()
