@@ -42,7 +42,7 @@ START_HASH = np.uint64(0xC949D7C7509E6557)
 class Settings:
     """``strength`` is m above. Blocks and buckets bound the memory of a task, not the data."""
 
-    order: int = 2
+    order: int = 3
     strength: float = 2.0
     block_tokens: int = 2_000_000
     bucket_entries: int = 1_500_000
@@ -285,16 +285,21 @@ LM_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, ({_CRC}) % 5 = 1 AS held_out, coalesce(text, '') AS text FROM documents),
  split AS (SELECT r, held_out, list_filter(regexp_split_to_array(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM docs),
- tokens AS (SELECT r, held_out, i, CASE WHEN i > 1 THEN w[i - 1] ELSE '<s> ' END AS h, coalesce(w[i], '</s> ') AS t
+ tokens AS (SELECT r, held_out, i, CASE WHEN i > 2 THEN w[i - 2] ELSE '<s> ' END AS g, CASE WHEN i > 1 THEN w[i - 1] ELSE '<s> ' END AS h,
+   coalesce(w[i], '</s> ') AS t
    FROM (SELECT *, unnest(range(1, len(w) + 2)) AS i FROM split)),
  c1 AS (SELECT t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY t),
  c2 AS (SELECT h, t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, t),
  ch AS (SELECT h, sum(c) AS c FROM c2 GROUP BY h),
+ c3 AS (SELECT g, h, t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY g, h, t),
+ cg AS (SELECT g, h, sum(c) AS c FROM c3 GROUP BY g, h),
  n AS (SELECT coalesce(sum(c), 0)::DOUBLE AS n, count(*) AS v FROM c1),
- p AS (SELECT r, i, coalesce(c1.c, 0) AS c1, (coalesce(c1.c, 0) + 0.5) / (n.n + 0.5 * (v + 1)) AS p1, coalesce(c2.c, 0) AS c2,
-    coalesce(ch.c, 0) AS ch FROM tokens LEFT JOIN c1 USING (t) LEFT JOIN c2 USING (h, t) LEFT JOIN ch USING (h), n)
+ p AS (SELECT r, coalesce(c1.c, 0) AS c1, (coalesce(c1.c, 0) + 0.5) / (n.n + 0.5 * (v + 1)) AS p1, coalesce(c2.c, 0) AS c2,
+    coalesce(ch.c, 0) AS ch, coalesce(c3.c, 0) AS c3, coalesce(cg.c, 0) AS cg
+   FROM tokens LEFT JOIN c1 USING (t) LEFT JOIN c2 USING (h, t) LEFT JOIN ch USING (h) LEFT JOIN c3 USING (g, h, t) LEFT JOIN cg USING (g, h), n),
+ q AS (SELECT *, CASE WHEN ch > 0 THEN (c2 + {Settings.strength} * p1) / (ch + {Settings.strength}) ELSE p1 END AS p2 FROM p)
 SELECT doc_id, held_out, n_tokens, n_known, n::BIGINT AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score
 FROM docs JOIN (SELECT r, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, sum(log10(p1)) AS base_score,
-   sum(log10(CASE WHEN ch > 0 THEN (c2 + {Settings.strength} * p1) / (ch + {Settings.strength}) ELSE p1 END)) AS score
-   FROM p GROUP BY r) USING (r), n
+   sum(log10(CASE WHEN cg > 0 THEN (c3 + {Settings.strength} * p2) / (cg + {Settings.strength}) ELSE p2 END)) AS score
+   FROM q GROUP BY r) USING (r), n
 """
