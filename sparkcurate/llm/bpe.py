@@ -167,10 +167,11 @@ class Encoder:
 
 def encode_texts(
     docs: DataFrame, path: str, pattern: str | None = None, key: str = "doc_id", text: str = "text",
-    offsets: bool = False,
+    offsets: bool = False, decoded: bool = False,
 ) -> DataFrame:
     """key and ids (array<int>) of every row, whole texts; a null or empty text has no ids.
 
+    With ``decoded`` also the bytes of the ids, as :func:`decode_ids` gives them, in the same pass.
     With ``offsets`` also ``ends`` (array<int>): how many characters of the text have begun when a
     token ends; the tokens of a character that is split have the same value. One row per input row, in any order:
     repeated rows are encoded as often as they occur, a null key stays null, an empty table gives
@@ -190,6 +191,9 @@ def encode_texts(
             ids = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
             columns = [batch.column("key"), pa.ListArray.from_arrays(ends, ids)]
             names = ["key", "ids"]
+            if decoded:
+                columns.append(pa.array([bytes_of(np.frombuffer(f, "<u4").tolist(), table) for f in found], pa.binary()))
+                names.append("decoded")
             if offsets:
                 places = [_character_ends(t, f, table) for t, f in zip(texts, found)]
                 columns.append(pa.array(places, pa.list_(pa.int32())))
@@ -198,11 +202,15 @@ def encode_texts(
 
         return work
 
-    schema = f"key {arrow_type(docs, key)}, ids array<int>" + (", ends array<int>" if offsets else "")
+    schema = f"key {arrow_type(docs, key)}, ids array<int>" + ", decoded binary" * decoded + ", ends array<int>" * offsets
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return map_texts(slim, make, schema).withColumnRenamed("key", key)
 
 
+def bytes_of(ids: list[int], table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in ids])
+
+
 def _character_ends(text: str, ids: bytes, table: list[bytes]) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8"), np.uint8)
     begun = np.cumsum((data & 0xC0) != 0x80)  # characters that have begun up to a byte
@@ -224,7 +232,7 @@ def decode_ids(rows: DataFrame, path: str, pattern: str | None = None, ids: str
             back = []
             for row in batch.column(ids):
                 found = row.values
-                back.append(None if found is None else b"".join([table[i] for i in found.to_pylist()]))
+                back.append(None if found is None else bytes_of(found.to_pylist(), table))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(back, pa.binary())], names=[*batch.schema.names, "decoded"]
             )
@@ -237,7 +245,7 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    both = decode_ids(encode_texts(docs, path, pattern), path, pattern)
+    both = encode_texts(docs, path, pattern, decoded=True)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
