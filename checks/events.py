@@ -286,6 +286,15 @@ def _(spark, sf):
     )
 
 
+@check("json_documents", "SELECT doc_id, text, lang, true AS nulls_kept FROM documents")
+def _(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "text", "lang", F.lit(None).cast("string").alias("nothing"))
+    read = F.from_json("value", "doc_id bigint, text string, lang string")
+    return O.as_json(rows).select(read.alias("r"), F.contains("value", F.lit('"nothing":null')).alias("nulls_kept")).select(
+        "r.*", "nulls_kept"
+    )
+
+
 @check("jsonl_strict", with_views("qa", body="SELECT instruction, output, is_valid AS valid, was_healed AS healed FROM qa"))
 def _(spark, sf):
     folder = new_folder(spark, "strict")

@@ -159,8 +159,3 @@ def query_keywords(c: Column, k: int = 5) -> Column:
         )
     )
     return F.slice(F.transform(ranked, lambda s: s["w"]), 1, k)
-
-
-def contains_ignoring_case(c: Column, term: str) -> Column:
-    """Case-insensitive substring test; ``%`` and ``_`` of the term are ordinary characters."""
-    return F.contains(F.lower(c), F.lower(F.lit(term)))

@@ -20,10 +20,6 @@ PAPER_SAMPLE_SCHEMA = (
     "authors array<string>, year int, abstract string, url string, doi string, source string, "
     "citation_count bigint, pdf_path string"
 )
-PAPER_SCHEMA = (
-    "paper_id string, title string, authors array<string>, abstract string, year int, doi string, "
-    "url string, pdf_url string, source string, citation_count bigint, full_text string"
-)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA) -> DataFrame:
