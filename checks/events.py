@@ -177,12 +177,11 @@ def _(spark, sf):
 @check(
     "metric_progress",
     f"""WITH m AS ({METRICS.format(events='events')}), p AS (SELECT *, CASE WHEN max_steps > 0 THEN printf('%.1f', (step / max_steps * 100)::DOUBLE)::DOUBLE ELSE 0 END::DOUBLE AS percent FROM m)
-SELECT run_id, step, percent, 'step '||step||'/'||max_steps||' ('||CASE WHEN max_steps > 0 THEN printf('%.1f', percent) ELSE '0' END||'%)' AS message FROM p""",
+SELECT run_id, step, percent, 'step '||step||'/'||max_steps||' ('||CASE WHEN max_steps > 0 THEN printf('%.1f', percent) ELSE '0' END||'%)'
+ ||coalesce(' | loss='||printf('%.4f', loss), '')||coalesce(' | lr='||printf('%.2e', learning_rate), '') AS message FROM p""",
 )
 def _(spark, sf):
-    return V.metric_progress(metrics(spark, sf)).select(
-        "run_id", "step", "percent", F.split("message", r" \| ")[0].alias("message")
-    )
+    return V.metric_progress(metrics(spark, sf)).select("run_id", "step", "percent", "message")
 
 
 @check(
@@ -266,7 +265,7 @@ def _(spark, sf):
 
 @check(
     "jsonl_counted",
-    with_views("lines", body="SELECT count(*) AS lines, count(*) FILTER (doc_id % 5 IN (1, 2)) AS malformed, sum(doc_id)::BIGINT AS ids, count(*) AS distinct_lines FROM lines"),
+    with_views("lines", body="SELECT count(*) AS lines, count(*) FILTER (doc_id % 5 IN (1, 2)) AS malformed, sum(CASE WHEN doc_id % 5 IN (0, 3, 4) THEN length(" + field("instruction") + ") END)::BIGINT AS chars, count(*) AS distinct_lines FROM lines"),
 )
 def _(spark, sf):
     folder = new_folder(spark, "counted")
@@ -276,11 +275,10 @@ def _(spark, sf):
     per_file = read.groupBy("file").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("malformed").alias("bad"),
         F.min("line_no").alias("low"), F.max("line_no").alias("high"),
-        F.countDistinct("line_no").alias("numbers"),
+        F.countDistinct("line_no").alias("numbers"), F.sum(F.length("instruction")).alias("chars"),
     )
-    ids = view(spark, sf, "lines").agg(F.sum("doc_id").alias("ids")).first()[0]
     return per_file.agg(
-        F.sum("n").alias("lines"), F.sum("bad").alias("malformed"), F.lit(ids).cast("bigint").alias("ids"),
+        F.sum("n").alias("lines"), F.sum("bad").alias("malformed"), F.sum("chars").alias("chars"),
         # Numbered 1..n in every file: as many different numbers as lines, none beyond.
         F.sum(F.when((F.col("low") == 1) & (F.col("high") == F.col("n")), F.col("numbers"))).alias("distinct_lines"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkcurate.functions.numbers import rounded
+from sparkcurate.functions.numbers import rounded, scientific
 from sparkcurate.functions.text import strip, with_spaces
 
 # Score dimensions of a judge response and their weights in the overall score.
@@ -119,7 +119,7 @@ def progress_message(step: Column, max_steps: Column, loss: Column, rate: Column
         " | ",
         head,
         F.when(loss.isNotNull(), F.concat(F.lit("loss="), F.format_string("%.4f", rounded(loss, 4)))),
-        F.when(rate.isNotNull(), F.concat(F.lit("lr="), F.format_string("%.2e", rate))),
+        F.when(rate.isNotNull(), F.concat(F.lit("lr="), scientific(rate))),
     )
 
 

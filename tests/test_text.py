@@ -158,3 +158,16 @@ def test_config_from_mappings():
     task = Task.from_mapping({"generation": {"system_prompt": "s", "user_prompt_template": "{question}"}, "validation": {"require_tags": [["<a>", "</a>"]], "topics": ["x"]}})
     assert task.rules.require_tags == (("<a>", "</a>"),) and task.max_retries == 3
     assert math.isclose(sum(getattr(SplitRatios(), n) for n in ("train", "val", "test")), 1.0)
+
+
+def test_scientific_text_rounds_the_exact_value(spark):
+    import random
+
+    from sparkcurate.functions.numbers import scientific
+
+    rng = random.Random(2)
+    values = [9.375e-06, 0.151 / 64, 1e-5, 9.995e-4, 9.9949e-4, 0.0, 1.0, 99.95, 12.25, 12.35, 123.5, 2e-4, -3.125e-3, 5e7, 1e-30]
+    values += [round(rng.random() * 10 ** -rng.randint(0, 9), rng.randint(3, 12)) for _ in range(3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r[1] for r in df.select("i", scientific(F.col("v"))).orderBy("i").collect()]
+    assert got == [f"{v:.2e}" for v in values]
