@@ -15,7 +15,7 @@ SPACE = "[\\x20\\x09-\\x0D]"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 
 #: Characters of text that a Python function works on at a time, whatever an Arrow batch holds.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 
 
 def lower_words(text: str | None) -> list[bytes]:
