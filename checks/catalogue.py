@@ -13,7 +13,7 @@ from sparkcurate.functions import scoring as S
 from sparkcurate.operators import attempts as A
 from sparkcurate.operators import catalogue as C
 from sparkcurate.operators import graph as G
-from sparkcurate.operators.ranking import page, page_after, page_with_total
+from sparkcurate.operators.ranking import page_after, page_with_total
 from sparkcurate.plans import datasets as D
 from sparkcurate.session import application_folder
 from sparkcurate.plans import samples as P

@@ -169,7 +169,10 @@ def link_counts(papers: DataFrame, min_shared: int = 2, key: str = "id", k: int
         grown = live.select(
             "class", "words", "n",
             F.explode(
-                F.expr("transform(filter(sequence(0, size(words) - 1), i -> shiftleft(1, i) > mask), i -> mask | shiftleft(1, i))")
+                F.expr(
+                    "transform(filter(sequence(0, size(words) - 1), i -> shiftleft(1, i) > mask),"
+                    " i -> mask | shiftleft(1, i))"
+                )
             ).alias("mask"),
         )
         held = F.expr("concat_ws(' ', filter(words, (w, i) -> (mask & shiftleft(1, i)) > 0))")
