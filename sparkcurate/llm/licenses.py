@@ -18,7 +18,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.functions.binding import once
 from sparkcurate.operators.rows import settled
 
 SHINGLE = 5

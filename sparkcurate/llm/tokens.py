@@ -95,7 +95,8 @@ class PieceModel:
             self.rank[piece[p]], self.halves[:, piece[p]] = ranks[p], (piece[left], piece[right])
             if max(ranks.get(left, -1), ranks.get(right, -1)) >= ranks[p]:
                 raise ValueError("a piece is joined before its halves are")
-        joins = [(piece[p[:i]], piece[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in piece and p[i:] in piece]
+        halves = [(p[:i], p[i:], r) for p, r in ranks.items() for i in range(1, len(p))]
+        joins = [(piece[a], piece[b], r) for a, b, r in halves if a in piece and b in piece]
         left, right, self.join_rank = np.array(joins, np.int64).T
         self.joins = DoubleArray(left, right)
         self._characters(number, words)
