@@ -18,6 +18,12 @@ NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 SLICE_CHARS = 4_000_000
 
 
+#: Rows that Spark hands to Python at once. Documents are long: ten thousand of them, the usual number, would be
+#: some tens of megabytes in both processes.
+BATCH_ROWS = 2_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words of a text with A-Z in lower case, as UTF-8.
 
@@ -47,7 +53,13 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
 def map_texts(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, text: str = "text"
 ) -> DataFrame:
-    """``mapInArrow`` over small slices; ``make`` is called once in every task."""
+    """``mapInArrow`` over small slices; ``make`` is called once in every task.
+
+    The session's number of rows per batch is lowered to ``BATCH_ROWS`` where it is larger.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
     def run(batches):
         work = make()
