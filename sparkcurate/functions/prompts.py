@@ -59,6 +59,9 @@ Use the sources and the expected answer. Reply with one JSON object and nothing
 # How much of each part a judge prompt shows.
 JUDGE_LIMITS = {"question": 1500, "answer": 2000, "reference": 1500, "context": 3000}
 
+# How much of an abstract a context shows.
+CONTEXT_ABSTRACT = 500
+
 
 def render(template: str, *positional: Column, **named: Column) -> Column:
     """``str.format`` as a Column: ``{name}`` and ``{}`` stand for Columns, null prints as ''."""
@@ -112,7 +115,7 @@ def context_block(papers: Column) -> Column:
             F.coalesce(author_line_et_al(p["authors"]), F.lit("")),
             F.lit("\n    Citations: "), F.coalesce(p["citation_count"], F.lit(0)).cast("string"),
             F.lit("\n    Abstract: "),
-            F.coalesce(truncated(p["abstract"], 500), F.lit("")),
+            F.coalesce(truncated(p["abstract"], CONTEXT_ABSTRACT), F.lit("")),
         )
 
     return F.coalesce(F.array_join(F.transform(papers, entry), "\n\n"), F.lit(""))
