@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions.prompts import CHUNK_SIZE
 from sparkcurate.functions.text import last_sentences
+from sparkcurate.operators.rows import settled
 
 
 def chunk_texts(
@@ -56,14 +57,13 @@ def chunk_texts(
             ),
         ),
     )
-    # The tail of a chunk is wanted by the next one only, so the last has none.
-    led = plain.withColumn(
-        "_t",
-        F.transform(
-            F.slice(F.col("_c"), F.lit(1), F.greatest(F.size("_c") - 1, F.lit(0))),
-            lambda c: F.concat(last_sentences(c, overlap_sentences), F.lit("\n\n")),
-        ),
+    # The tail of a chunk is wanted by the next one only, so the last has none. Settled, or every chunk would make
+    # the tails of all chunks.
+    tails = F.transform(
+        F.slice(F.col("_c"), F.lit(1), F.greatest(F.size("_c") - 1, F.lit(0))),
+        lambda c: F.concat(last_sentences(c, overlap_sentences), F.lit("\n\n")),
     )
+    led = settled(plain, {"_t": tails})
     chunks = F.transform(
         F.col("_c"),
         lambda c, j: F.concat(

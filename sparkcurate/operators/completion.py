@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcurate.session import application_folder, exists
+from sparkcurate.session import application_folder, exists, materialise
 
 # complete_fn(system_prompts, user_prompts) -> one reply per prompt: text, None, or a mapping
 # with "text" and the optional token counts.
@@ -87,14 +87,16 @@ def complete_with_retry(
     ``accept`` says as a Column whether an output is good. Rows without a good output are
     asked again, up to ``max_attempts`` times in all. Rows with the same prompts are asked once and share the reply.
 
-    Replies go to a ledger by the hash of their prompt; no prompt is stored. With a ``ledger`` folder of your own a
+    Replies go to a ledger by the hash of their prompt; it holds no prompt. The prompts are made once and stored
+    beside the application's other intermediate tables. With a ``ledger`` folder of your own a
     run whose driver was lost goes on where it stopped: every attempt is stored in ``parts`` parts, and a part that
     is there is not asked for again. A ledger belongs to one table of prompts.
     """
     spark = prompts.sparkSession
     ledger = ledger or f"{application_folder(spark)}/ledger-{uuid.uuid4().hex}"
-    keyed = prompts.withColumn("_hash", prompt_hash())
-    asked_for = keyed.select("_hash", "system_prompt", "user_prompt").dropDuplicates(["_hash"])
+    # Made once: every round and the attempts read them again.
+    keyed = materialise(prompts.withColumn("_hash", prompt_hash()), "prompts")
+    asked_for = keyed.select("_hash", "system_prompt", "user_prompt")
     tables: list[DataFrame] = []
     for attempt in range(1, max_attempts + 1):
         pending = asked_for
@@ -107,12 +109,14 @@ def complete_with_retry(
             folder = f"{ledger}/attempt={attempt}/part={part}"
             if exists(spark, f"{folder}/_SUCCESS"):
                 continue
-            own = pending.filter(F.pmod(F.xxhash64("_hash"), F.lit(parts)) == part)
+            own = pending.filter(F.pmod(F.xxhash64("_hash"), F.lit(parts)) == part).dropDuplicates(["_hash"])
             replies = complete(own, complete_fn, batch_size, partitions)
             good = F.coalesce(accept(F.col("output")), F.lit(False)) & (
                 F.coalesce(F.length("output"), F.lit(0)) > 0
             )
-            replies.withColumn("valid", good).drop("system_prompt", "user_prompt").write.mode("overwrite").parquet(folder)
+            replies.withColumn("valid", good).drop("system_prompt", "user_prompt").write.mode("overwrite").option(
+                "compression", "zstd"
+            ).parquet(folder)
         schema = T.StructType([T.StructField("_hash", T.StringType())])
         schema = T.StructType(schema.fields + T._parse_datatype_string(REPLY + ", valid boolean").fields)
         done = spark.read.schema(schema).parquet(*[f"{ledger}/attempt={attempt}/part={i}" for i in range(parts)])

@@ -19,10 +19,12 @@ from sparkcurate.plans.papers import (
     citation_totals,
     citations,
     cited_papers,
-    papers_to_qa,
+    paper_pairs,
     resolve_full_text,
     source_key,
-    topic_papers,
+    topic_ranks,
+    with_paper,
+    with_ranks,
 )
 from sparkcurate.plans.samples import FilterResult, filter_samples
 from sparkcurate.session import exists, materialise
@@ -58,20 +60,26 @@ def build_dataset(
     A paper found for several topics is asked about once, and what it gave belongs to each of them: samples,
     citations and statistics carry ``topic``, and ``line_no`` counts within it.
     """
-    chosen = materialise(topic_papers(topics, papers).filter("fetch"), "chosen")
+    ranks = materialise(topic_ranks(topics, papers).filter("fetch"), "ranks")
+    # Ids and places are enough to find where a paper is asked about; its texts are moved once.
+    chosen = materialise(with_ranks(papers, ranks).select("topic", "paper_id", "rank"), "chosen")
     first = chosen.groupBy("paper_id").agg(F.min("topic").alias("topic"))
-    once = materialise(
-        resolve_full_text(chosen.join(first, ["paper_id", "topic"], "left_semi").drop("topic"), fetched), "papers"
-    )
-    samples, attempts = papers_to_qa(once, complete_fn, task, separator)
-    samples = materialise(samples, "asked-once")
-    found = chosen.select("topic", F.col("paper_id").alias("source_paper"))
+    asked = chosen.join(first, ["paper_id", "topic"], "left_semi").select("topic", "rank")
+    own = with_ranks(papers, ranks.join(asked, ["topic", "rank"], "left_semi")).drop("topic")
+    once = materialise(resolve_full_text(own, fetched), "papers")
+    pairs, attempts = paper_pairs(once, complete_fn, task, separator)
+    pairs = materialise(pairs, "pairs")
+    ready = once.filter(F.coalesce(F.length("full_text"), F.lit(0)) > 0)
+    found = chosen.select("topic", "paper_id")
     # Only the places are numbered; the texts follow by one join.
-    place = ["source_paper", "section", "pair"]
-    slim = with_position(samples.select(*place).join(found, "source_paper"), ["topic", *place], "_at")
+    place = ["paper_id", "section", "pair"]
+    several = ready.select("paper_id")  # a paper that comes in several rows gives its pairs for each of them
+    slim = pairs.select(*place).join(several, "paper_id").join(found, "paper_id")
+    slim = with_position(slim, ["topic", *place], "_at")
     start = slim.groupBy("topic").agg(F.min("_at").alias("_first"))
     slim = slim.join(start, "topic").select("topic", *place, (F.col("_at") - F.col("_first") + 1).alias("line_no"))
-    numbered = materialise(samples.join(slim.hint("shuffle_hash"), place), "samples")
+    numbered = with_paper(pairs.join(slim.hint("shuffle_hash"), place), ready)
+    numbered = materialise(numbered, "samples")
     filtered = filter_samples(numbered, task.rules)
     cited = citations(numbered, filtered.kept, by=["topic"])
     return BuiltDataset(numbered, filtered, cited, attempts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcurate.config import Task
@@ -17,9 +17,11 @@ from sparkcurate.functions.text import block, is_english, strip
 from sparkcurate.operators.chunking import chunk_texts
 from sparkcurate.operators.completion import CompleteFn, complete_with_retry
 from sparkcurate.operators.dedup import greedy_order
-from sparkcurate.operators.ranking import top_per_key
+from sparkcurate.operators.ranking import with_position
+from sparkcurate.operators.rows import settled
 
 UNLIMITED = 2**31 - 1
+TOPIC_PLACE = ["topic", "source_rank", "pos"]  # tells the papers of a search apart
 MAX_URLS = 4  # addresses that can be tried for one paper
 PAPER_FIELDS = (
     "source_paper", "source_title", "authors", "year", "abstract", "url", "doi", "source",
@@ -129,16 +131,17 @@ def paper_sections(papers: DataFrame, separator: str = "\n\n") -> DataFrame:
     content = F.coalesce(
         F.nullif("full_text", F.lit("")), F.nullif("abstract", F.lit(""))
     )
-    rows = papers.withColumn("content", content).filter(F.col("content").isNotNull())
+    # Settled, because the packing looks at the size once per paragraph.
+    rows = settled(papers, {"content": content}).filter(F.col("content").isNotNull())
     long = F.length("content") > LONG_CONTENT
     # Short contents go through the same operator as one chunk, so the papers are read once.
-    size = F.when(long, F.lit(CHUNK_SIZE)).otherwise(F.lit(UNLIMITED))
+    rows = settled(rows, {"_size": F.when(long, F.lit(CHUNK_SIZE)).otherwise(F.lit(UNLIMITED))})
     return (
-        chunk_texts(rows, "content", size, separator)
-        .withColumn("section", F.when(long, F.col("chunk_index")))
-        .withColumn("sections", F.when(long, F.col("chunk_count")))
+        chunk_texts(rows, "content", F.col("_size"), separator)
+        .withColumn("section", F.when(F.col("_size") != UNLIMITED, F.col("chunk_index")))
+        .withColumn("sections", F.when(F.col("_size") != UNLIMITED, F.col("chunk_count")))
         .withColumn("content", F.col("chunk"))
-        .drop("chunk", "chunk_index", "chunk_count")
+        .drop("chunk", "chunk_index", "chunk_count", "_size")
     )
 
 
@@ -196,6 +199,17 @@ def with_paper(pairs: DataFrame, papers: DataFrame) -> DataFrame:
     return pairs.join(meta, "paper_id").withColumnRenamed("paper_id", "source_paper")
 
 
+def paper_pairs(
+    papers: DataFrame, complete_fn: CompleteFn, task: Task, separator: str = "\n\n", **calls
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs, attempts) of :func:`papers_to_qa`; the pairs know their paper by its id alone."""
+    ready = papers.filter(F.coalesce(F.length("full_text"), F.lit(0)) > 0)
+    attempts = complete_with_retry(
+        paper_prompts(ready, task, separator), complete_fn, has_pairs, task.max_retries, **calls
+    )
+    return parse_pairs(attempts.filter("valid").select("paper_id", "section", "output")), attempts
+
+
 def papers_to_qa(
     papers: DataFrame, complete_fn: CompleteFn, task: Task, separator: str = "\n\n", **calls
 ) -> tuple[DataFrame, DataFrame]:
@@ -203,12 +217,8 @@ def papers_to_qa(
 
     A section is asked again, up to the task's limit, until its reply holds a pair.
     """
-    ready = papers.filter(F.coalesce(F.length("full_text"), F.lit(0)) > 0)
-    attempts = complete_with_retry(
-        paper_prompts(ready, task, separator), complete_fn, has_pairs, task.max_retries, **calls
-    )
-    pairs = parse_pairs(attempts.filter("valid").select("paper_id", "section", "output"))
-    return with_paper(pairs, ready), attempts
+    pairs, attempts = paper_pairs(papers, complete_fn, task, separator, **calls)
+    return with_paper(pairs, papers.filter(F.coalesce(F.length("full_text"), F.lit(0)) > 0)), attempts
 
 
 def citation_log(papers: DataFrame, samples: DataFrame) -> DataFrame:
@@ -268,22 +278,40 @@ def citation_totals(cited: DataFrame, by: Sequence[str] = ("topic",)) -> DataFra
     return cited.groupBy(*by).agg(F.count(F.lit(1)).alias("total_papers"))
 
 
-def topic_papers(topics: DataFrame, papers: DataFrame) -> DataFrame:
-    """Per topic the most cited distinct English papers, as many as its target asks for.
+def topic_ranks(topics: DataFrame, papers: DataFrame) -> DataFrame:
+    """(topic, source_rank, pos, rank, fetch) of the most cited distinct English papers of every topic.
 
-    ``topics`` is (topic, target); ``papers`` carries ``topic``, ``source_rank`` and ``pos``.
-    Adds ``rank`` and ``fetch``, true for the papers whose full text is wanted.
+    Ranks come from positions over all topics, so that no topic is sorted by one task; only places and citations
+    are moved. A place that occurs in several rows has as many ranks.
     """
     sizes = topics.select("topic", paper_targets(F.col("target")).alias("_s")).select("topic", "_s.*")
-    most = sizes.agg(F.max("max_papers")).first()[0] or 0
     key = lambda c: F.struct(F.col("topic"), c)
-    place = ["topic", "source_rank", "pos"]
     keys = [key(F.col("paper_id")), key(F.md5(title_key(F.col("title"))))]
-    kept = papers.join(greedy_order(english_only(papers), place, keys), place, "left_semi")
-    order = [F.col("citation_count").desc(), F.col("source_rank"), F.col("pos")]
-    ranked = top_per_key(kept, "topic", order, most, "rank")
+    kept = greedy_order(english_only(papers), TOPIC_PLACE, keys)
+    slim = papers.select(*TOPIC_PLACE, "citation_count").join(kept, TOPIC_PLACE, "left_semi")
+    order = [F.col("topic"), F.col("citation_count").desc(), F.col("source_rank"), F.col("pos")]
+    placed = with_position(slim, order, "_at")
+    first = placed.groupBy("topic").agg(F.min("_at").alias("_first"))
+    ranked = placed.join(first, "topic").withColumn("rank", (F.col("_at") - F.col("_first") + 1).cast("int"))
     return (
         ranked.join(sizes, "topic").filter("rank <= max_papers")
-        .withColumn("fetch", F.col("rank") <= F.col("top_n"))
-        .drop("max_papers", "top_n")
+        .select(*TOPIC_PLACE, "rank", (F.col("rank") <= F.col("top_n")).alias("fetch"))
     )
+
+
+def with_ranks(papers: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The ranked papers with their ``rank`` and ``fetch``; rows of one place take its ranks in turn."""
+    own = ranks.groupBy(*TOPIC_PLACE).agg(F.sort_array(F.collect_list(F.struct("rank", "fetch"))).alias("_r"))
+    copies = Window.partitionBy(*TOPIC_PLACE).orderBy(F.col("citation_count").desc())
+    found = papers.join(own, TOPIC_PLACE).withColumn("_copy", F.row_number().over(copies))
+    found = found.withColumn("_r", F.try_element_at("_r", "_copy")).filter("_r IS NOT NULL")
+    return found.select(*papers.columns, "_r.rank", "_r.fetch")
+
+
+def topic_papers(topics: DataFrame, papers: DataFrame) -> DataFrame:
+    """Per topic the most cited distinct English papers, as many as its target asks for.
+
+    ``topics`` is (topic, target); ``papers`` carries ``topic``, ``source_rank`` and ``pos``.
+    Adds ``rank`` and ``fetch``, true for the papers whose full text is wanted.
+    """
+    return with_ranks(papers, topic_ranks(topics, papers))

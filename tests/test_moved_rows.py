@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from sparkcurate.operators.completion import complete_with_retry
 from sparkcurate.plans import evaluation as P
+from sparkcurate.plans.papers import paper_sections, topic_papers
 
 
 def test_an_evaluation_stores_no_whole_paper(spark, monkeypatch):
@@ -40,3 +42,44 @@ def test_an_evaluation_stores_no_whole_paper(spark, monkeypatch):
     assert context.startswith("[1] Paper 6 (2006)") and long[:500] + "..." in context and long[:501] not in context
     log = {r.question_index: len(r.papers_retrieved) for r in done.log.select("question_index", "papers_retrieved").collect()}
     assert log == {1: 5, 2: 0, 3: 5}
+
+
+def test_prompts_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def prompt(i):
+        made.add(1)
+        return f"u{i}"
+
+    prompts = spark.range(6).select("id", F.lit("s").alias("system_prompt"), prompt("id").alias("user_prompt"))
+    rows = complete_with_retry(prompts, lambda s, u: list(u), lambda o: o == "u1", 3).collect()
+    assert made.value == 6 and len(rows) == 6 + 5 + 5
+
+
+def test_a_topic_is_ranked_by_many_tasks(spark):
+    rows = [("t" if i % 3 else "u", 0, i, f"p{i}", f"Title {i}", "the text of it", (i * 7) % 10) for i in range(60)]
+    rows += rows[:9]  # rows that come twice have ranks of their own
+    names = "topic string, source_rank int, pos int, paper_id string, title string, abstract string, citation_count long"
+    papers = spark.createDataFrame(rows, names)
+    topics = spark.createDataFrame([("t", 90), ("u", 30)], "topic string, target long")
+    got = topic_papers(topics, papers)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("source_rank" in line for line in plan.splitlines() if "windowspecdefinition(topic#" in line)
+    ranks = {}
+    for r in got.collect():
+        ranks.setdefault(r.topic, []).append((r["rank"], -r.citation_count, r.pos))
+    for topic, most in (("t", 30), ("u", 10)):
+        want = sorted((-r[6], r[2]) for r in rows if r[0] == topic)[:most]
+        assert [x[1:] for x in sorted(ranks[topic])] == want
+        assert [x[0] for x in sorted(ranks[topic])] == list(range(1, len(want) + 1))
+
+
+def test_contents_are_settled_before_they_are_cut(spark):
+    papers = spark.createDataFrame([("p", "a\nb " * 9000, ""), ("q", None, "c"), ("r", "", None)], "paper_id string, full_text string, abstract string")
+    cut = paper_sections(papers, "\n")
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") >= 3
+    rows = cut.collect()
+    assert {(r.paper_id, r.section, r.sections) for r in rows if r.paper_id != "p"} == {("q", None, None)}
+    assert [r.section for r in rows if r.paper_id == "p"] == [1, 2, 3, 4][: len(rows) - 1] and len(rows) > 2
