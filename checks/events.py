@@ -224,11 +224,13 @@ def _(spark, sf):
 # --- files -----------------------------------------------------------------------------------
 
 
-def written_lines(spark, sf, files=3):
+def written_lines(spark, sf, files=None):
+    """A folder of lines, each task's in a file of its own; a given number of files is for who asks for it."""
     folder = new_folder(spark, "lines")
-    view(spark, sf, "lines").repartition(files, "doc_id").sortWithinPartitions("doc_id").select(
-        "value"
-    ).write.text(folder)
+    lines = view(spark, sf, "lines")
+    if files:
+        lines = lines.repartition(files, "doc_id").sortWithinPartitions("doc_id")
+    lines.select("value").write.text(folder)
     return folder
 
 
@@ -392,6 +394,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder, out, mark = (new_folder(spark, n) for n in ("in", "out", "mark"))
-    O.write_jsonl(view(spark, sf, "samples").select("instruction", "output").repartition(3), folder)
+    O.write_jsonl(view(spark, sf, "samples").select("instruction", "output"), folder)
     J.stream_filter(spark, folder, out, mark).awaitTermination()
     return spark.read.schema("instruction string, output string, healed boolean").json(out)

@@ -83,3 +83,26 @@ def test_contents_are_settled_before_they_are_cut(spark):
     rows = cut.collect()
     assert {(r.paper_id, r.section, r.sections) for r in rows if r.paper_id != "p"} == {("q", None, None)}
     assert [r.section for r in rows if r.paper_id == "p"] == [1, 2, 3, 4][: len(rows) - 1] and len(rows) > 2
+
+
+def test_lines_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from checks import events
+
+    lines = spark.range(80, numPartitions=8).select(F.col("id").alias("doc_id"), F.lit("x").alias("value"))
+    samples = spark.range(80, numPartitions=8).select(F.lit("i").alias("instruction"), F.lit("o").alias("output"))
+    monkeypatch.setattr(events, "view", lambda spark, sf, name: {"lines": lines, "samples": samples}[name])
+    parts = lambda folder: len(spark.read.text(folder).inputFiles())
+    assert parts(events.written_lines(spark, "")) == 8
+    assert parts(events.written_lines(spark, "", 3)) == 3
+    seen = []
+
+    def filtered(spark, folder, out, mark):
+        seen.append(parts(folder))
+        raise InterruptedError
+
+    monkeypatch.setattr(events.J, "stream_filter", filtered)
+    try:
+        events.QUERIES["stream_filter"](spark, "")
+    except InterruptedError:
+        pass
+    assert seen == [8]
