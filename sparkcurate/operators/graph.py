@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ CLUSTER_COLORS = (
 )
 ORPHAN_COLOR = "#888888"
 
+#: Rows of groups that are counted at once; a larger group is counted as a whole.
+GROUP_ROWS = 20_000
+
 
 @dataclass(frozen=True)
 class GraphLimits:
@@ -147,53 +153,97 @@ def keyword_edges(papers: DataFrame, min_shared: int = 2, key: str = "id", k: in
     )
 
 
+def _group_counts(least: int, ends: list[str]):
+    """For ``mapInArrow`` over rows sorted by ``ends``: the papers that share exactly these last words with each row.
+
+    Sets of the words before are numbered by a trie, a level at a time: the set without its last word, then that word.
+    A set that a single row holds is left with all that contain it, since other rows add nothing to it.
+    """
+    sign = lambda t: (-1) ** t * math.comb(t + least - 1, least - 1)
+    own = lambda e: sum(math.comb(e, t) * sign(t) for t in range(e + 1))
+
+    def counted(rows: pa.Table) -> pa.Table:
+        before, n = rows["before"].combine_chunks(), rows["n"].to_numpy()
+        words, starts = before.flatten().to_numpy(), before.offsets.to_numpy() - before.offsets[0].as_py()
+        sizes = np.diff(starts)
+        keys = np.stack([rows[e].to_numpy() for e in ends])
+        node = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
+        total = n * np.array([own(e) for e in range(sizes.max() + 1)])[sizes]
+        row, at, level = np.arange(len(n)), np.zeros(len(n), np.int64), 0
+        while len(row):
+            others = np.bincount(node, n[row])[node] - n[row]
+            total = total + sign(level) * np.bincount(row, others, len(n)).astype(np.int64)
+            live = np.bincount(node)[node] > 1
+            row, at, node = row[live], at[live], node[live]
+            grown = sizes[row] - at
+            which = np.repeat(np.arange(len(row)), grown)
+            at = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(grown) - grown, grown)
+            row = row[which]
+            held = node[which].astype(np.int64) << 32 | words[starts[row] + at]
+            node, at, level = np.unique(held, return_inverse=True)[1], at + 1, level + 1
+        return rows.drop_columns("n").append_column("papers", pa.array(total, pa.int64()))
+
+    def run(batches):
+        waiting, count = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            count += batch.num_rows
+            if count < GROUP_ROWS:
+                continue
+            # The last group may go on in the next batch.
+            rows = pa.Table.from_batches(waiting)
+            same = np.logical_and.reduce([rows[e].to_numpy() == rows[e][-1].as_py() for e in ends])
+            whole = rows.num_rows - int(same.sum())
+            if whole:
+                yield from counted(rows.slice(0, whole)).to_batches()
+            waiting = rows.slice(whole).combine_chunks().to_batches()
+            count = 0
+        if waiting:
+            yield from counted(pa.Table.from_batches(waiting)).to_batches()
+
+    return run
+
+
 def link_counts(papers: DataFrame, min_shared: int = 2, key: str = "id", k: int = 10) -> DataFrame:
     """(key, links): of every paper, how many others share ``min_shared`` of their ``k`` top keywords with it.
 
     That is the number of its links in the graph of all papers, without a link ever being a row. Papers with the
     same keywords are one class. A set of keywords counts the papers of all classes that hold it, and the sets of a
     paper are added up with the signs of inclusion and exclusion, so that a paper that shares three keywords is not
-    counted once for each two of them. Sets grow by a keyword at a time, and only while another class
-    holds them: what no other class has adds nothing. A class has at most ``2 ** k`` sets, and a frequent one is
-    summed by every task before it is shuffled; where it is joined back it is one row, so that side can be split.
+    counted once for each two of them.
+
+    Sets are not rows either. Words are numbered, frequent ones first, and a set belongs to the group of its last
+    ``min_shared`` words: a class goes to each of its groups, ``comb(k, min_shared)`` of them, with the words before,
+    and the sets are made there. Classes with the same words before are one row of a group, and only more frequent
+    words are before, so the groups of the most frequent words have few rows, however many papers they have.
     """
     words = top_keywords(papers, paper_text(), k).select(key, F.sort_array("keywords").alias("words"))
     words = materialise(words, "paper-keywords")
-    classes = words.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
-    classes = materialise(
-        classes.filter(F.size("words") >= min_shared).withColumn("class", F.monotonically_increasing_id()), "classes"
+    classes = words.filter(F.size("words") >= min_shared).groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    held = classes.select("class", "n", F.explode("words").alias("word"))
+    order = [F.col("papers").desc(), F.col("word")]
+    numbers = with_position(held.groupBy("word").agg(F.sum("n").alias("papers")), order, "number")
+    numbered = held.join(numbers.select("word", F.col("number").cast("int").alias("number")), "word")
+    numbered = numbered.groupBy("class", "n").agg(F.sort_array(F.collect_list("number")).alias("w"))
+    numbered = materialise(numbered, "numbered-classes")
+    ends = [f"end{i}" for i in range(min_shared)]
+    places = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(k), min_shared)])
+    groups = numbered.select(
+        "class", "n", "w", F.explode(F.filter(places, lambda p: p[min_shared - 1] < F.size("w"))).alias("p")
+    ).select(
+        "class", "n", *[F.get("w", F.col("p")[i]).alias(e) for i, e in enumerate(ends)],
+        F.slice("w", F.lit(1), F.col("p")[0]).alias("before"),
     )
-    # Sets are bit masks over the sorted words of their class; the words themselves are what classes share.
-    total, live = None, classes.select("class", "words", "n", F.lit(0).alias("mask"))
-    for level in range(1, k + 1):
-        grown = live.select(
-            "class", "words", "n",
-            F.explode(
-                F.expr(
-                    "transform(filter(sequence(0, size(words) - 1), i -> shiftleft(1, i) > mask),"
-                    " i -> mask | shiftleft(1, i))"
-                )
-            ).alias("mask"),
-        )
-        held = F.expr("concat_ws(' ', filter(words, (w, i) -> (mask & shiftleft(1, i)) > 0))")
-        grown = materialise(grown.withColumn("held", held), f"keyword-sets-{level}")
-        sums = grown.groupBy("held").agg(F.sum("n").alias("papers"), F.count(F.lit(1)).alias("classes"))
-        shared = materialise(sums.filter("classes > 1").select("held", "papers"), f"shared-sets-{level}")
-        live = materialise(grown.join(shared, "held"), f"live-sets-{level}")
-        if level >= min_shared:
-            sign = (-1) ** (level - min_shared) * math.comb(level - 1, min_shared - 1)
-            part = live.groupBy("class").agg((F.lit(sign) * F.sum(F.col("papers") - F.col("n"))).alias("others"))
-            total = part if total is None else total.unionAll(part)
-        if live.isEmpty():
-            break
-        live = live.select("class", "words", "n", "mask")
-    found = words.join(classes, "words", "left").select(key, "class", (F.col("n") - 1).alias("same"))
-    if total is not None:
-        found = found.join(total.groupBy("class").agg(F.sum("others").alias("others")), "class", "left")
-    else:
-        found = found.withColumn("others", F.lit(0))
-    links = F.coalesce("same", F.lit(0)) + F.coalesce("others", F.lit(0))
-    return found.select(key, links.cast("bigint").alias("links"))
+    rows = groups.groupBy(*ends, "before").agg(F.sum("n").alias("n"))
+    schema = ", ".join([f"{e} int" for e in ends]) + ", before array<int>, papers bigint"
+    shared = rows.repartition(*ends).sortWithinPartitions(*ends).mapInArrow(_group_counts(min_shared, ends), schema)
+    # A class shares all its words with itself.
+    total = groups.join(shared, [*ends, "before"]).groupBy("class").agg((F.sum("papers") - 1).alias("links"))
+    found = words.join(classes.join(total, "class").select("words", "links"), "words", "left")
+    return found.select(key, F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def clusters(

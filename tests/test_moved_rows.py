@@ -1,9 +1,11 @@
 """What is stored and moved on the way to a result."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from sparkcurate.operators import graph
 from sparkcurate.operators.completion import complete_with_retry
 from sparkcurate.plans import evaluation as P
 from sparkcurate.plans.papers import paper_sections, topic_papers
@@ -108,3 +110,26 @@ def test_lines_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
     except InterruptedError:
         pass
     assert seen == [8]
+
+
+def test_links_are_counted_in_groups(spark, monkeypatch):
+    stored = []
+    keep = graph.materialise
+
+    def noted(df, label="step"):
+        stored.append(keep(df, label))
+        return stored[-1]
+
+    monkeypatch.setattr(graph, "materialise", noted)
+    monkeypatch.setattr(graph, "GROUP_ROWS", 7)
+    rng = random.Random(5)
+    letters = [f"{a}{a}{b}" for a in "abcd" for b in "efgh"]
+    rows = [(i, " ".join(rng.sample(letters[: 9 + i % 8], rng.randint(0, 9))), None) for i in range(150)]
+    rows += [(i, rows[i % 4][1], "") for i in range(150, 170)] + [(None, " ".join(letters[:5]), "")] * 3
+    df = spark.createDataFrame(rows, "id long, title string, abstract string")
+    sets = [set(r[1].split()) for r in rows]
+    for least in (1, 2, 4):
+        want = sorted((r[0] or -1, sum(len(a & b) >= least for j, b in enumerate(sets) if j != i)) for i, (r, a) in enumerate(zip(rows, sets)))
+        assert sorted((r.id or -1, r.links) for r in graph.link_counts(df, least).collect()) == want
+    # Nothing that is stored has more rows than there are papers.
+    assert max(s.count() for s in stored) <= len(rows)
