@@ -240,8 +240,9 @@ def link_counts(papers: DataFrame, min_shared: int = 2, key: str = "id", k: int
     rows = groups.groupBy(*ends, "before").agg(F.sum("n").alias("n"))
     schema = ", ".join([f"{e} int" for e in ends]) + ", before array<int>, papers bigint"
     shared = rows.repartition(*ends).sortWithinPartitions(*ends).mapInArrow(_group_counts(min_shared, ends), schema)
-    # A class shares all its words with itself.
-    total = groups.join(shared, [*ends, "before"]).groupBy("class").agg((F.sum("papers") - 1).alias("links"))
+    # A class shares all its words with itself. The groups are far more than the classes that Catalyst knows the size
+    # of, hence the hint: they would be broadcast.
+    total = groups.join(shared.hint("merge"), [*ends, "before"]).groupBy("class").agg((F.sum("papers") - 1).alias("links"))
     found = words.join(classes.join(total, "class").select("words", "links"), "words", "left")
     return found.select(key, F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 

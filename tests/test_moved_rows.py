@@ -3,10 +3,12 @@
 import random
 import re
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from sparkcurate.operators import graph
 from sparkcurate.operators.completion import complete_with_retry
+from sparkcurate.operators.retrieval import retrieve
 from sparkcurate.plans import evaluation as P
 from sparkcurate.plans.papers import paper_sections, topic_papers
 
@@ -133,3 +135,41 @@ def test_links_are_counted_in_groups(spark, monkeypatch):
         assert sorted((r.id or -1, r.links) for r in graph.link_counts(df, least).collect()) == want
     # Nothing that is stored has more rows than there are papers.
     assert max(s.count() for s in stored) <= len(rows)
+
+
+def test_lines_of_a_given_number_of_files_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from checks import events
+
+    lines = spark.range(90, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit("x" * 5).alias("value"))
+    lines = lines.unionAll(lines.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit("null").alias("value")))
+    monkeypatch.setattr(events, "view", lambda spark, sf, name: lines)
+    written = []
+    keep = DataFrameWriter.text
+
+    def noted(writer, path):
+        written.append(writer._df)
+        return keep(writer, path)
+
+    monkeypatch.setattr(DataFrameWriter, "text", noted)
+    folder = events.written_lines(spark, "", 3)
+    assert "Exchange" not in written[0]._jdf.queryExecution().executedPlan().toString()
+    back = spark.read.text(folder)
+    assert back.count() == 91 and back.filter("value = 'null'").count() == 1 and len(back.inputFiles()) == 3
+
+
+def test_papers_of_a_query_are_ranked_in_its_row(spark):
+    papers = spark.createDataFrame(
+        [("b", "gamma omega", "x", 5), ("b", "gamma", "x", 9), ("a", "omega", "x", 5), ("c", "gamma omega", "x", None), (None, "omega", "x", None), ("d", "gamma", "", 10)],
+        "paper_id string, title string, abstract string, citation_count long",
+    )
+    questions = spark.createDataFrame([("gamma omega",), ("omega gamma",), ("omega",), ("nothing",), (None,)], "question string")
+    hits = retrieve(questions, papers, k=3)
+    got = {}
+    for r in hits.orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.rank, r.paper_id, r.citation_count))
+    both = [(1, "b", 9), (2, "a", 5), (3, None, None)]
+    assert got == {"gamma omega": both, "omega gamma": both, "omega": [(1, "a", 5), (2, "b", 5), (3, None, None)]}
+    # The one window is that of words; queries are ranked by what their rows hold.
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"row_number\(\) windowspecdefinition\((\w+)#", plan)
+    assert windows and set(windows) == {"term"}
