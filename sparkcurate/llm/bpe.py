@@ -165,6 +165,12 @@ class Encoder:
             return head + b"".join([table[p] for p in rest])
 
 
+@lru_cache(maxsize=2)
+def load_encoder(path: str, pattern: str | None = None) -> Encoder:
+    """One encoder for all tasks of a worker, so that a task knows the pieces of those before it."""
+    return Encoder(load_tokenizer(path, pattern), token_bytes(path, pattern))
+
+
 def encode_texts(
     docs: DataFrame, path: str, pattern: str | None = None, key: str = "doc_id", text: str = "text",
     offsets: bool = False, decoded: bool = False,

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcurate.llm.bpe import Encoder, load_tokenizer, token_bytes
+from sparkcurate.llm.bpe import load_encoder, load_tokenizer
 from sparkcurate.llm.common import map_texts
 from sparkcurate.session import application_folder
 
@@ -92,7 +92,7 @@ def write_records(
 
     def make():
         tokenizer = load_tokenizer(path, pattern)
-        encode = Encoder(tokenizer, token_bytes(path, pattern))
+        encode = load_encoder(path, pattern)
         wide = max(tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         last = np.array([end_id], "<u4")
 

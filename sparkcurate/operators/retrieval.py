@@ -44,11 +44,20 @@ def retrieve(
     )
     postings = postings.join(wanted, "term", "left_semi")
     order = [F.col("citation_count").desc(), F.col(paper_id)]
-    best = top_per_key(postings, "term", order, k, "_r").drop("_r")
-    matches = terms.join(best, "term").groupBy("query", paper_id).agg(
-        F.max("citation_count").alias("citation_count")
+    best = top_per_key(postings, "term", order, k, "_r")
+    # One row per term, of k papers at most, and one per query from there on: a query's papers are few, and are
+    # ranked inside its row. A paper that comes with several numbers of citations counts with the largest.
+    cited = F.col("citation_count")
+    place = F.struct(cited.isNull().alias("unknown"), (-cited).alias("less"), F.col(paper_id).alias("id"))
+    best = best.groupBy("term").agg(F.collect_list(place).alias("best"))
+    found = terms.join(best, "term").groupBy("query").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("_all"))
+    first = F.filter(
+        "_all", lambda x, i: ~F.exists(F.slice("_all", F.lit(1), i), lambda y: y["id"].eqNullSafe(x["id"]))
+    )
+    return found.select("query", F.posexplode(F.slice(first, 1, k)).alias("_at", "_hit")).select(
+        "query", F.col("_hit.id").alias(paper_id), (-F.col("_hit.less")).alias("citation_count"),
+        (F.col("_at") + 1).alias("rank"),
     )
-    return top_per_key(matches, "query", order, k, "rank")
 
 
 def query_text(question: str):

@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import bpe, phrases, search, tokens
+from sparkcurate.llm import bpe, phrases, records, search, tokens
 from sparkcurate.llm.trie import DoubleArray
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -214,3 +214,23 @@ def test_phrases_of_odd_rows(odd, empty, clashing):
     assert got == sorted(str(r) for r in phrases.mine_phrases(odd.select("text", "lang"), settings).collect())
     assert len(got) == len(phrases_by_hand(rows, 1))
     assert phrases.mine_phrases(empty).count() == 0
+
+
+def test_tasks_of_a_worker_share_what_they_learned(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = bpe.load_encoder(path, None)
+    made = []
+
+    def in_this_process(df, make, schema):
+        work = [make() for _ in range(2)]  # two tasks
+        made.extend(w(b) for w in work for b in df.select("key", "text").toArrow().to_batches())
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(records, "map_texts", in_this_process)
+    docs = spark.createDataFrame([(1, "some words that are some words."), (2, None)], "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(encoder, "_learn", lambda pieces, learn=encoder._learn: (asked.append(pieces), learn(pieces)))
+    records.write_records(docs, str(tmp_path / "files"), path, end_id=2)
+    assert len(asked) == 1 and len(made) == 2 and made[0].equals(made[1])
