@@ -94,22 +94,30 @@ def complete_with_retry(
     """
     spark = prompts.sparkSession
     ledger = ledger or f"{application_folder(spark)}/ledger-{uuid.uuid4().hex}"
-    # Made once: every round and the attempts read them again.
-    keyed = materialise(prompts.withColumn("_hash", prompt_hash()), "prompts")
-    asked_for = keyed.select("_hash", "system_prompt", "user_prompt")
+    # Made once: every round and the attempts read them again. Rows are known by their places, of which a few that are
+    # to be left out or asked again go to the tasks where the prompts are; the prompts are not moved for that.
+    keyed = prompts.withColumn("_hash", prompt_hash()).withColumn("_row", F.monotonically_increasing_id())
+    keyed = materialise(keyed, "prompts")
+    firsts = keyed.groupBy("_hash").agg(F.min("_row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    twice = firsts.filter("_n > 1").select("_hash", F.col("_row").alias("_first"))
+    again = keyed.select("_hash", "_row").join(twice, "_hash").filter("_row > _first").select("_row")
+    asked_for = keyed.select("_hash", "_row", "system_prompt", "user_prompt").join(
+        materialise(again, "repeated"), "_row", "left_anti"
+    )
     tables: list[DataFrame] = []
     for attempt in range(1, max_attempts + 1):
         pending = asked_for
         if tables:
             failed = tables[-1].filter(~F.col("valid")).select("_hash")
+            failed = materialise(firsts.join(failed, "_hash", "left_semi").select("_row"), "failed")
             if failed.isEmpty():
                 break
-            pending = asked_for.join(failed, "_hash", "left_semi")
+            pending = asked_for.join(failed, "_row", "left_semi")
         for part in range(parts):
             folder = f"{ledger}/attempt={attempt}/part={part}"
             if exists(spark, f"{folder}/_SUCCESS"):
                 continue
-            own = pending.filter(F.pmod(F.xxhash64("_hash"), F.lit(parts)) == part).dropDuplicates(["_hash"])
+            own = pending.filter(F.pmod(F.xxhash64("_hash"), F.lit(parts)) == part).drop("_row")
             replies = complete(own, complete_fn, batch_size, partitions)
             good = F.coalesce(accept(F.col("output")), F.lit(False)) & (
                 F.coalesce(F.length("output"), F.lit(0)) > 0

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.config import Task
+from sparkcurate.config import Rules, Task
 from sparkcurate.functions.prompts import topic_label
 from sparkcurate.functions.scoring import run_log_metrics
 from sparkcurate.functions.text import block, strip
@@ -34,12 +35,24 @@ from sparkcurate.sources.writers import save_part, save_table, write_jsonl
 
 @dataclass(frozen=True)
 class BuiltDataset:
-    """Tables of a built dataset; all of them carry what is needed to load the catalogue."""
+    """Tables of a built dataset; all of them carry what is needed to load the catalogue.
+
+    Replies and places are stored. Samples are joined from them when they are read, so that the metadata of their
+    papers are moved for those who read them; only the citations, which read the samples several times, store them.
+    """
 
     samples: DataFrame
-    filtered: FilterResult
-    citations: DataFrame
     attempts: DataFrame
+    rules: Rules
+
+    @cached_property
+    def filtered(self) -> FilterResult:
+        return filter_samples(self.samples, self.rules)
+
+    @cached_property
+    def citations(self) -> DataFrame:
+        stored = materialise(self.samples, "samples")
+        return citations(stored, filter_samples(stored, self.rules).kept, by=["topic"])
 
     @property
     def stats(self) -> DataFrame:
@@ -65,7 +78,10 @@ def build_dataset(
     chosen = materialise(with_ranks(papers, ranks).select("topic", "paper_id", "rank"), "chosen")
     first = chosen.groupBy("paper_id").agg(F.min("topic").alias("topic"))
     asked = chosen.join(first, ["paper_id", "topic"], "left_semi").select("topic", "rank")
-    own = with_ranks(papers, ranks.join(asked, ["topic", "rank"], "left_semi")).drop("topic")
+    asked = materialise(ranks.join(asked, ["topic", "rank"], "left_semi"), "asked")
+    # Papers with a full text are asked about, so abstracts are for the samples alone; topic and rank tell rows apart.
+    at = [F.col("topic").alias("_topic"), F.col("rank").alias("_rank")]
+    own = with_ranks(papers.drop("abstract"), asked).withColumnsRenamed({"topic": "_topic", "rank": "_rank"})
     once = materialise(resolve_full_text(own, fetched), "papers")
     pairs, attempts = paper_pairs(once, complete_fn, task, separator)
     pairs = materialise(pairs, "pairs")
@@ -78,11 +94,11 @@ def build_dataset(
     slim = with_position(slim, ["topic", *place], "_at")
     start = slim.groupBy("topic").agg(F.min("_at").alias("_first"))
     slim = slim.join(start, "topic").select("topic", *place, (F.col("_at") - F.col("_first") + 1).alias("line_no"))
-    numbered = with_paper(pairs.join(slim.hint("shuffle_hash"), place), ready)
-    numbered = materialise(numbered, "samples")
-    filtered = filter_samples(numbered, task.rules)
-    cited = citations(numbered, filtered.kept, by=["topic"])
-    return BuiltDataset(numbered, filtered, cited, attempts)
+    abstracts = with_ranks(papers, asked).select(*at, "abstract")
+    placed = with_paper(slim, ready.join(abstracts, ["_topic", "_rank"]))
+    texts = pairs.withColumnRenamed("paper_id", "source_paper")
+    numbered = texts.join(placed.hint("shuffle_hash"), ["source_paper", *place[1:]])
+    return BuiltDataset(numbered, attempts, task.rules)
 
 
 def custom_selection(papers: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -204,6 +204,8 @@ def paper_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, attempts) of :func:`papers_to_qa`; the pairs know their paper by its id alone."""
     ready = papers.filter(F.coalesce(F.length("full_text"), F.lit(0)) > 0)
+    # What has a full text needs no abstract to ask about.
+    ready = ready.withColumn("abstract", F.lit(None).cast("string"))
     attempts = complete_with_retry(
         paper_prompts(ready, task, separator), complete_fn, has_pairs, task.max_retries, **calls
     )
@@ -300,9 +302,13 @@ def topic_ranks(topics: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def with_ranks(papers: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The ranked papers with their ``rank`` and ``fetch``; rows of one place take its ranks in turn."""
+    """The ranked papers with their ``rank`` and ``fetch``; rows of one place take its ranks in turn.
+
+    Which row takes which rank is told by what the rows hold beside their texts, so it is the same without those.
+    """
     own = ranks.groupBy(*TOPIC_PLACE).agg(F.sort_array(F.collect_list(F.struct("rank", "fetch"))).alias("_r"))
-    copies = Window.partitionBy(*TOPIC_PLACE).orderBy(F.col("citation_count").desc())
+    short = [c for c in papers.columns if c not in ("abstract", "full_text")]
+    copies = Window.partitionBy(*TOPIC_PLACE).orderBy(F.col("citation_count").desc(), F.xxhash64(*short))
     found = papers.join(own, TOPIC_PLACE).withColumn("_copy", F.row_number().over(copies))
     found = found.withColumn("_r", F.try_element_at("_r", "_copy")).filter("_r IS NOT NULL")
     return found.select(*papers.columns, "_r.rank", "_r.fetch")

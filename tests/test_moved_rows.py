@@ -6,9 +6,11 @@ import re
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from sparkcurate.operators import graph
+from sparkcurate.config import Task
+from sparkcurate.operators import completion, graph
 from sparkcurate.operators.completion import complete_with_retry
 from sparkcurate.operators.retrieval import retrieve
+from sparkcurate.plans import datasets
 from sparkcurate.plans import evaluation as P
 from sparkcurate.plans.papers import paper_sections, topic_papers
 
@@ -173,3 +175,38 @@ def test_papers_of_a_query_are_ranked_in_its_row(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     windows = re.findall(r"row_number\(\) windowspecdefinition\((\w+)#", plan)
     assert windows and set(windows) == {"term"}
+
+
+def test_prompts_and_abstracts_stay_where_they_are(spark, monkeypatch):
+    asked = []
+    keep = completion.complete
+
+    def noted(prompts, *args):
+        asked.append(prompts._jdf.queryExecution().executedPlan().toString())
+        return keep(prompts, *args)
+
+    monkeypatch.setattr(completion, "complete", noted)
+    stored = []
+    store = datasets.materialise
+
+    def kept(df, label="step"):
+        stored.append(df.columns)
+        return store(df, label)
+
+    monkeypatch.setattr(datasets, "materialise", kept)
+    text = "the text of the paper " * 20
+    rows = [(t, 0, i, f"p{i}", f"Title of number {i}", ["A"], 2000, f"the abstract {i}", f"u{i}", None, "s", i, f"f{i}") for i in range(6) for t in (("t", "u") if i % 2 else ("t",))]
+    names = "topic string, source_rank int, pos int, paper_id string, title string, authors array<string>, year int, abstract string, url string, doi string, source string, citation_count long, pdf_url string"
+    papers = spark.createDataFrame(rows, names)
+    fetched = spark.createDataFrame([(f"f{i}", text + str(i % 3), "x") for i in range(6)], "url string, text string, pdf_path string")
+    topics = spark.createDataFrame([("t", 500), ("u", 500)], "topic string, target long")
+    # Prompts of equal texts are equal: half of them are asked, and those without a pair once more.
+    answer = lambda s, u: [f"<qa><question>Q?</question><answer>{x[-1]}</answer></qa>" if x[-1] != "1" else "none" for x in u]
+    built = datasets.build_dataset(topics, papers, fetched, answer, Task("s", "{content}", max_retries=2))
+    assert len(asked) == 2 and not any("Exchange hashpartitioning" in plan for plan in asked)
+    assert not [c for c in stored if "abstract" in c]
+    got = sorted((r.topic, r.line_no, r.source_paper, r.output, r.abstract) for r in built.samples.collect())
+    want = [("t", n, f"p{i}", f"<answer>{i % 3}</answer>", f"the abstract {i}") for n, i in enumerate((0, 2, 3, 5), 1)]
+    assert got == want + [("u", n, f"p{i}", f"<answer>{i % 3}</answer>", f"the abstract {i}") for n, i in enumerate((3, 5), 1)]
+    assert sorted((r.topic, r.paper_id, r.abstract) for r in built.citations.collect()) == [(g[0], g[2], g[4]) for g in got]
+    assert built.attempts.count() == 8
