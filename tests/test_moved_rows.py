@@ -171,6 +171,8 @@ def test_papers_of_a_query_are_ranked_in_its_row(spark):
         got.setdefault(r.query, []).append((r.rank, r.paper_id, r.citation_count))
     both = [(1, "b", 9), (2, "a", 5), (3, None, None)]
     assert got == {"gamma omega": both, "omega gamma": both, "omega": [(1, "a", 5), (2, "b", 5), (3, None, None)]}
+    # Words are cut a block of papers at a time: no task has a row for every word of its papers.
+    assert "Generate explode(array_distinct" not in hits._jdf.queryExecution().optimizedPlan().toString()
     # The one window is that of words; queries are ranked by what their rows hold.
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     windows = re.findall(r"row_number\(\) windowspecdefinition\((\w+)#", plan)
