@@ -5,8 +5,10 @@ every way to put a token together from two others becomes a merge, in the order
 
 Texts are cut before blanks that follow something else than white space. The pattern never matches
 across such a place, and what follows it never decides a match before it, so the pieces encode
-alone as they do in the text. A worker sends each distinct piece to the library once and keeps the
-answer for as long as its table stays small. New pieces go to the library many at a time as one
+alone as they do in the text. A worker asks the library for each distinct piece once and keeps the
+answer in a table; when that is full, it is put aside, and what is still wanted of it comes back. A new piece
+of plain letters, digits and signs is cut at the matches of the pattern, and the library's model gives
+the ids of each match that is new. Other new pieces go to the library many at a time as one
 text: each begins with the only token of it that begins with a blank, which is where the answer is cut
 apart again. Texts with white space before a blank go to the library whole.
 
@@ -38,8 +40,8 @@ _ASCII_JOINED = tuple(f"{c} " for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f ")
 def _joined(text: str) -> bool:
     return any([j in text for j in _ASCII_JOINED]) if text.isascii() else _JOINED.search(text) is not None
 
-#: Pieces and characters that a worker's table may hold before it starts anew.
-KEPT_PIECES = 400_000
+#: Pieces and characters that a worker's two tables may hold: when the newer has half of them, it replaces the older.
+KEPT_PIECES = 800_000
 KEPT_CHARS = 12_000_000
 
 #: New pieces that are sent to the library as one text, and the longest piece that is kept.
@@ -49,6 +51,15 @@ LONG_PIECE = 1_000
 # Marks that a letter is never joined with; alike in all patterns of this kind.
 _MARKS = frozenset(".,;:!?")
 
+# The pattern on characters that are letters, digits or signs in every version of Unicode that a library may have.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ώЀ-ҁҊ-ԣא-תء-غف-يぁ-ゔァ-ヺ一-龥가-힣"
+_MATCHES = re.compile(
+    f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|(?<=\\S)\n(?=\\S)"
+).findall
+
+# A tokenizer that cuts this text as _MATCHES does has the pattern.
+_PROBE = " aBÉ'sx'lle'x 'd91234a.b.'s $漢\nC (d"
+
 
 def byte_alphabet() -> list[str]:
     """A printable character for every byte: itself where it has one, else one from 256 on."""
@@ -57,6 +68,16 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(others)) for b in range(256)]
 
 
+_SHOWN = dict(enumerate(byte_alphabet()))
+
+
+def _shown(match: str) -> str:
+    """A match of the pattern in the characters of the byte table."""
+    if match.isascii():
+        return match.replace(" ", _SHOWN[0x20]).replace("\n", _SHOWN[0x0A])
+    return match.encode().decode("latin-1").translate(_SHOWN)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -118,15 +139,58 @@ class Encoder:
         self.tokenizer = tokenizer
         self.begins = np.array([t.startswith(b" ") for t in table], bool)
         self.marks = dict(zip(sorted(_MARKS), self._ask(sorted(_MARKS))))
+        cut = tokenizer.pre_tokenizer.pre_tokenize_str(_PROBE) if tokenizer.pre_tokenizer else []
+        self.plain = tokenizer.normalizer is None and [m for m, _ in cut] == [_shown(m) for m in _MATCHES(_PROBE)]
+        self.model = tokenizer.model
+        # Pieces that follow a blank, and matches that do not with a blank behind them.
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chars = 0
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _model_ids(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _match(self, key: str, match: str) -> bytes:
+        ids = self.older.get(key) or self._model_ids(_shown(match))
+        self.table[key] = ids
+        self.chars += len(key)
+        return ids
+
+    def _cut(self, text: str) -> bytes | None:
+        """Ids of a text by its matches; None where they are not sure, or the text is long."""
+        if not self.plain or len(text) > LONG_PIECE:
+            return None
+        matches = _MATCHES(text)
+        if "".join(matches) != text:
+            return None
+        keys = [m[1:] if m[0] == " " else m + " " for m in matches]
+        get = self.table.get
+        return b"".join([get(key) or self._match(key, m) for key, m in zip(keys, matches)])
+
     def _learn(self, pieces: set[str]) -> None:
         """Put pieces that follow a blank into the table."""
+        table, older, blank = self.table, self.older, _SHOWN[0x20]
+        others = set()
+        for piece in pieces:
+            ids = older.get(piece)
+            if ids is None:
+                if self.plain and piece.isascii() and piece.isalpha() and len(piece) <= LONG_PIECE:
+                    ids = self._model_ids(blank + piece)
+                else:
+                    ids = self._cut(" " + piece)
+            if ids:
+                table[piece] = ids
+                self.chars += len(piece)
+            else:
+                others.add(piece)
+        if others:
+            self._learn_joined(others)
+
+    def _learn_joined(self, pieces: set[str]) -> None:
         table = self.table
         ends = {p for p in pieces if p and p[-1] in _MARKS and p[:-1].isalpha()}
         stems = {p[:-1] for p in ends}.difference(table)
@@ -151,18 +215,18 @@ class Encoder:
             return b""
         if _joined(text):
             return self._ask([text])[0]
+        if len(self.table) > KEPT_PIECES // 2 or self.chars > KEPT_CHARS // 2:
+            self.older, self.table, self.chars = self.table, {}, 0
         # The first piece has no blank before it and is no key of the table.
         first, *rest = text.split(" ")
-        head = self._ask([first])[0] if first else b""
+        head = (self._cut(first) or self._ask([first])[0]) if first else b""
         table = self.table
-        try:
-            return head + b"".join([table[p] for p in rest])
-        except KeyError:
-            if len(table) > KEPT_PIECES or self.chars > KEPT_CHARS:
-                table.clear()
-                self.chars = 0
-            self._learn(set(rest).difference(table))
-            return head + b"".join([table[p] for p in rest])
+        found = list(map(table.get, rest))
+        new = {p for p, ids in zip(rest, found) if ids is None}
+        if new:
+            self._learn(new)
+            found = [table[p] if ids is None else ids for p, ids in zip(rest, found)]
+        return head + b"".join(found)
 
 
 @lru_cache(maxsize=2)

@@ -110,6 +110,33 @@ def test_pieces_joined_or_alone():
         assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [e.ids for e in want]
 
 
+@pytest.mark.parametrize("kept", [bpe.KEPT_PIECES, 20])
+def test_plain_pieces_are_cut_and_asked_by_the_match(monkeypatch, kept):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", kept)
+    rng = random.Random(6)
+    signs = "aBreveltdms''  ..\n,$(19éЖ漢가²ा"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    plain = "Some words: isn't it 'dear' (so)?\nÇa n'est pas l'été... Слово 42nd $5,000.00, words: it's"
+    files = [("byte_bpe_50k.json", None), ("byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)]
+    for name, pattern in files:
+        path = public_tokenizers.path(name)
+        library = bpe.load_tokenizer(path, pattern)
+        encode = bpe.Encoder(library, bpe.token_bytes(path, pattern))
+        want = [e.ids for e in library.encode_batch([plain, *texts], add_special_tokens=False)]
+        asked = []
+        monkeypatch.setattr(encode, "_ask", lambda t, ask=encode._ask: (asked.extend(t), ask(t))[1])
+        assert np.frombuffer(encode(plain), "<u4").tolist() == want[0] and not asked
+        assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == want[1:]
+
+
+def test_a_tokenizer_of_another_pattern_is_asked_for_every_piece():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = bpe.rank_tokenizer(path, r" ?[A-Z]?\p{Ll}+|[^\p{Ll}]")
+    encode = bpe.Encoder(library, bpe.token_bytes(path, public_tokenizers.PATTERN))
+    text = "Some oneTwo threeFour words oneTwo."
+    assert not encode.plain and np.frombuffer(encode(text), "<u4").tolist() == library.encode(text).ids
+
+
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
