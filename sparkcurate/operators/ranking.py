@@ -19,6 +19,7 @@ from sparkcurate.session import materialise
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 _SALTS = 64
 _PREFIX = 4  # hex digits counted per step: at most 65,536 groups
+_FEW = 100  # so many first rows are brought to one task by a sort, not more
 
 
 def first_per_key(
@@ -104,6 +105,37 @@ def running_totals(
     )
 
 
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by one column, nulls first; of rows that are equal at the end, any. They are in no order.
+
+    Above a few rows only the values of the column are sorted, equal ones as one. The rows are then compared with the
+    last value where they are: none is moved, and only those equal to it are stored, where not all of them are wanted.
+    """
+    if n <= _FEW:
+        return df.orderBy(order).limit(n)
+    counts = df.groupBy(F.col(order).alias("_last")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = running_totals(counts, ["_last"], {"_total": F.col("_n")})
+    last = materialise(totals.filter(F.col("_total") >= n).orderBy("_last").limit(1), "last")
+    found = last.select("_n", "_total").first()
+    if found is None:  # there are fewer rows
+        return df
+    value, bound, last = F.col(order), F.col("_last"), F.broadcast(last.select("_last"))
+    below = (value < bound) | (value.isNull() & bound.isNotNull())
+    equal = value.eqNullSafe(bound)
+    if found["_total"] == n:
+        return df.join(last, below | equal, "left_semi")
+    stored = materialise(
+        df.join(last, equal, "left_semi").withColumn("_id", F.monotonically_increasing_id()), "equal"
+    )
+    wanted = found["_n"] - (found["_total"] - n)
+    for part, size in sorted(stored.groupBy(F.shiftright("_id", 33)).count().collect()):
+        if wanted <= size:
+            break
+        wanted -= size
+    some = stored.filter(F.col("_id") < (part << 33) + wanted).drop("_id")
+    return df.join(last, below, "left_semi").union(some)
+
+
 def random_order(key: Column | str, seed: int) -> Column:
     """A reproducible random order of unique keys, a null one included: md5 of seed and key, as hex text."""
     key = F.col(key) if isinstance(key, str) else key

@@ -149,8 +149,11 @@ def generated_samples(attempts: DataFrame, items: DataFrame, key: str) -> DataFr
 
 
 def trial_run(items: DataFrame, complete_fn: CompleteFn, task: Task, key: str, n: int = 5) -> DataFrame:
-    """One completion for the first ``n`` items, with detailed flags and a quality label."""
-    first = task_prompts(items.orderBy(key).limit(n), task)
+    """One completion for the first ``n`` items, with detailed flags and a quality label.
+
+    Above a few items the prompts are asked where the items are, and the rows are in no order.
+    """
+    first = task_prompts(ranking.first_rows(items, key, n), task)
     asked = complete(first.select(key, "question", "system_prompt", "user_prompt"), complete_fn)
     given = F.coalesce(F.length("output"), F.lit(0)) > 0
     return asked.withColumn(

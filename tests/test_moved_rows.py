@@ -7,12 +7,13 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from sparkcurate.config import Task
-from sparkcurate.operators import completion, graph
+from sparkcurate.operators import completion, graph, ranking
 from sparkcurate.operators.completion import complete_with_retry
 from sparkcurate.operators.retrieval import retrieve
 from sparkcurate.plans import datasets
 from sparkcurate.plans import evaluation as P
 from sparkcurate.plans.papers import paper_sections, topic_papers
+from sparkcurate.plans.samples import trial_run
 
 
 def test_an_evaluation_stores_no_whole_paper(spark, monkeypatch):
@@ -212,3 +213,32 @@ def test_prompts_and_abstracts_stay_where_they_are(spark, monkeypatch):
     assert got == want + [("u", n, f"p{i}", f"<answer>{i % 3}</answer>", f"the abstract {i}") for n, i in enumerate((3, 5), 1)]
     assert sorted((r.topic, r.paper_id, r.abstract) for r in built.citations.collect()) == [(g[0], g[2], g[4]) for g in got]
     assert built.attempts.count() == 8
+
+
+def test_a_trial_of_many_items_is_asked_by_many_tasks(spark):
+    text = lambda name: F.concat(F.lit(name), F.col("k").cast("string"))
+    items = spark.range(1500, numPartitions=8).select(F.col("id").alias("k")).select("k", text("q").alias("question"), text("a").alias("answer"))
+    reply = lambda systems, users: [f"<think>{u}</think><answer>x</answer>" for u in users]
+    for n in (1500, 1201, 2000):
+        got = trial_run(items, reply, Task("s", "{question} {answer}"), "k", n)
+        # No limit brings the items to one task, nor does anything else.
+        assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+        rows = got.select("k", "question", "output", "quality", F.spark_partition_id().alias("task")).collect()
+        assert len({r.task for r in rows}) > 1
+        want = [(k, f"q{k}", f"<think>q{k} a{k}</think><answer>x</answer>", "PASS") for k in range(min(n, 1500))]
+        assert sorted((r.k, r.question, r.output, r.quality) for r in rows) == want
+
+
+def test_first_rows_are_as_many_as_asked_for(spark):
+    nan = float("nan")
+    # Nulls, values that come once, twice and for a third of all rows, negative zero, NaN.
+    keys = [None] * 150 + [float(i) for i in range(1, 80)] + [0.0, -0.0] * 20 + [7.5] * 140 + [nan] * 9
+    random.Random(3).shuffle(keys)
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(k, i) for i, k in enumerate(keys)], 6), "k double, i long")
+    rank = lambda k: (0, 0.0) if k is None else (2, 0.0) if k != k else (1, k + 0.0)
+    want = sorted(map(rank, keys))
+    for n in (0, 5, 100, 101, 149, 150, 151, 190, 191, 200, 270, 345, len(keys) - 1, len(keys), len(keys) + 1, 2**40):
+        rows = ranking.first_rows(df, "k", n).collect()
+        assert sorted(rank(r.k) for r in rows) == want[:n], n
+        assert len({r.i for r in rows}) == len(rows)  # each row once, with its own columns
+        assert all(rank(r.k) == rank(keys[r.i]) for r in rows)
