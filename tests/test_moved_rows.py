@@ -242,3 +242,16 @@ def test_first_rows_are_as_many_as_asked_for(spark):
         assert sorted(rank(r.k) for r in rows) == want[:n], n
         assert len({r.i for r in rows}) == len(rows)  # each row once, with its own columns
         assert all(rank(r.k) == rank(keys[r.i]) for r in rows)
+
+
+def test_a_summary_of_a_trial_gathers_no_rows(spark, monkeypatch):
+    from checks import samples
+
+    good = "<think>the 12</think><answer>$x$ is the result</answer>"
+    outputs = F.array(F.lit(good), F.lit("in the end"), F.lit(""))
+    # Rows of a generator, as Catalyst leaves out a limit that it knows to be above the number of rows.
+    items = spark.range(200, numPartitions=8).select(F.col("id").alias("sample_id"), F.lit("i").alias("instruction"), F.explode(outputs).alias("output"))
+    monkeypatch.setattr(samples, "view", lambda spark, sf, name: items)
+    got = samples.QUERIES["trial_run_summary"](spark, "")
+    assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first().asDict() == {"total": 600, "pass": 200, "marginal": 0, "fail": 200, "avg_domain_score": 2.5, "ready": False}
